@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import byte_bpe, decontam, line_dedup, quality_qda, simhash
+from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, quality_qda, simhash, warc
 from isohyet.llm._common import cut, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -37,10 +41,32 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = itq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+    return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_decontamination, op7_line_dedup, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op10_itq, op4_byte_bpe, op5_decontamination, op7_line_dedup, op8_quality, op9_simhash)}
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS low FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY html)
+SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN low <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN low <> page_id THEN low END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS v, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.v AND l.b > r.low),
+c AS (SELECT v, min(low) AS low FROM r GROUP BY v)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN c ON c.v = vec_id LEFT JOIN n ON n.a = vec_id
+"""
 OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -53,4 +79,4 @@ FROM l LEFT JOIN d USING (k) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_itq": OP10_SQL}
