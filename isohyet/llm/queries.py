@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, quality_qda, simhash, warc
+from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, quality_qda, repair_ids, simhash, warc
 from isohyet.llm._common import cut, table
 
 
@@ -24,6 +24,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = repair_ids.id_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,7 +52,7 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op10_itq, op4_byte_bpe, op5_decontamination, op7_line_dedup, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op10_itq, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
 
 
 OP1_SQL = """
