@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, quality_qda, repair_ids, simhash, warc
+from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, pii, quality_qda, repair_ids, simhash, warc
 from isohyet.llm._common import cut, table
 
 
@@ -14,6 +14,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = pii.listed(F.col("base"), pii.BASE)
+    return found.select(
+        "doc_id",
+        *[F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.listed(F.col("added"), pii.LOOSE)), ",").alias("spans"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -52,7 +63,7 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op10_itq, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op10_itq, op2_pii, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
 
 
 OP1_SQL = """
