@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, pii, quality_qda, repair_ids, simhash, warc
+from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, pii, quality_qda, repair_ids, simhash, suffix_dedup, warc
 from isohyet.llm._common import cut, table
 
 
@@ -25,6 +25,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -63,7 +68,7 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op10_itq, op2_pii, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op10_itq, op2_pii, op3_suffix_dedup, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
 
 
 OP1_SQL = """
