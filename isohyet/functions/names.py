@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCENTED, PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ", "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 
@@ -16,7 +17,7 @@ def fold_latin(name: Column) -> Column:
     return F.translate(name, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_full(names: pd.Series) -> pd.Series:
     """NFKD to ASCII, for names beyond Latin accents."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
@@ -64,7 +65,7 @@ def unit_label(state: Column, district: Column, block: Column | None = None) ->
 def parse_coordinates(line: Column) -> list[Column]:
     """lat, lon and label of "lat, lon[, label]" or "lat lon"; null coordinates where the text or the bounds (6..38, 68..98) don't fit."""
     clean = F.trim(F.regexp_replace(line, "[\"']", ""))
-    parts = F.when(clean.contains(","), F.transform(F.split(clean, ","), F.trim)).otherwise(F.split(clean, r"\s+"))
+    parts = F.when(clean.contains(","), F.transform(F.split(clean, ","), lambda x: F.trim(x))).otherwise(F.split(clean, r"\s+"))
     lat, lon = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
     good = lat.between(6, 38) & lon.between(68, 98)
     label = F.when(clean.contains(","), F.get(parts, F.lit(2)))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isohyet.operators.runs import rolling_sum
 
@@ -35,10 +36,10 @@ def fit(acc: DataFrame, unit: list[str], baseline: tuple[int, int], least: int =
         F.avg(pos).alias("pos_mean"), F.avg(F.ln(pos)).alias("ln_mean"),
     ).where(F.col("n") >= least)
     s = F.ln("pos_mean") - F.col("ln_mean")
-    start = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
+    start = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * F.nullif(s, F.lit(0.0)))
     shape = F.when((F.col("n_pos") >= gamma_least) & (s > 0), start)
-    for _ in range(3):
-        shape = _newton(shape, s)
+    # steps as a fold: nested columns would repeat the step before in every term
+    shape = F.aggregate(F.sequence(F.lit(1), F.lit(3)), shape, lambda k, _: _newton(k, s))
     return p.withColumn("shape", shape).withColumn("scale", F.col("pos_mean") / F.col("shape"))
 
 
@@ -80,7 +81,7 @@ def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x < a + 1, lead * total, 1 - lead * h)).clip(0, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def to_normal(x: pd.Series, q: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     """q + (1 - q) gamma(x), clipped, as a standard normal value; incomplete gamma and the normal quantile have no builtin."""
     h = q + (1 - q) * gamma_cdf((x / scale).to_numpy(float, na_value=np.nan), shape.to_numpy(float, na_value=np.nan))
@@ -118,7 +119,7 @@ def thom_gamma(acc: DataFrame, unit: list[str], baseline: tuple[int, int]) -> Da
 def pearson3(acc: DataFrame, parameters: DataFrame, unit: list[str]) -> DataFrame:
     """spi by a Pearson III law from mean, deviation and skewness of each calendar month."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def normal(x: pd.Series, mean: pd.Series, std: pd.Series, skew: pd.Series) -> pd.Series:
         g = np.where(np.abs(skew) < 1e-3, 1e-3, skew.to_numpy(float, na_value=np.nan))
         shape = 4 / g**2
