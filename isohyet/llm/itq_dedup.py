@@ -74,7 +74,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     shuffle key of its own; none is cut short. Equal vectors are one node with a
     count. Vectors that are null, zero, hold null or non-finite components, or
     are not of the usual size link with nothing. Components take the smallest
-    id; a null id is the smallest of all and its component is null. Repeated
+    id; a null id counts as the largest of all; where it is alone the component is null. Repeated
     rows are vectors like any other. An empty table gives an empty table.
     """
     spark = vectors.sparkSession

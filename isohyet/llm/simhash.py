@@ -202,8 +202,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, lanes array<long>")
 
 
-#: Stands for the null id while classes are joined.
-NO_ID = -(1 << 63)
+#: Stands for the null id while classes are joined: the largest, so that it names no class with another id.
+NO_ID = (1 << 63) - 1
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, lanes: int = 1, total: int | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are maximal runs without ASCII white space, A-Z in lower case. Equal
     fingerprints are one node, so copies cost nothing in the join. Null or empty
     texts have fingerprint 0 and link like any other. Ids are integers; a null id
-    is carried as the smallest of all, and its component is null. Repeated rows
+    counts as the largest of all; where it is the only one, the component is null. Repeated rows
     give repeated results; an empty table gives an empty table.
     """
     own = cut(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")

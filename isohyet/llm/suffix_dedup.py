@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from isohyet.llm._common import cut, small_batches, with_fields, without
 
 GRAM = 32  # bytes of an anchor
-DEPTHS = (8, 16, 32, 64, 128)
 BLOCK = 1 << 20  # windows looked at in one go
 LOW24 = np.uint64((1 << 24) - 1)
 
@@ -50,6 +49,14 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def depths(length: int) -> list[int]:
+    """From the eight bytes of a machine word by doubling to the length, which is eight or more."""
+    out = [8]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
+
+
 class Sorted:
     """The suffixes of one shard in order, at each depth: class of each place, and a place of each class.
 
@@ -66,7 +73,7 @@ class Sorted:
             key = (key << np.uint64(8)) | padded[i : i + n + length]
         self.head, self.classes, self.places = key, [], []
         deep = 0
-        for depth in (*DEPTHS, length):
+        for depth in depths(length):
             if deep:
                 low = self.classes[-1].astype(np.int64)
                 jump = depth - deep
@@ -89,7 +96,7 @@ def interleave(shards: list[Sorted], length: int) -> list[np.ndarray]:
     """
     joint: list[np.ndarray] = []
     deep = 0
-    for level, depth in enumerate((*DEPTHS, length)):
+    for level, depth in enumerate(depths(length)):
         keys = []
         for k, s in enumerate(shards):
             at = s.places[level]
