@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import io
 import os
+import re
 import struct
 
 import numpy as np
@@ -18,6 +19,8 @@ from isohyet.llm._common import cut, new_folder, small_batches
 
 MAGIC = b"ISORPR01"
 #: White space that every pre-tokenizer here drops and no normalizer joins across: texts are split at it, and each piece is encoded once.
+#: Marks after a letter or digit: the pre-tokenizer always has a boundary in front of them.
+ENDING = re.compile(r"(?<=[^\W_])[!-/:-@\[-`{-~]+$")
 BREAKS = str.maketrans("\n\t\r", "   ")
 
 
@@ -26,7 +29,7 @@ def repair(ids: np.ndarray, first_free: int, end_id: int, rounds: int = 3, rules
 
     Pairs of one round never overlap, as no symbol is the first of one and the
     second of another; so the order of replacement doesn't matter. Pairs are
-    counted in full, by hash first and exactly for the frequent hashes. The end
+    counted over the whole file, by hash first and exactly for the frequent hashes. The end
     of a document is never in a pair, so documents stay apart.
     """
     seq = ids.astype(np.int32)
@@ -36,33 +39,42 @@ def repair(ids: np.ndarray, first_free: int, end_id: int, rounds: int = 3, rules
         if len(seq) < 2 or free + 1 > 1 << 16:
             break
         a, b = seq[:-1], seq[1:]
-        mark = ((a * np.int32(-1640531527) + b * np.int32(97)).view(np.uint32) >> np.uint32(12)).astype(np.int32)
-        count = np.bincount(mark, minlength=1 << 20)
-        cut_at = max(least, int(np.partition(count, -2 * rules)[-2 * rules]))
-        at = np.flatnonzero((count >= cut_at)[mark])
+        mark = ((a * np.int32(-1640531527) + b * np.int32(97)).view(np.uint32) >> np.uint32(10)).astype(np.int32)
+        count = np.bincount(mark, minlength=1 << 22)
+        top = np.argpartition(count, -2 * rules)[-2 * rules :]
+        top = top[count[top] >= least]
+        slot = np.full(1 << 22, -1, np.int32)
+        slot[top] = np.arange(len(top))
+        place = slot[mark]
+        at = np.flatnonzero(place >= 0)
+        place = place[at]
         key = a[at].astype(np.int64) << 20 | b[at]
-        pairs, n = np.unique(key, return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        role, chosen = {}, []
-        for i in order[: 4 * rules].tolist():
-            x, y = int(pairs[i]) >> 20, int(pairs[i]) & 0xFFFFF
+        # each hash stands for the first of its pairs; an exact count of that pair alone decides
+        pair = np.zeros(len(top), np.int64)
+        pair[place[::-1]] = key[::-1]
+        exact = pair[place] == key
+        at, place = at[exact], place[exact]
+        n = np.bincount(place, minlength=len(top))
+        role, taken = {}, np.full(len(top), -1, np.int32)
+        chosen = []
+        for i in np.argsort(-n, kind="stable").tolist():
+            x, y = int(pair[i]) >> 20, int(pair[i]) & 0xFFFFF
             if n[i] < least or len(chosen) == rules or free + len(chosen) >= 1 << 16:
                 break
             if x != y and end_id not in (x, y) and role.get(x, 1) == 1 and role.get(y, 2) == 2:
                 role[x], role[y] = 1, 2
-                chosen.append(int(pairs[i]))
+                taken[i] = len(chosen)
+                chosen.append((x, y))
         if not chosen:
             break
-        chosen = np.array(sorted(chosen), np.int64)
-        place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[place] == key
-        at, place = at[hit], place[hit]
+        place = taken[place]
+        at, place = at[place >= 0], place[place >= 0]
         seq = seq.copy()
         seq[at] = free + place
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        grammar += [(int(c) >> 20, int(c) & 0xFFFFF) for c in chosen]
+        grammar += chosen
         free += len(chosen)
     return seq, np.array(grammar, np.int32).reshape(-1, 2)
 
@@ -124,7 +136,7 @@ def pack(doc_ids: list, ids: np.ndarray, ends: np.ndarray, first_free: int, end_
 
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str):
-    """word -> ids as bytes, kept between the tasks of one worker; at most a million words are kept."""
+    """word -> ids as bytes, kept between the tasks of one worker, up to a bound."""
     os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
     from tokenizers import Tokenizer
 
@@ -132,14 +144,29 @@ def _word_ids(path: str):
     tokenizer.encode_special_tokens = True
     known: dict[str, bytes] = {"": b""}
 
+    cores: dict[str, bytes] = {}
+
+    def learn(words: list[str]) -> None:
+        """Words share their cores: without marks at the end, A-Z in lower case where all is ASCII."""
+        split = []
+        for w in words:
+            m = ENDING.search(w)
+            cut = m.start() if m else len(w)
+            core = w[:cut]
+            split.append((w, core.lower() if core.isascii() else core, w[cut:]))
+        new = list({x for _, core, tail in split for x in (core, tail)}.difference(cores))
+        for part, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            cores[part] = np.array(e.ids, "<u2").tobytes()
+        for w, core, tail in split:
+            known[w] = cores[core] + cores[tail]
+
     def encode(texts: list[str]) -> list[bytes]:
         parts = [t.translate(BREAKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(known) > 1_000_000:
-            known.clear()
-            known[""] = b""
-        new = list(set().union(*parts).difference(known))
-        for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u2").tobytes()
+        for held, most in ((known, 300_000), (cores, 1_000_000)):
+            if len(held) > most:
+                held.clear()
+        known[""] = b""
+        learn(list(set().union(*parts).difference(known)))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode, tokenizer.get_vocab_size()
