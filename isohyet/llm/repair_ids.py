@@ -39,11 +39,11 @@ def repair(ids: np.ndarray, first_free: int, end_id: int, rounds: int = 3, rules
         if len(seq) < 2 or free + 1 > 1 << 16:
             break
         a, b = seq[:-1], seq[1:]
-        mark = ((a * np.int32(-1640531527) + b * np.int32(97)).view(np.uint32) >> np.uint32(10)).astype(np.int32)
-        count = np.bincount(mark, minlength=1 << 22)
+        mark = ((a * np.int32(-1640531527) + b * np.int32(97)).view(np.uint32) >> np.uint32(12)).astype(np.int32)
+        count = np.bincount(mark, minlength=1 << 20)
         top = np.argpartition(count, -2 * rules)[-2 * rules :]
         top = top[count[top] >= least]
-        slot = np.full(1 << 22, -1, np.int32)
+        slot = np.full(1 << 20, -1, np.int32)
         slot[top] = np.arange(len(top))
         place = slot[mark]
         at = np.flatnonzero(place >= 0)
