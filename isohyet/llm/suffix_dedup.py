@@ -79,7 +79,7 @@ class Sorted:
                 jump = depth - deep
                 key = low[: len(low) - jump] << 32 | low[jump:]
             _, place, of = np.unique(key, return_index=True, return_inverse=True)
-            self.places.append(place)
+            self.places.append(place.astype(np.int32))
             self.classes.append(of.astype(np.int32))
             deep = depth
 
@@ -110,7 +110,7 @@ def interleave(shards: list[Sorted], length: int) -> list[np.ndarray]:
     return [j[s.classes[-1]] for j, s in zip(joint, shards)]
 
 
-def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = 1 << 21) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
     """For each string, whether each of its windows of ``length`` bytes also starts elsewhere in the strings."""
     shards, group, size = [], [], 0
     for i, s in enumerate(strings):
@@ -194,7 +194,7 @@ def _merge_groups(contents: DataFrame, length: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for gram, content, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "body"))):
-                if size > 1 << 23 and gram != held[-1][0]:
+                if size > 1 << 21 and gram != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append((gram, content, body))
