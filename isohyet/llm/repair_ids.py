@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import io
 import os
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ from isohyet.llm._common import cut, new_folder, small_batches
 
 MAGIC = b"ISORPR01"
 #: White space that every pre-tokenizer here drops and no normalizer joins across: texts are split at it, and each piece is encoded once.
+#: The letters that byte-level vocabularies write bytes as: printable Latin-1 as it is, the others from U+0100 on, in order.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - PLAIN))}
 #: Marks after a letter or digit: the pre-tokenizer always has a boundary in front of them.
 ENDING = re.compile(r"(?<=[^\W_])[!-/:-@\[-`{-~]+$")
 BREAKS = str.maketrans("\n\t\r", "   ")
@@ -145,24 +150,40 @@ def _word_ids(path: str):
     known: dict[str, bytes] = {"": b""}
 
     cores: dict[str, bytes] = {}
+    merge = tokenizer.model.tokenize
 
     def learn(words: list[str]) -> None:
-        """Words share their cores: without marks at the end, A-Z in lower case where all is ASCII."""
-        split = []
+        """Words share their cores: without marks at the end, A-Z in lower case where all is ASCII.
+
+        A core of lower-case letters in normal form passes the normalizer as it
+        is and is one piece, so it goes to the merges at once; others take the
+        whole tokenizer.
+        """
+        split, odd = [], set()
         for w in words:
-            m = ENDING.search(w)
-            cut = m.start() if m else len(w)
-            core = w[:cut]
-            split.append((w, core.lower() if core.isascii() else core, w[cut:]))
-        new = list({x for _, core, tail in split for x in (core, tail)}.difference(cores))
-        for part, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cores[part] = np.array(e.ids, "<u2").tobytes()
+            core, tail = w, ""
+            if not w[-1].isalnum() and (m := ENDING.search(w)):
+                core, tail = w[: m.start()], w[m.start() :]
+            if core.isascii():
+                core = core.lower()
+            split.append((w, core, tail))
+            if core not in cores:
+                if core.isalpha() and (core.isascii() or (core.lower() == core and unicodedata.is_normalized("NFC", core))):
+                    piece = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    cores[core] = array.array("H", [t.id for t in merge(piece)]).tobytes()
+                else:
+                    odd.add(core)
+            if tail and tail not in cores:
+                odd.add(tail)
+        odd = list(odd)
+        for part, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            cores[part] = array.array("H", e.ids).tobytes()
         for w, core, tail in split:
-            known[w] = cores[core] + cores[tail]
+            known[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [t.translate(BREAKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        for held, most in ((known, 300_000), (cores, 1_000_000)):
+        for held, most in ((known, 500_000), (cores, 500_000)):
             if len(held) > most:
                 held.clear()
         known[""] = b""
