@@ -183,7 +183,7 @@ def _word_ids(path: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [t.translate(BREAKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        for held, most in ((known, 500_000), (cores, 500_000)):
+        for held, most in ((known, 900_000), (cores, 700_000)):
             if len(held) > most:
                 held.clear()
         known[""] = b""
