@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +39,37 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1
     return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
 
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
+    """(64-bit digest of the word sequence, sorted distinct 64-bit hashes of its word shingles); a shorter text is one shingle, no words none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(parts)
+    node = xxhash.xxh3_64_intdigest(line)
+    if not parts:
+        return node, np.empty(0, np.uint64)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    stops = ends[min(words, len(parts)) - 1 :].tolist()
+    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    hashed = xxhash.xxh64_intdigest
+    return node, np.unique(np.fromiter((hashed(line[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops)))
+
+
+@functools.lru_cache(maxsize=4)
+def _factors(lanes: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 1 << 63, (64 * lanes, 1), np.uint64) * np.uint64(2) + ONE
+
+
+def minwise(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """64-bit lanes of one-bit MinHashes of a set: two sets of Jaccard similarity J differ in each bit with a chance of (1 - J) / 2."""
+    if not len(hashes):
+        return np.zeros(lanes, np.uint64)
+    factors = _factors(lanes)
+    low = np.full(64 * lanes, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 128):
+        np.minimum(low, (factors * hashes[lo : lo + 128]).min(axis=1), out=low)
+    bits = ((low >> np.uint64(20)) & ONE).astype(np.uint8)
+    return np.packbits(bits).view(">u8").astype(np.uint64)
+
+
 def settle(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Smallest label reachable over the links a-b, by hooking and pointer jumping."""
     while True:
@@ -56,7 +89,23 @@ def settle(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         label = new
 
 
-def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256) -> np.ndarray:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among a-b that join all that a-b join, without cycles."""
+    label, kept = np.arange(n), [(a[:0], b[:0])]
+    while True:
+        live = label[a] != label[b]
+        a, b = a[live], b[live]
+        if not len(a):
+            return tuple(np.concatenate(c) for c in zip(*kept))
+        best = np.full(n, len(a))
+        for end in (a, b):
+            np.minimum.at(best, label[end], np.arange(len(a)))
+        pick = np.unique(best[best < len(a)])
+        kept.append((a[pick], b[pick]))
+        label = settle(n, a[pick], b[pick], label)
+
+
+def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, sure: int | None = None):
     """A label for each code: the smallest place linked to it, over pairs under one root within budget bits, and within total bits over all lanes.
 
     code is sorted within each root, and shared[i] leading bits are equal in the
@@ -65,11 +114,16 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
     budget go, as do pairs of nodes that hold one and the same class already;
     so the budget grows in steps, and dense groups of near copies are joined
     along close links before wide ones are looked at.
+
+    With ``sure``, links are still to be confirmed: only pairs within sure bits
+    over all lanes make a class, and the result is (a, b): links that join each
+    class, and every other pair that is not within one class.
     """
     n = len(code)
     label = np.arange(n)
+    near_a, near_b = [label[:0]], [label[:0]]
     if n < 2:
-        return label
+        return label if sure is None else (label[:0], label[:0])
     begin = np.flatnonzero(np.diff(root, prepend=root[0] - 1))
     end = np.append(begin[1:], n)
     deep = shared[begin].astype(np.int64)
@@ -92,9 +146,13 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
                     i, j = al[s][which] + off // nb[which], bl[s][which] + off % nb[which]
                     good = (i < j) & (np.bitwise_count(code[i] ^ code[j]) <= allowed)
                     i, j = i[good], j[good]
-                    good = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= total
+                    bits = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
+                    good = bits <= total
                     found_a.append(i[good])
                     found_b.append(j[good])
+                    if sure is not None:
+                        near_a.append(i[bits <= sure])
+                        near_b.append(j[bits <= sure])
             al, ah, bl, bh, depth, err = (x[~small] for x in (al, ah, bl, bh, depth, err))
             if not len(al):
                 continue
@@ -113,10 +171,17 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
                 out.append([v[ok] for v in (w, x, y, z, depth + 1, e)])
             stack.append(tuple(np.concatenate(c) for c in zip(*out)))
         if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            a, b = (np.concatenate(c) for c in ((found_a, found_b) if sure is None else (near_a, near_b)))
+            if sure is not None:
+                a, b = forest(n, a, b)
+                near_a, near_b = [a], [b]
             if len(a):
                 label = settle(n, a, b, label)
-    return label
+    if sure is None:
+        return label
+    a, b = (np.concatenate(c) if c else label[:0] for c in (found_a, found_b))
+    apart = label[a] != label[b]
+    return np.concatenate([*near_a, a[apart]]), np.concatenate([*near_b, b[apart]])
 
 
 def _middle(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -140,7 +205,7 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def hamming_links(codes: DataFrame, lanes: int = 1, budget: int = 4, total: int | None = None) -> DataFrame:
+def hamming_links(codes: DataFrame, lanes: int = 1, budget: int = 4, total: int | None = None, sure: int | None = None) -> DataFrame:
     """codes (node long, lanes array<long>) -> edges (a, b) that connect what links connect.
 
     Two nodes link if one lane of theirs differs in at most budget bits and all
@@ -148,7 +213,8 @@ def hamming_links(codes: DataFrame, lanes: int = 1, budget: int = 4, total: int
     code is turned so that the block comes first, and node pairs that share it go
     on below. Two codes within the budget agree on a whole block, so they meet
     under one root; a root is a key of the shuffle, its codes come sorted, and
-    only edges from a code to the first of its class leave the task.
+    only edges from a code to the first of its class leave the task. With
+    ``sure`` (see trie_links) edges are pairs that link by themselves.
     """
     blocks = _blocks(budget)
     most = total if total is not None else 64 * lanes
@@ -166,6 +232,9 @@ def hamming_links(codes: DataFrame, lanes: int = 1, budget: int = 4, total: int
         code = turned.view(np.uint64)
         order = np.lexsort((code, key))
         node, all_lanes, code, key = node[order], all_lanes[order], code[order], key[order]
+        if sure is not None:
+            a, b = trie_links(code, key, widths[key >> 32], budget, all_lanes, most, sure=sure)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
         label = trie_links(code, key, widths[key >> 32], budget, all_lanes, most)
         far = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
@@ -223,16 +292,66 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(classes, "lanes").select("id", "lanes", "component")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 6, lanes: int = 4, similarity: float = 0.8) -> DataFrame:
+def shingle_codes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """(id long, node long, lanes array<long>) for each row: the digest of the word sequence and the MinHash bits of its shingles."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            node, sets = zip(*(shingles(t, words) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            codes = np.array([minwise(h, lanes) for h in sets], np.uint64).reshape(-1)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))], names=["id", "node", "lanes"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, lanes array<long>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``, by exact count."""
+
+    def texts(batches):
+        for batch in batches:
+            lines = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(0).to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0)], names=["node", "text"])
+
+    def sets(batches):
+        for batch in batches:
+            got = [shingles(t, words)[1].view(np.int64) for t in batch.column(1).to_pylist()]
+            offsets = pa.array(np.cumsum([0] + [len(x) for x in got]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*got, np.empty(0, np.int64)])))], names=["node", "held"])
+
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "node long, text string").join(asked, "node", "left_semi")
+    held = cut(seen.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, held array<long>"), "shingles")
+    ends = [held.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(both / (F.size("held_a") + F.size("held_b") - both) >= similarity).select("a", "b")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 6, lanes: int = 7, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each component the document of the smallest id stays.
 
-    ``lanes`` fingerprints of five-word shingles find pairs (one lane within
-    budget bits) and confirm them: their differing bits estimate the angle
-    between the shingle vectors, and a Jaccard similarity J of two sets of like
-    size is a cosine of 2J / (1 + J). Rows of one id are one document; rows with
-    a null id stay.
+    The tries only find candidates: lanes of one-bit MinHashes of the five-word
+    shingles, one lane within budget bits. At a similarity of 0.8 a bit differs
+    with a chance of 0.1 (a SimHash sign: 0.15), a lane is within 6 bits with one
+    of 0.54, one of 7 lanes with one of 0.996. Candidates far apart over all
+    lanes (beyond 3.3 standard deviations at the similarity) go; each one left is
+    confirmed by the exact Jaccard similarity of the shingle sets. Texts of the
+    same words are one node. Rows of one id are one document; rows with a null id
+    stay.
     """
-    total = int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    groups = simhash_groups(docs, id_col, text_col, words, budget, lanes, total)
-    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    own = cut(shingle_codes(docs, id_col, text_col, words, lanes), "codes")
+    nodes = cut(own.groupBy("node").agg(F.first("lanes").alias("lanes")), "nodes")
+    mean = 64 * lanes * (1 - similarity) / 2
+    spare = np.sqrt(mean * (1 + similarity) / 2)
+    pairs = cut(hamming_links(nodes, lanes, budget, int(np.ceil(mean + 3.3 * spare)), max(0, int(mean - 5 * spare))).distinct(), "pairs")
+    links = confirmed(pairs, docs, text_col, words, similarity)
+    # texts of one id that differ are one document
+    one = own.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    same = own.join(one.where("a <> z"), "id").select("a", F.col("node").alias("b"))
+    roots = connected_components(links.union(same))
+    classes = cut(own.where("id is not null").select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "classes")
+    low = classes.groupBy("root").agg(F.min("id").alias("low"))
+    gone = classes.join(spread(low), "root").where("id <> low").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -315,6 +315,23 @@ def test_simhash_dedup_keeps_one(spark):
     assert {1, 2, 3, 7, None} >= got and {1, 2} <= got and len(got & {3, 5, 9}) <= 1
 
 
+def test_simhash_dedup_finds_pairs_at_the_limit(spark):
+    """Four single edits of 200 words: 176 of 216 shingles (0.815); five: 171 of 221 (0.774)."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
+        other = list(words)
+        edits = 4 if i < 100 else 5
+        for e in range(edits):
+            other[10 + 40 * e - (5 if edits == 5 else 0)] = f"new{i}x{e}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(200)} <= kept
+    assert sum(2 * i + 1 not in kept for i in range(100)) >= 97
+    assert all(2 * i + 1 in kept for i in range(100, 200))
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(60)]
