@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,48 +72,90 @@ def canonical(text: str | None) -> tuple[list[str], dict[int, tuple[str, str]]]:
 
 
 def windows(tokens: list[str], width: int, cache: dict[str, int]) -> np.ndarray:
-    """64-bit hash of each window; a shorter text is one window; no tokens, none."""
-    if not tokens:
+    """64-bit hash of each window of ``width`` tokens; a shorter text has none."""
+    if len(tokens) < width:
         return np.empty(0, np.uint64)
     if len(cache) > 500_000:
         cache.clear()
     for t in set(tokens).difference(cache):
         cache[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
     h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    k = min(width, len(tokens))
-    n = len(h) - k + 1
-    out = np.full(n, k, np.uint64)
-    for i in range(k):
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
         out = (out ^ (out >> np.uint64(29))) * MIX + h[i : i + n]
     return out
 
 
-def template_windows(frame: DataFrame, id_col: str, text_col: str, width: int, only=None) -> DataFrame:
-    """(id, at, hash, slots, total) for each template window; ``only``: a broadcast sorted array of the hashes that matter."""
-    schema = T.StructType([T.StructField("id", frame.schema[id_col].dataType), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("total", T.LongType())])
+def template_windows(frame: DataFrame, id_col: str, text_col: str, width: int, only=None, lengths: list[int] | None = None) -> DataFrame:
+    """(id, at, hash, window, slots, size) for each window, as template and, where it has slots, once more by its words in lower case, without slots.
+
+    window is the hash of the template in both. Windows have each of the
+    ``lengths``; where none are given, ``width`` or the whole of a shorter text.
+    A window that is shorter than width and holds nothing but slots says nothing
+    as a template and comes by its words alone. ``only``: a broadcast sorted
+    array of the hashes that matter.
+    """
+    schema = T.StructType([T.StructField("id", frame.schema[id_col].dataType), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("size", T.IntegerType())])
 
     def run(batches):
         cache: dict[str, int] = {}
         for batch in batches:
-            ids, at, hashes, values, totals = [], [], [], [], []
+            ids, at, hashes, names, values, sizes = [], [], [], [], [], []
             for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, slots = canonical(text)
-                h = windows(tokens, width, cache)
-                if only is not None and len(only.value):
-                    keep = np.flatnonzero(only.value[np.minimum(np.searchsorted(only.value, h), len(only.value) - 1)] == h)
-                else:
-                    keep = np.arange(0 if only is not None else len(h))
-                for i in keep.tolist():
-                    ids.append(one)
-                    at.append(i)
-                    values.append([f"{kind}{value}" for j in range(i, i + width) if j in slots for kind, value in (slots[j],)])
-                hashes += h[keep].view(np.int64).tolist()
-                totals += [len(h)] * len(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(hashes, pa.int64()), pa.array(values, pa.list_(pa.string())), pa.array(totals, pa.int64())], names=schema.names)
+                words = list(tokens)
+                for j, (_, value) in slots.items():
+                    words[j] = value.lower()
+                held = np.zeros(len(tokens) + 1, np.int64)
+                held[[j + 1 for j in slots]] = 1
+                held = np.cumsum(held)
+                for k in lengths or [min(width, len(tokens)) or width]:
+                    typed = windows(tokens, k, cache)
+                    n_slots = held[k:] - held[:-k] if len(typed) else typed
+                    plain = windows(words, k, cache) if slots else typed
+                    for h, ok, literal in ((typed, (n_slots < k) | (k == width), False), (plain, n_slots > 0, True)):
+                        if only is not None:
+                            ok = ok & (only.value[np.minimum(np.searchsorted(only.value, h), len(only.value) - 1)] == h) if len(only.value) else np.zeros(len(h), bool)
+                        keep = np.flatnonzero(ok)
+                        for i in keep.tolist():
+                            ids.append(one)
+                            at.append(i)
+                            values.append([] if literal else [f"{kind}{value}" for j in range(i, i + k) if j in slots for kind, value in (slots[j],)])
+                        hashes += h[keep].view(np.int64).tolist()
+                        names += typed[keep].view(np.int64).tolist()
+                        sizes += [k] * len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(hashes, pa.int64()), pa.array(names, pa.int64()), pa.array(values, pa.list_(pa.string())), pa.array(sizes, pa.int32())], names=schema.names)
 
     return frame.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def agreeing(met: DataFrame) -> DataFrame:
+    """(id, item, n_pairs, windows) for each document, item and offset: the windows whose slots follow the map that most windows agree on.
+
+    The map is one to one: pairs of values are taken in the order of the windows
+    that hold them, pairs of equal values first among ties.
+    """
+    schema = T.StructType([met.schema["id"], met.schema["item"], T.StructField("n_pairs", T.LongType()), T.StructField("windows", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            counts, kept = [], []
+            for rows in batch.column("rows").to_pylist():
+                pairs = [(r["window"], set(zip(r["slots"], r["item_slots"]))) for r in rows]
+                seen = Counter(p for _, ps in pairs for p in ps)
+                theirs, ours = {}, {}
+                for p in sorted(seen, key=lambda p: (-seen[p], p[0] != p[1], p)):
+                    if p[0] not in theirs and p[1] not in ours:
+                        theirs[p[0]], ours[p[1]] = p[1], p[0]
+                kept.append(list({w for w, ps in pairs if all(theirs.get(a) == b for a, b in ps)}))
+                counts.append(len(theirs))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("item"), pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=schema.names)
+
+    rows = met.groupBy("id", "item", "shift").agg(F.collect_set(F.struct("item_at", "window", "slots", "item_slots")).alias("rows"))
+    return rows.select("id", "item", "rows").mapInArrow(run, schema)
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -127,12 +170,15 @@ def leaks(
     """(id_col, item_col, n_windows, n_matched, n_slots, similarity) for each document that holds a benchmark item.
 
     Documents and items become template tokens (see canonical) and windows of
-    ``width`` tokens, joined by hash. Matches of one document, item and offset
-    count if their slots agree: each value of the item stands for one value of
-    the document and the other way round, so that an item with other numbers or
-    names is found but not a chance mixture. A document holds an item if at least
-    ``similarity`` of the item's distinct windows match. An item shorter than a
-    window is one window by itself and is only found in such a short document.
+    ``width`` tokens, joined by hash; a window with slots also joins by its words
+    in lower case, so that a copy is found whatever its capitals and line ends.
+    Matches of one document, item and offset count if their slots agree with the
+    one-to-one map of values that most of its windows hold, so that an item with
+    other numbers or names is found but not a chance mixture; a match by words
+    always counts. A document holds an item if at least ``similarity`` of the
+    item's distinct windows match. An item shorter than a window is one window
+    of its own length, searched in documents of any length; if it has nothing
+    but slots, by its words.
 
     Hashes of the items go to the tasks if they are at most broadcast_rows,
     which keeps other windows out of the shuffle; else all windows are joined.
@@ -141,26 +187,19 @@ def leaks(
     give an empty result.
     """
     small_batches(docs.sparkSession)
-    ours = cut(template_windows(benchmark, item_col, item_text, width), "item-windows").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    sizes = ours.groupBy("item").agg(F.count_distinct("hash").alias("n_windows"))
+    ours = cut(template_windows(benchmark, item_col, item_text, width), "item-windows").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "window", F.col("slots").alias("item_slots"), "size")
+    sizes = ours.groupBy(F.col("item").alias("held")).agg(F.count_distinct("window").alias("n_windows"))
+    lengths = sorted(r["size"] for r in ours.select("size").distinct().collect()) or [width]
     only = None
     if ours.limit(broadcast_rows + 1).count() <= broadcast_rows:
         hashes = ours.select("hash").distinct().toArrow().column(0).to_numpy()
         only = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
-    theirs = template_windows(docs, id_col, text_col, width, only).drop("total")
-    met = theirs.join(ours, "hash").select("id", "item", "hash", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots")
-    # an empty pair list still counts as a window, hence explode_outer
-    pairs = met.select("id", "item", "shift", "hash", F.explode_outer(F.arrays_zip("slots", "item_slots")).alias("p")).select("id", "item", "shift", "hash", "p.slots", "p.item_slots").distinct()
-    by_shift = pairs.groupBy("id", "item", "shift").agg(
-        F.collect_set("hash").alias("hashes"),
-        F.count_distinct("slots", "item_slots").alias("n_pairs"),
-        F.count_distinct("slots").alias("n_theirs"),
-        F.count_distinct("item_slots").alias("n_ours"),
-    )
-    agreed = by_shift.where("n_pairs = n_theirs and n_pairs = n_ours")
-    found = agreed.select("id", "item", "n_pairs", F.explode("hashes").alias("hash")).groupBy("id", "item").agg(F.count_distinct("hash").alias("n_matched"), F.max("n_pairs").alias("n_slots"))
+    theirs = template_windows(docs, id_col, text_col, width, only, lengths).select("id", "at", "hash", "slots")
+    met = theirs.join(ours, "hash").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "window", "slots", "item_slots")
+    agreed = agreeing(met)
+    found = agreed.select("id", "item", "n_pairs", F.explode("windows").alias("window")).groupBy("id", "item").agg(F.count_distinct("window").alias("n_matched"), F.max("n_pairs").alias("n_slots"))
     return (
-        found.join(F.broadcast(sizes) if only is not None else sizes, found["item"].eqNullSafe(sizes["item"])).drop(sizes["item"])
+        found.join(F.broadcast(sizes) if only is not None else sizes, F.col("item").eqNullSafe(F.col("held")))
         .where(F.col("n_matched") >= F.lit(similarity) * F.col("n_windows"))
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "n_slots", (F.col("n_matched") / F.col("n_windows")).alias("similarity"))
     )

@@ -178,6 +178,18 @@ def test_decontamination(spark):
     assert decontam.leaks(docs, bench.where("1 = 0")).count() == 0 == decontam.leaks(docs.where("1 = 0"), bench).count()
 
 
+def test_decontamination_finds_edited_recased_and_short_items(spark):
+    rng = random.Random(10)
+    item = "A train leaves the old station at 40 km per hour and Alice waits for 3 hours before it comes back home again"
+    twice = f"The tank in the yard holds 3 measures of rain {text_of(rng, 12)} while the barn behind it needs 3 measures of seed {text_of(rng, 12)} until the end of the season"
+    edited = twice.replace("3 measures of seed", "4 measures of seed")
+    rows = [(1, f"{text_of(rng, 40)} {item.lower()}"), (2, item.replace("and Alice", "and\nAlice")), (3, f"{text_of(rng, 30)} {edited} {text_of(rng, 30)}"), (4, f"{text_of(rng, 30)} zebra quagga okapi {text_of(rng, 30)}"), (5, f"{text_of(rng, 30)} 17 {text_of(rng, 30)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, twice), (12, "Zebra quagga okapi"), (13, "23")], "item_id long, text string")
+    for rows in (2_000_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, broadcast_rows=rows).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12)}
+
+
 def test_id_files(spark, docs, texts):
     from tokenizers import Tokenizer
 
