@@ -148,6 +148,18 @@ def _word_ids(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     known: dict[str, bytes] = {"": b""}
+    added = [(t.content.lower(), {c for c in t.content if not c.isalnum()}) for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = functools.lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+
+    def special(text: str) -> bool:
+        """Whether the library may find an added token in the text, as it is or normalized: such a text can't be split into words."""
+        low = text.lower()
+        if any(content in low for content, _ in added):
+            return True
+        if text.isascii() or tokenizer.normalizer is None or not any(all(c in text for c in marks) for _, marks in added):
+            return False
+        low = tokenizer.normalizer.normalize_str(text).lower()
+        return any(content in low for content, _ in added)
 
     cores: dict[str, bytes] = {}
     merge = tokenizer.model.tokenize
@@ -182,6 +194,14 @@ def _word_ids(path: str):
             known[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def encode(texts: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if special(t)]
+        if odd:
+            held = {i: array.array("H", e.ids).tobytes() for i, e in zip(odd, whole().encode_batch([texts[i] for i in odd], add_special_tokens=False))}
+            rest = iter(split([t for i, t in enumerate(texts) if i not in held]))
+            return [held[i] if i in held else next(rest) for i in range(len(texts))]
+        return split(texts)
+
+    def split(texts: list[str]) -> list[bytes]:
         parts = [t.translate(BREAKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
         for held, most in ((known, 900_000), (cores, 700_000)):
             if len(held) > most:

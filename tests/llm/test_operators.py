@@ -208,6 +208,17 @@ def test_id_files(spark, docs, texts):
     assert sorted((r.id or 0, r.start) for r in repair_ids.id_file_round_trip(odd, path).collect()) == [(0, 0), (5, 3), (5, 5)]
 
 
+def test_id_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    contents = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = [f"one {contents[-1]} two{contents[0]}", "plain words here", f"{contents[0].upper()}Up", f"a{contents[0]}b é\n{contents[-1].upper()}!", "< | > é", contents[0][:-1]]
+    got = repair_ids.id_file_round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.append(rng.integers(3, 9, n), 2) for n in rng.integers(0, 50, 400)]).astype("<u2")
