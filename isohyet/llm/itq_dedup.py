@@ -50,6 +50,58 @@ def table_plan(n: int, least: float, recall: float = 0.97) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def near_pairs(unit: np.ndarray, least: float, rng: np.random.Generator, anchors: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, group): pairs of unit vectors at a cosine of ``least`` like those the data may hold, and the group in which recall is measured.
+
+    Each anchor is moved to the cosine in a direction without preference and in
+    one between two vectors of the sample; pairs of the sample at or little above
+    the cosine are taken as they are. Anchors are grouped by how many vectors of
+    the sample are near them, so that a dense group has a figure of its own.
+    """
+    n, d = unit.shape
+    at = rng.choice(n, min(n, anchors), replace=False)
+    x = unit[at]
+    cosines = x @ unit.T
+    dense = np.argsort(np.argsort((cosines >= 0.8 * least).sum(axis=1), kind="stable")) * 5 // len(at)
+    parts = []
+    for kind, step in enumerate((rng.standard_normal(x.shape), unit[rng.integers(0, n, len(at))] - unit[rng.integers(0, n, len(at))])):
+        step -= (step * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(step, axis=1)
+        ok = size > 1e-9
+        parts.append((x[ok], least * x[ok] + math.sqrt(1 - least * least) * step[ok] / size[ok, None], 5 * kind + dense[ok]))
+    i, j = np.nonzero((cosines >= least) & (cosines < least + 0.2 * (1 - least)))
+    if len(i) >= 100:
+        some = rng.choice(len(i), min(len(i), 5 * anchors), replace=False)
+        parts.append((x[i[some]], unit[j[some]], 10 + dense[i[some]]))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def measured_plan(n: int, sample: np.ndarray, least: float, recall: float = 0.97, most: int = 128):
+    """(bits of a key, tables, codes): tables are as many as find, by the learnt bits, the wanted share of near pairs in the worst group.
+
+    Where ``most`` tables are not enough, keys get shorter: buckets grow, and
+    none is cut short, so that recall is kept at the price of comparisons.
+    """
+    width, tables = table_plan(n, least, recall)
+    if len(sample) < 2:
+        return width, tables, learn_codes(sample, width * tables)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    a, b, group = near_pairs(unit, least, np.random.default_rng(3))
+    mean, projection, threshold = learn_codes(sample, width * most)
+    same = ((a - mean) @ projection >= threshold) == ((b - mean) @ projection >= threshold)
+    groups = [group == g for g in np.unique(group) if (group == g).sum() >= 20] or [np.ones(len(group), bool)]
+    while True:
+        usable = min(most, same.shape[1] // width)
+        met = np.logical_or.accumulate(same[:, : usable * width].reshape(len(same), usable, width).all(axis=2), axis=1)
+        worst = np.min([met[g].mean(axis=0) for g in groups], axis=0)
+        enough = np.flatnonzero(worst >= recall)
+        if len(enough) or width == 1:
+            tables = max(tables, int(enough[0]) + 1) if len(enough) else usable
+            tables = min(tables, usable)
+            return width, tables, (mean, projection[:, : width * tables], threshold[: width * tables])
+        width -= 1
+
+
 def valid(col: str, size: int) -> F.Column:
     """Whether a vector can be compared: of the size that is usual here, finite throughout, and not zero."""
     finite = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -67,8 +119,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     A rotation is learnt on at most ``sample`` distinct vectors; all vectors are
     coded and put into every table under that table's part of the code. Vectors
     that share a key are compared in double precision with the original
-    components, so no link is below ``least``; the number of tables is set for a
-    chance of 0.97 to find a pair just at it. A pair is counted in the first
+    components, so no link is below ``least``; the number of tables is set by
+    measuring the learnt bits on the sample, for a share of 0.97 of the pairs just
+    at it, in the worst group (see measured_plan). A pair is counted in the first
     table where its keys agree, so counts add up without pairs leaving the task.
     Buckets of more than ``block`` vectors are split into pairs of blocks, each a
     shuffle key of its own; none is cut short. Equal vectors are one node with a
@@ -82,10 +135,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     d = usual_size(own, "vec")
     nodes = cut(own.where(valid("vec", d)).groupBy("vec").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
-    width, tables = table_plan(nodes.count(), least)
     learnt = nodes.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toArrow().column(0)
     at = np.array(learnt.to_pylist(), np.float64).reshape(-1, d)
-    coder = spark.sparkContext.broadcast(learn_codes(at, width * tables))
+    width, tables, codes = measured_plan(nodes.count(), at, least)
+    coder = spark.sparkContext.broadcast(codes)
 
     def code(batches):
         mean, projection, threshold = coder.value

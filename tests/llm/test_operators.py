@@ -388,3 +388,22 @@ def test_near_vectors(spark, block):
     assert all(got[i] == (0, i) for i in range(185, len(vectors)))
     assert found >= 0.9 * link.sum() and all(got[i][0] <= link[i].sum() for i in range(185)) and link.sum() > 300
     assert len(got) == len(vectors)
+
+
+def test_itq_plan_keeps_recall_off_centre():
+    """Vectors with a large common mean, a third of them in one group of near copies: held against brute force."""
+    rng = np.random.default_rng(4)
+    n, d = 6000, 32
+    mean = np.zeros(d)
+    mean[0] = 1.3
+    rows = mean + rng.standard_normal((n, d)) / np.sqrt(d)
+    rows[: n // 3] = rows[0] + 0.5 * rng.standard_normal((n // 3, d)) / np.sqrt(d)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    width, tables, (centre, projection, threshold) = itq_dedup.measured_plan(n, rows, 0.9)
+    bits = ((unit - centre) @ projection >= threshold).reshape(n, tables, width)
+    keys = (bits * (1 << np.arange(width))).sum(axis=2)
+    for part in (slice(0, n // 3), slice(n // 3, n)):
+        x, k = unit[part], keys[part]
+        i, j = np.nonzero(np.triu((x @ x.T >= 0.9) & (x @ x.T < 0.92), 1))
+        pick = rng.choice(len(i), min(len(i), 20_000), replace=False)
+        assert len(pick) >= 100 and (k[i[pick]] == k[j[pick]]).any(axis=1).mean() >= 0.95
