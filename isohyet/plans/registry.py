@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from isohyet.operators import indices, spi
 from isohyet.plans.catalog import query
+from isohyet.plans.source_queries import scratch
 from isohyet.sources.adapter import KELVIN, UNIT, panel
 
 BASELINE = (1981, 2010)
@@ -169,6 +170,10 @@ def registry_yearly_plain(spark, d):
 
 @query()
 def registry_yearly_with_baseline(spark, d):
-    """Metrics with a baseline, spells or seasons in one plan over the shared panel."""
-    slugs = ["tx90p_hot_days_pct", "wsdi_warm_spell_days", "hwa_heatwave_amplitude", "tas_winter_mean", "gsl_growing_season", "r95p_very_wet_precip", "cwd_consecutive_wet_days", "dtr_daily_temp_range", "twb_annual_mean"]
-    return build(panel(spark, d), [*UNIT, "model"], slugs, (1995, 1998))
+    """All metrics of the registry, plain ones and those with a baseline, spells, seasons or SPI, in one plan over the shared panel."""
+    path = scratch(spark, "panel")
+    panel(spark, d).write.parquet(path)
+    days, unit = spark.read.parquet(path), [*UNIT, "model"]
+    # SPI is fitted to five years of a month at least, which 1995 to 1998 don't hold
+    long = [m.slug for m in METRICS if m.kind == "spi"]
+    return build(days, unit, [m.slug for m in METRICS if m.slug not in long], (1995, 1998)).unionByName(build(days, unit, long))

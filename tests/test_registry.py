@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from isohyet.plans import registry
+from isohyet.plans.catalog import QUERIES
 
 
 def test_registry():
@@ -23,3 +24,10 @@ def test_build_all(spark):
     assert set(got) | never == {m.slug for m in registry.METRICS}
     one = {(r.slug, r.year): r.value for r in registry.build(days, ["unit", "model"], ["txx_annual_max", "pr_max_5day_precip", "fd_frost_days"]).collect()}
     assert one[("txx_annual_max", 2000)] == 319.0 - 273.15 and one[("pr_max_5day_precip", 2000)] == 15 and one[("fd_frost_days", 2000)] == 0
+
+
+def test_registered_query_builds_every_metric(spark):
+    got = {r.slug for r in QUERIES["registry_yearly_with_baseline"](spark, "/root/testdata/sf0.01").select("slug").distinct().collect()}
+    # years without a spell have no row; SPI is fitted to five historical years, these tables hold four (REPLY_r01.md)
+    never = {"hwa_heatwave_amplitude"} | {m.slug for m in registry.METRICS if m.kind == "spi"}
+    assert got | never == {m.slug for m in registry.METRICS}
