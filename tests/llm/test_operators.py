@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -223,11 +224,39 @@ def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.append(rng.integers(3, 9, n), 2) for n in rng.integers(0, 50, 400)]).astype("<u2")
     ends = np.flatnonzero(ids == 2) + 1
-    data = repair_ids.pack(list(range(len(ends))), ids, ends, 20, 2, rounds=4, rules=64, least=4)
-    shard = repair_ids.Shard(data)
-    assert len(shard.rules) > 0 and len(shard.seq) < len(ids)
-    for i, (a, b) in enumerate(zip([0, *ends], ends)):
-        assert shard.decode(i).tolist() == ids[a:b].tolist()
+    for rules in (3, 64, 1 << 14):
+        data = repair_ids.pack(list(range(len(ends))), ids, ends, 20, 2, rules=rules, least=4)
+        shard = repair_ids.Shard(data)
+        assert len(shard.rules) > 0 and len(shard.seq) < len(ids)
+        seq = shard.seq.tolist()
+        left = [p for p in zip(seq, seq[1:]) if 2 not in p and p[0] != p[1]]
+        assert max(map(left.count, set(left))) < 4, "rounds go on until no pair is left that is frequent"
+        assert shard.sizes(0, len(ends)).tolist() == np.diff(ends, prepend=0).tolist()
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            assert shard.decode(i).tolist() == ids[a:b].tolist()
+        assert shard.decode(3, 9).tolist() == ids[ends[2] : ends[8]].tolist()
+    runs = np.array([5] * 999 + [2], "<u2")
+    assert repair_ids.Shard(repair_ids.pack([0], runs, np.array([1000]), 20, 2)).decode(0).tolist() == runs.tolist()
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, coder = Tokenizer.from_file(path), repair_ids.WordCoder(path, most=500)
+    rng = random.Random(3)
+    parts = [*"abcABCxyzéÉßÜüñÑİıΣσςſ'.,!?<|>_-()0129  \n\t\r \u0338\u0301\u0307漢字ｶﾞ\x0b\x1c\x00\xa0’“ﬁǅ\u212a", "'s", "'ll", " don't", "İ'", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " the ", " and."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(10_000)] + ["", " ", "\n", "x" * 5000]
+    assert coder.by_words
+    for lo in range(0, len(texts), 3000):
+        some = texts[lo : lo + 3000]
+        ids, ends = coder.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+    # a file of another kind is applied to whole texts
+    other = repair_ids.WordCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, ends = other.encode(pa.array(some, pa.string()))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_words and [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
 
 
 def brute_lines(rows, least=40, docs=5):
