@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,9 @@ def settle(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         label = new
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among a-b that join all that a-b join, without cycles."""
-    label, kept = np.arange(n), [(a[:0], b[:0])]
+def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among a-b that join all that a-b join beside the classes of ``label``, without cycles; the first links are taken first."""
+    label, kept = np.arange(n) if label is None else label, [(a[:0], b[:0])]
     while True:
         live = label[a] != label[b]
         a, b = a[live], b[live]
@@ -105,54 +106,60 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = settle(n, a[pick], b[pick], label)
 
 
-def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, sure: int | None = None):
-    """A label for each code: the smallest place linked to it, over pairs under one root within budget bits, and within total bits over all lanes.
+def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, links: str = "classes", known: np.ndarray | None = None):
+    """Pairs under one root whose codes differ in at most budget bits, and in at most total bits over all lanes.
 
-    code is sorted within each root, and shared[i] leading bits are equal in the
-    root of i. Node pairs go down the trie together, level by level; a pair's
-    error count is the number of differing bits on its paths. Pairs beyond the
-    budget go, as do pairs of nodes that hold one and the same class already;
-    so the budget grows in steps, and dense groups of near copies are joined
-    along close links before wide ones are looked at.
+    code is sorted within each root, and the shared[i] leading bits of code are
+    equal for all i of a root. Node pairs go down the trie together, level by
+    level; a pair's error count is the number of differing bits on its paths.
+    Pairs beyond the budget go, as do pairs of nodes that hold one and the same
+    class already; so the budget grows in steps, and dense groups of near copies
+    are joined along close links before wide ones are looked at. ``known``
+    numbers the classes that are there from the start.
 
-    With ``sure``, links are still to be confirmed: only pairs within sure bits
-    over all lanes make a class, and the result is (a, b): links that join each
-    class, and every other pair that is not within one class.
+    The result with links = "classes" is a label for each code, the smallest
+    place linked to it; with "forest" (a, b), pairs that join each class without
+    cycles, close ones first; with "pairs" every pair that isn't within a known class.
     """
     n = len(code)
     label = np.arange(n)
-    near_a, near_b = [label[:0]], [label[:0]]
-    if n < 2:
-        return label if sure is None else (label[:0], label[:0])
-    begin = np.flatnonzero(np.diff(root, prepend=root[0] - 1))
+    if known is not None and n:
+        _, first, turn = np.unique(known, return_index=True, return_inverse=True)
+        label = first[turn]
+    origin = label
+    none = np.empty(0, np.int64)
+    kept_a, kept_b = [none], [none]
+    begin = np.flatnonzero(np.diff(root, prepend=root[0] - 1)) if n else none
     end = np.append(begin[1:], n)
-    deep = shared[begin].astype(np.int64)
-    for allowed in sorted({min(budget, 1), min(budget, 2), budget}):
-        turns = np.cumsum(np.diff(label, prepend=label[0]) != 0)
-        found_a, found_b = [], []
+    deep = shared[begin].astype(np.int64) if n else none
+    for allowed in sorted({min(budget, 1), min(budget, 2), budget}) if links != "pairs" else [budget]:
+        turns = np.cumsum(np.diff(label, prepend=label[:1]) != 0)
+        found, n_found = [(none, none, none)], 0
         keep = end - begin > 1
-        stack = [(begin[keep], end[keep], begin[keep], end[keep], deep[keep], np.zeros(keep.sum(), np.int64))]
+        stack = [(begin[keep], end[keep], begin[keep], end[keep], deep[keep], np.zeros(keep.sum(), np.int64))] if n > 1 else []
         while stack:
             al, ah, bl, bh, depth, err = stack.pop()
             one = (turns[al] == turns[ah - 1]) & (turns[bl] == turns[bh - 1]) & (label[al] == label[bl])
             al, ah, bl, bh, depth, err = (x[~one] for x in (al, ah, bl, bh, depth, err))
             small = ((ah - al) * (bh - bl) <= leaf) | (depth >= 64)
-            for s in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) >> 14)):
+            for s in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) >> 13)):
                 if len(s):
                     na, nb = ah[s] - al[s], bh[s] - bl[s]
                     size = na * nb
                     which = np.repeat(np.arange(len(s)), size)
                     off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     i, j = al[s][which] + off // nb[which], bl[s][which] + off % nb[which]
-                    good = (i < j) & (np.bitwise_count(code[i] ^ code[j]) <= allowed)
+                    good = (i < j) & (label[i] != label[j])
+                    i, j = i[good], j[good]
+                    good = np.bitwise_count(code[i] ^ code[j]) <= allowed
                     i, j = i[good], j[good]
                     bits = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
                     good = bits <= total
-                    found_a.append(i[good])
-                    found_b.append(j[good])
-                    if sure is not None:
-                        near_a.append(i[bits <= sure])
-                        near_b.append(j[bits <= sure])
+                    found.append((i[good], j[good], bits[good]))
+                    n_found += int(good.sum())
+                    if links != "pairs" and n_found > 1 << 20:
+                        found = [_close(n, found, label)]
+                        n_found = len(found[0][0])
             al, ah, bl, bh, depth, err = (x[~small] for x in (al, ah, bl, bh, depth, err))
             if not len(al):
                 continue
@@ -170,18 +177,20 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
                 ok &= ~((w == y) & (x - w == 1))
                 out.append([v[ok] for v in (w, x, y, z, depth + 1, e)])
             stack.append(tuple(np.concatenate(c) for c in zip(*out)))
-        if found_a:
-            a, b = (np.concatenate(c) for c in ((found_a, found_b) if sure is None else (near_a, near_b)))
-            if sure is not None:
-                a, b = forest(n, a, b)
-                near_a, near_b = [a], [b]
-            if len(a):
-                label = settle(n, a, b, label)
-    if sure is None:
-        return label
-    a, b = (np.concatenate(c) if c else label[:0] for c in (found_a, found_b))
-    apart = label[a] != label[b]
-    return np.concatenate([*near_a, a[apart]]), np.concatenate([*near_b, b[apart]])
+        a, b, _ = (np.concatenate(c) for c in zip(*found)) if links == "pairs" else _close(n, found, label)
+        kept_a.append(a)
+        kept_b.append(b)
+        if links != "pairs" and len(a):
+            label = settle(n, a, b, label)
+    return label if links == "classes" else (np.concatenate(kept_a), np.concatenate(kept_b))
+
+
+def _close(n: int, found: list, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the links found, those of the fewest bits first."""
+    a, b, bits = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(bits, kind="stable")
+    a, b = forest(n, a[order], b[order], label)
+    return a, b, np.zeros(len(a), np.int64)
 
 
 def _middle(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -198,64 +207,99 @@ def _middle(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
         lo = np.where(open_ & ~bit, mid + 1, lo)
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit, width) of budget + 1 blocks: codes within the budget agree on one of them at least."""
-    n = budget + 1
-    ends = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+def _roots(budget: int, n: int, most: int = 1 << 16) -> list[list[tuple[int, int]]]:
+    """Sets of blocks of bits, each block (first bit, width), such that codes within the budget agree on all blocks of one set at least.
 
-
-def hamming_links(codes: DataFrame, lanes: int = 1, budget: int = 4, total: int | None = None, sure: int | None = None) -> DataFrame:
-    """codes (node long, lanes array<long>) -> edges (a, b) that connect what links connect.
+    With budget + k blocks, k of them agree. k is the smallest for which a root
+    of random codes holds at most ``most`` of n, so roots keep their size as the
+    input grows.
+    """
+    k = 1
+    while k < 6 and n >> (64 * k // (budget + k)) > most:
+        k += 1
+    blocks = budget + k
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    return [list(c) for c in itertools.combinations([(a, b - a) for a, b in zip(ends, ends[1:])], k)]
+
+
+def _turned(code: F.Column, blocks: list[tuple[int, int]]) -> F.Column:
+    """The code with its bits in another order: those of the blocks first, then the rest as they come. Equal bits stay equal, so distances do."""
+    rest, at = [], 0
+    for first, width in [*blocks, (64, 0)]:
+        rest += [(at, first - at)] * (first > at)
+        at = first + width
+    out, place = F.lit(0).cast("long"), 0
+    for first, width in [*blocks, *rest]:
+        part = F.shiftrightunsigned(F.shiftleft(code, first), 64 - width) if width < 64 else code
+        out = out.bitwiseOR(F.shiftleft(part, 64 - place - width))
+        place += width
+    return out
+
+
+def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, total: int | None = None, links: str = "classes", split: int = 1 << 18) -> DataFrame:
+    """n codes (node long, lanes array<long>[, known long]) -> edges (a, b): see trie_links; for "classes", from each code to the first of its class.
 
     Two nodes link if one lane of theirs differs in at most budget bits and all
-    lanes together in at most total. One trie per lane and block of bits: the
-    code is turned so that the block comes first, and node pairs that share it go
-    on below. Two codes within the budget agree on a whole block, so they meet
-    under one root; a root is a key of the shuffle, its codes come sorted, and
-    only edges from a code to the first of its class leave the task. With
-    ``sure`` (see trie_links) edges are pairs that link by themselves.
+    lanes together in at most total. One trie per lane and set of blocks (see
+    _roots): the code is turned so that the blocks come first, and node pairs
+    that share them go on below. Two codes within the budget agree on a whole
+    set, so they meet under one root; a root is a key of the shuffle, its codes
+    come sorted. A root of more than ``split`` codes (near copies with many
+    codes) is dealt out as pairs of its parts, each a key of its own.
     """
-    blocks = _blocks(budget)
+    sets = _roots(budget, n)
     most = total if total is not None else 64 * lanes
-    rows = []
+    rows, depths = [], []
     for lane in range(lanes):
-        code = F.col("lanes")[lane]
-        for i, (at, width) in enumerate(blocks):
-            turned = F.shiftleft(code, at).bitwiseOR(F.shiftrightunsigned(code, 64 - at)) if at else code
-            rows.append(F.struct(F.lit(lane * len(blocks) + i).alias("block"), F.shiftrightunsigned(turned, 64 - width).alias("head"), turned.alias("turned")))
-    rows = codes.select("node", "lanes", F.explode(F.array(*rows)).alias("x")).select("node", "lanes", "x.block", "x.head", "x.turned")
-    widths = np.array([w for _, w in blocks] * lanes)
-
-    def solve(node, all_lanes, block, head, turned):
-        key = block.astype(np.int64) << 32 | head
-        code = turned.view(np.uint64)
-        order = np.lexsort((code, key))
-        node, all_lanes, code, key = node[order], all_lanes[order], code[order], key[order]
-        if sure is not None:
-            a, b = trie_links(code, key, widths[key >> 32], budget, all_lanes, most, sure=sure)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
-        label = trie_links(code, key, widths[key >> 32], budget, all_lanes, most)
-        far = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
+        for blocks in sets:
+            width = sum(w for _, w in blocks)
+            turned = _turned(F.col("lanes")[lane], blocks)
+            rows.append(F.struct(F.lit(len(depths)).alias("block"), F.shiftrightunsigned(turned, 64 - width).alias("head"), turned.alias("turned")))
+            depths.append(width)
+    extra = ["known"] if "known" in codes.columns else []
+    rows = codes.select("node", "lanes", *extra, F.explode(F.array(*rows)).alias("x")).select("node", "lanes", *extra, "x.block", "x.head", "x.turned")
+    keys = ["block", "head"]
+    if n > split:
+        large = rows.groupBy(*keys).count().where(F.col("count") > split).select(*keys, F.ceil(2 * F.col("count") / split).cast("int").alias("parts"))
+        mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        rows = (
+            rows.join(cut(large, "large-roots"), keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("node", "lanes", *extra, *keys, "turned", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        )
+        keys += ["lo", "hi"]
+    widths = np.array(depths)
+
+    def solve(cols):
+        order = np.lexsort((cols["turned"].view(np.uint64), *(cols[k] for k in reversed(keys))))
+        cols = {k: v[order] for k, v in cols.items()}
+        change = np.any([np.diff(cols[k], prepend=cols[k][0] - 1) != 0 for k in keys], axis=0)
+        node = cols["node"]
+        got = trie_links(cols["turned"].view(np.uint64), np.cumsum(change), widths[cols["block"]], budget, cols["lanes"], most, links=links, known=cols.get("known"))
+        if links == "classes":
+            far = np.flatnonzero(got != np.arange(len(got)))
+            got = far, got[far]
+        a, b = node[got[0]], node[got[1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            flat = batch.column("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            held.append([batch.column("node").to_numpy(zero_copy_only=False), flat, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "head", "turned"))])
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["node", *extra, *keys, "turned"]}
+            cols["lanes"] = batch.column("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            held.append(cols)
             n += batch.num_rows
-            if n >= 1 << 18:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                last = np.flatnonzero((cols[2] != cols[2][-1]) | (cols[3] != cols[3][-1]))
+            if n >= 1 << 17:
+                cols = {k: np.concatenate([h[k] for h in held]) for k in cols}
+                last = np.flatnonzero(np.any([cols[k] != cols[k][-1] for k in keys], axis=0))
                 at = last[-1] + 1 if len(last) else 0  # the last root may go on in the next batch
                 if at:
-                    yield solve(*(c[:at] for c in cols))
-                held, n = [[c[at:] for c in cols]], len(cols[0]) - at
+                    yield solve({k: v[:at] for k, v in cols.items()})
+                held, n = [{k: v[at:] for k, v in cols.items()}], n - at
         if n:
-            yield solve(*(np.concatenate(c) for c in zip(*held)))
+            yield solve({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
-    return rows.repartition("block", "head").sortWithinPartitions("block", "head").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
@@ -287,7 +331,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = cut(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
     nodes = cut(own.groupBy("lanes").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("low")), "nodes")
     # texts of one id that differ share a node, so that classes stay whole
-    roots = connected_components(hamming_links(nodes.select(F.col("low").alias("node"), "lanes"), lanes, budget, total))
+    codes = nodes.select(F.col("low").alias("node"), "lanes")
+    roots = connected_components(hamming_links(codes, nodes.count(), lanes, budget, total))
     classes = cut(nodes.join(roots.withColumnRenamed("node", "low"), "low", "left").select("lanes", F.nullif(F.coalesce("root", "low"), F.lit(NO_ID)).alias("component")), "classes")
     return own.join(classes, "lanes").select("id", "lanes", "component")
 
@@ -336,17 +381,26 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles, one lane within budget bits. At a similarity of 0.8 a bit differs
     with a chance of 0.1 (a SimHash sign: 0.15), a lane is within 6 bits with one
     of 0.54, one of 7 lanes with one of 0.996. Candidates far apart over all
-    lanes (beyond 3.3 standard deviations at the similarity) go; each one left is
-    confirmed by the exact Jaccard similarity of the shingle sets. Texts of the
-    same words are one node. Rows of one id are one document; rows with a null id
-    stay.
+    lanes (beyond 3.3 standard deviations at the similarity) go; those left are
+    confirmed by the exact Jaccard similarity of the shingle sets, in two turns:
+    first a forest of them, close ones first, so that a large group of near
+    copies costs a pair for each text; then every candidate that isn't within one
+    confirmed component. Texts of the same words are one node. Rows of one id are
+    one document; rows with a null id stay. Null and empty texts hold the same
+    (no) words and are copies. Repeated rows stay or go together; an empty table
+    gives an empty table; other columns are carried, whatever their names.
     """
     own = cut(shingle_codes(docs, id_col, text_col, words, lanes), "codes")
     nodes = cut(own.groupBy("node").agg(F.first("lanes").alias("lanes")), "nodes")
     mean = 64 * lanes * (1 - similarity) / 2
-    spare = np.sqrt(mean * (1 + similarity) / 2)
-    pairs = cut(hamming_links(nodes, lanes, budget, int(np.ceil(mean + 3.3 * spare)), max(0, int(mean - 5 * spare))).distinct(), "pairs")
-    links = confirmed(pairs, docs, text_col, words, similarity)
+    far = int(np.ceil(mean + 3.3 * np.sqrt(mean * (1 + similarity) / 2)))
+    n = nodes.count()
+    tried = cut(hamming_links(nodes, n, lanes, budget, far, "forest").distinct(), "tried")
+    first = cut(confirmed(tried, docs, text_col, words, similarity), "links")
+    known = connected_components(first)
+    named = cut(nodes.join(known, "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("known")), "named")
+    left = cut(hamming_links(named, n, lanes, budget, far, "pairs").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = first.union(confirmed(left, docs, text_col, words, similarity))
     # texts of one id that differ are one document
     one = own.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     same = own.join(one.where("a <> z"), "id").select("a", F.col("node").alias("b"))

@@ -353,8 +353,30 @@ def test_trie_join_finds_every_link():
         near = [s ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64)) for s in seeds for k in rng.integers(1, 9, 12)]
         code = np.unique(np.concatenate([seeds, np.array(near, np.uint64)]))
         n = len(code)
-        label = simhash.trie_links(code, np.zeros(n, np.int64), np.zeros(n, np.int64), budget, code[:, None], 64, leaf=4)
-        assert label.tolist() == brute_groups([int(c) for c in code], lambda a, b: (a ^ b).bit_count() <= budget)
+        zero = np.zeros(n, np.int64)
+        link = lambda a, b: (a ^ b).bit_count() <= budget  # noqa: E731, B023
+        want = brute_groups([int(c) for c in code], link)
+        assert simhash.trie_links(code, zero, zero, budget, code[:, None], 64, leaf=4).tolist() == want
+        pairs = {(i, j) for j in range(n) for i in range(j) if link(int(code[i]), int(code[j]))}
+        a, b = simhash.trie_links(code, zero, zero, budget, code[:, None], 64, leaf=4, links="forest")
+        assert set(zip(a.tolist(), b.tolist())) <= pairs and len(a) == n - len(set(want))
+        assert simhash.settle(n, a, b, np.arange(n)).tolist() == want
+        a, b = simhash.trie_links(code, zero, zero, budget, code[:, None], 64, leaf=4, links="pairs", known=np.arange(n) % 7)
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted(p for p in pairs if p[0] % 7 != p[1] % 7)
+
+
+def test_every_pair_meets_under_a_root(spark):
+    """Roots of one, two and three blocks, and large roots dealt out in parts: the same components."""
+    rng = np.random.default_rng(6)
+    seeds = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    near = [s ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64)) for s in seeds for k in rng.integers(1, 7, 10)]
+    code = np.unique(np.concatenate([seeds, np.array(near, np.uint64)]))
+    want = brute_groups([int(c) for c in code], lambda a, b: (a ^ b).bit_count() <= 4)
+    codes = spark.createDataFrame([(i, [int(c)]) for i, c in enumerate(code.view(np.int64))], "node long, lanes array<long>").cache()
+    for n, split, k in ((10, 1 << 18, 1), (1 << 30, 1 << 40, 2), (1 << 38, 1 << 50, 3), (700, 3, 1)):
+        assert len(simhash._roots(4, n)[0]) == k
+        edges = simhash.hamming_links(codes, n, split=split).collect()
+        assert simhash.settle(len(code), *np.array(edges, np.int64).T, np.arange(len(code))).tolist() == want
 
 
 def test_simhash_dedup_keeps_one(spark):
