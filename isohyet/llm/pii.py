@@ -20,13 +20,19 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GATE = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: High-recall generators; their spans may overlap those of any kind.
+#: High-recall generators; their spans may overlap those of any kind. Possessive, and started at the edge of a word, so that long texts cost their length.
 LOOSE = {
-    "contact": r"(?<![^\s@<>,;|])[^\s@<>,;|]{1,64}@[^\s@<>,;|]{1,255}",
-    "number": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[0-9]|[ ().-]{1,2}(?=[0-9(])){5,23}(?![0-9])",
+    "contact": r"(?<![^\s@<>,;|])[^\s@<>,;|]++@[^\s@<>,;|]++",
+    "spelt": rf"(?i)(?<![{LOCAL}])[{LOCAL}]++(?:\s?[\[({{]\s?at\s?[\])}}]\s?[a-z0-9-]++(?:(?:\s?[\[({{]\s?dot\s?[\])}}]\s?|\.|\sdot\s)[a-z0-9-]++)++|\sat\s[a-z0-9-]++(?:\sdot\s[a-z0-9-]++)++)",
+    "number": r"(?<![0-9A-Za-z])\+?\(?[0-9]++(?:[ ().-]{1,2}+[0-9]++)*+",
+    "secret": r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{16,}+",
 }
-WORDS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ssn|iban|ip|addr|host|user|login|token|key)[a-z]*[^a-z]{0,4}$"
-FEATURES = ("digits", "letters", "marks", "groups", "plus", "at", "dots", "brackets", "luhn", "word_before", "letter_after", "longest")
+LEAST_DIGITS = 7  # of a number
+CONTEXT = 24  # characters in front of a candidate that count as its context
+CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ssn|iban|passport|host|user|login)[a-z]*[^a-z]{0,4}$"
+KEY = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credential)[a-z]*[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$"
+FEATURES = ("contact", "number", "secret", "digits", "letters", "marks", "groups", "plus", "at", "dots", "brackets", "luhn", "cue_before", "key_before", "letter_after", "longest", "turns", "distinct")
+PLACE = "array<struct<s:int,e:int>>"
 
 
 def spans_of(text: Column, hits: Column, gaps: Column) -> Column:
@@ -84,30 +90,46 @@ def passes(kind: str):
     return lambda span: holds(kind, span["m"])
 
 
-def measured(text: Column, span: Column) -> Column:
-    """struct<s, e, x>: x has the FEATURES of a candidate, of its format and of what stands around it."""
-    m = span["m"]
+def features(kind: str, before: Column, m: Column, after: Column) -> Column:
+    """The FEATURES of a candidate: of its format and of what stands around it."""
     d = only_digits(m)
-    before = F.substring(text, F.greatest(F.lit(1), span["s"] - 23), F.least(F.lit(24), span["s"]))
     count = lambda rx: F.length(m) - F.length(F.regexp_replace(m, rx, ""))
+    parts = F.split(m, "[^A-Za-z0-9]+")
     x = [
-        F.length(d), count("[A-Za-z]"), count("[^A-Za-z0-9]"), F.size(F.split(m, "[^A-Za-z0-9]+")), m.startswith("+").cast("int"), m.contains("@").cast("int"),
-        count(r"\."), count(r"[()]"), F.when(F.length(d).between(2, 24), luhn(d).cast("int")).otherwise(0), before.rlike(WORDS).cast("int"),
-        F.substring(text, span["e"] + 1, F.lit(1)).rlike("[A-Za-z]").cast("int"), F.array_max(F.transform(F.split(m, "[^A-Za-z0-9]+"), lambda p: F.length(p))),
+        F.lit(int(kind in ("contact", "spelt"))), F.lit(int(kind == "number")), F.lit(int(kind == "secret")),
+        F.length(d), count("[A-Za-z]"), count("[^A-Za-z0-9]"), F.size(parts), m.startswith("+").cast("int"), F.regexp_count(m, F.lit(r"(?i)@|[\[({]\s?at\s?[\])}]|\sat\s")),
+        F.regexp_count(m, F.lit(r"(?i)\.|[\[({]\s?dot\s?[\])}]|\sdot\s")), count(r"[()]"), F.when(F.length(d).between(12, 24), luhn(d).cast("int")).otherwise(0), before.rlike(CUE).cast("int"),
+        before.rlike(KEY).cast("int"), after.rlike("^[A-Za-z]").cast("int"), F.array_max(F.transform(parts, lambda p: F.length(p))),
+        F.size(F.split(m, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")), F.size(F.array_distinct(F.split(F.lower(F.substring(m, 1, 64)), ""))),
     ]
-    return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in x]).alias("x"))
+    return F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in x])
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, loose) for each row: base spans of each kind that passed, and measured candidates, without the text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+def measured(kind: str, text: Column, span: Column) -> Column:
+    """struct<s, e, x, b, m, a>: the features of a candidate, what stands before it, itself, and what follows."""
+    before = F.substring(text, F.greatest(F.lit(1), span["s"] - CONTEXT + 1), F.least(F.lit(CONTEXT), span["s"]))
+    after = F.substring(text, span["e"] + 1, F.lit(1))
+    return F.struct(span["s"].alias("s"), span["e"].alias("e"), features(kind, before, span["m"], after).alias("x"), before.alias("b"), span["m"].alias("m"), after.alias("a"))
+
+
+def proposed(kind: str, m: Column) -> Column:
+    """What a generator's match must hold to be a candidate at all."""
+    if kind == "number":
+        return F.length(only_digits(m)) >= LEAST_DIGITS
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]") if kind == "secret" else F.lit(True)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows (with body) and base, loose: base spans of each kind that passed, and measured candidates."""
+    kept_columns = rows.columns
     rows = find(rows, BASE, GATE)
     rows = find(rows, LOOSE, {"contact": "@"})
     kept = {k: F.filter(f"s_{k}", passes(k)) for k in BASE}
-    place = "array<struct<s:int,e:int>>"
-    base = F.struct(*[F.transform(v, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))).cast(place).alias(k) for k, v in kept.items()])
-    loose = F.struct(*[F.transform(f"s_{k}", lambda s: measured(F.col("body"), s)).alias(k) for k in LOOSE])
-    return rows.select("id", base.alias("base"), loose.alias("loose"))
+    base = F.struct(*[F.transform(v, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))).cast(PLACE).alias(k) for k, v in kept.items()])
+    fit = lambda k: lambda s: proposed(k, s["m"])
+    look = lambda k: lambda s: measured(k, F.col("body"), s)
+    loose = F.struct(*[F.transform(F.filter(f"s_{k}", fit(k)), look(k)).alias(k) for k in LOOSE])
+    return rows.select(*kept_columns, base.alias("base"), loose.alias("loose"))
 
 
 def meets(base: Column, span: Column) -> Column:
@@ -115,6 +137,45 @@ def meets(base: Column, span: Column) -> Column:
     return F.exists(F.concat(*[base[k] for k in BASE]), lambda b: (b["s"] < span["e"]) & (span["s"] < b["e"]))
 
 
+def examples(kind: str, c: Column, base: Column) -> Column:
+    """array<struct<x, label>> that a candidate teaches: itself, disguises of a real one, counterfeits of it.
+
+    A candidate is real if a base span confirms it or, for secrets and numbers,
+    a cue word in front of it does. A disguise is the same thing in a form the
+    base patterns miss: an address spelt out, a phone number without its plus,
+    a number or secret without its cue. A counterfeit looks like it and is none:
+    a card number with another last digit, a short number, a user at a host
+    without a dot, words joined to an identifier, one group over and over.
+    """
+    b, m, a = c["b"], c["m"], c["a"]
+    nothing = F.lit("")
+    base_real = meets(base, c)
+    real = base_real | (b.rlike(KEY) if kind == "secret" else b.rlike(CUE) if kind == "number" else F.lit(False))
+    own = [(b, m, a)]
+    d = only_digits(m)
+    if kind in ("contact", "spelt"):
+        dot = lambda to: F.regexp_replace(m, r"\.", to)
+        disguised = [(b, F.regexp_replace(dot(x), "@", y), a) for x, y in ((" dot ", " at "), (" [dot] ", " [at] "), (".", "(at)"))] if kind == "contact" else []
+        fake = [(b, F.regexp_replace(m, r"@.*", "@host"), a)] if kind == "contact" else []
+        kinds = [kind, *["spelt"] * len(disguised), *["contact"] * len(fake)]
+    elif kind == "number":
+        disguised = [(nothing, F.regexp_replace(m, r"^\+", ""), a), (b, F.regexp_replace(m, r"^\+[0-9]+[ .-]?", ""), a), (nothing, F.regexp_replace(m, r"[ ()-]+", "."), a)]
+        last = F.substring(d, -1, 1)
+        wrong = F.concat(F.substring(d, F.lit(1), F.length(d) - 1), (F.pmod(last.cast("int") + 1, F.lit(10))).cast("string"))
+        fake = [(nothing, wrong, nothing), (nothing, F.substring(d, 1, 7), nothing), (nothing, F.concat_ws(".", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)), nothing)]
+        kinds = [kind] * (1 + len(disguised) + len(fake))
+    else:
+        disguised = [(nothing, m, a), (nothing, F.lower(m), nothing), (nothing, F.upper(m), nothing)]
+        words = F.regexp_replace(F.trim(b), "[^A-Za-z0-9]+", "-")
+        fake = [(nothing, F.repeat(F.substring(m, 1, 3), 7), nothing), (nothing, F.concat_ws("-", words, F.substring(d, 1, 4)), nothing), (nothing, F.concat(F.lit("2024-01-01_"), F.regexp_replace(words, "[0-9]", "")), nothing)]
+        kinds = [kind] * (1 + len(disguised) + len(fake))
+    labels = [real, *[F.lit(True)] * len(disguised), *[F.lit(False)] * len(fake)]
+    # only what is real is disguised; where the disguise or counterfeit is no candidate of its generator it teaches nothing
+    fits = [F.lit(True), *[real & proposed(k, x[1]) & F.rlike(x[1], F.lit(LOOSE[k])) for k, x in zip(kinds[1:], [*disguised, *fake])]]
+    rows = [F.when(ok, F.struct(F.lit(k).alias("kind"), features(k, *x).alias("x"), y.cast("double").alias("label"))) for k, x, y, ok in zip(kinds, [*own, *disguised, *fake], labels, fits)]
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+
+
 def tree_value(node, x: Column) -> Column:
     """A fitted tree as nested conditions on the features."""
     if node.subtreeDepth() == 0:
@@ -124,55 +185,83 @@ def tree_value(node, x: Column) -> Column:
 
 
 class Chooser:
-    """Boosted trees over candidates, with the threshold at which they are precise enough."""
-
-    def __init__(self, found: DataFrame, sample: int = 20_000, precision: float = 0.99, rounds: int = 8, depth: int = 3, seed: int = 11):
-        self.trees, self.threshold = [], None
-        rows = found.select("id", "base", F.explode(F.concat(*[F.col(f"loose.{k}") for k in LOOSE])).alias("c")).select(
-            F.col("c.x").alias("x"), meets(F.col("base"), F.col("c")).cast("double").alias("label"), F.xxhash64("id", "c.s", "c.e").alias("h"))
-        rows = cut(rows.orderBy("h", "label").limit(sample), "pii-sample")
-        fold = F.pmod("h", F.lit(10))
-        learn = rows.where(fold < 7)
-        if learn.select("label").distinct().count() < 2:
+    """Boosted trees over candidates, and for each kind the threshold at which they are precise enough."""
+
+    def __init__(self, found: DataFrame, sample: int = 20_000, precision: float = 0.98, rounds: int = 12, depth: int = 4, seed: int = 11):
+        self.trees, self.thresholds = [], {}
+        fold = F.pmod(F.xxhash64("id"), F.lit(10))
+        teach = lambda k: lambda c: examples(k, c, F.col("base"))
+        taught = F.concat(*[F.flatten(F.transform(f"loose.{k}", teach(k))) for k in LOOSE])
+        rows = found.select(fold.alias("fold"), F.xxhash64("id", "loose").alias("h"), F.posexplode(taught).alias("at", "r")).select("fold", F.xxhash64("h", "at").alias("h"), "r.*")
+        rows = cut(rows, "pii-examples")
+        learn = rows.where("fold < 7")
+        # a bounded sample for the fit, the same number of each kind; thresholds see every held-out example
+        some = None
+        for k in LOOSE:
+            part = learn.where(F.col("kind") == k).orderBy("h").limit(sample // len(LOOSE))
+            some = part if some is None else some.unionByName(part)
+        some = cut(some, "pii-sample")
+        if some.select("label").distinct().count() < 2:
             return
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="v").fit(learn.select(array_to_vector("x").alias("v"), "label"))
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="v").fit(some.select(array_to_vector("x").alias("v"), "label"))
         self.trees = list(zip([t._call_java("rootNode") for t in model.trees], model.treeWeights))
-        held = rows.where(fold >= 7).select(self.chance(F.col("x")).alias("p"), "label")
-        steps = [i / 100 for i in range(50, 100, 5)] + [0.97, 0.98, 0.99]
-        counts = held.select(F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"), "p", "label").where("p >= t").groupBy("t").agg(F.avg("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()
-        good = [r.t for r in counts if r.right >= precision and r.n >= 20]
-        self.threshold = min(good) if good else None
+        steps = [i / 20 for i in range(10, 20)] + [0.97, 0.98, 0.99]
+        held = rows.where("fold >= 7").select("kind", self.chance(F.col("x")).alias("p"), "label")
+        counts = held.select("kind", F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"), "p", "label").where("p >= t").groupBy("kind", "t").agg(F.avg("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()
+        for kind in LOOSE:
+            good = [r.t for r in counts if r.kind == kind and r.right >= precision and r.n >= 5]
+            if good:
+                self.thresholds[kind] = min(good)
 
     def chance(self, x: Column) -> Column:
         raw = sum((tree_value(node, x) * F.lit(float(w)) for node, w in self.trees), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * raw))
 
-    def chosen(self, kind: str) -> Column:
-        """Spans of candidates that the trees take and that no base span covers already."""
-        place = "array<struct<s:int,e:int>>"
-        if self.threshold is None:
-            return F.array().cast(place)
+    def chosen(self) -> Column:
+        """struct of spans by kind: candidates that the trees take, that no base span covers already and no likelier candidate of another kind."""
+        held = "array<struct<s:int,e:int,p:double,k:int>>"
         base = F.col("base")
-        some = F.filter(f"loose.{kind}", lambda c: (self.chance(c["x"]) >= self.threshold) & ~meets(base, c))
-        return F.transform(some, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))).cast(place)
+        scored = lambda i: lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), self.chance(c["x"]).alias("p"), F.lit(i).alias("k"))
+        taken = lambda least: lambda c: (c["p"] >= least) & ~meets(base, c)
+        parts = [F.filter(F.transform(f"loose.{kind}", scored(i)), taken(self.thresholds[kind])).cast(held) for i, kind in enumerate(LOOSE) if kind in self.thresholds]
+        if not parts:
+            return F.struct(*[F.array().cast(PLACE).alias(k) for k in LOOSE])
+        every = F.concat(*parts)
+        better = lambda c: lambda o: (o["k"] != c["k"]) & (o["s"] < c["e"]) & (c["s"] < o["e"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & (o["k"] < c["k"])))
+        best = F.filter(every, lambda c: ~F.exists(every, better(c)))
+        of = lambda i: lambda c: c["k"] == i
+        return F.struct(*[F.transform(F.filter(best, of(i)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))).cast(PLACE).alias(k) for i, k in enumerate(LOOSE)])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, base, added) for each row: struct of arrays of (s, e) by kind, places in code points, ends exclusive.
 
     Base spans are those of the BASE patterns, leftmost and not overlapping
-    within a kind, that pass the kind's check. Loose generators propose more;
-    boosted trees learn, on at most ``sample`` candidates, to tell those that
-    overlap base spans from their format and context; what they take at the
-    threshold of the wanted precision on held-out candidates is added, base spans
-    always stay. Too few candidates: nothing is added. Null texts are empty.
-    Repeated rows give repeated results; an empty table gives an empty table.
-    The text is read once, in built-in functions; nothing is shuffled but the
-    sample.
+    within a kind, that pass the kind's check. Loose generators (LOOSE) propose
+    more, overlapping ones too. Boosted trees learn which of them are personal
+    data or secrets from their format and context, on at most ``sample``
+    examples: candidates that base spans or cue words confirm, the same in
+    disguises that the base patterns miss, and counterfeits (see examples). Each
+    kind has the lowest threshold at which the trees reach ``precision`` on all
+    held-out examples; what they take is added, base spans always stay. Too few
+    examples: nothing is added. Null texts are empty; only id and text are read,
+    whatever other columns are called. Repeated rows give repeated results; an
+    empty table gives an empty table. The text is read once, in built-in
+    functions; nothing is shuffled but the sample.
     """
-    found = cut(candidates(docs, id_col, text_col), "pii-candidates")
+    found = cut(candidates(_rows(docs, id_col, text_col)).drop("body"), "pii-candidates")
     chooser = Chooser(found, **options)
-    return found.select(F.col("id").alias(id_col), "base", F.struct(*[chooser.chosen(k).alias(k) for k in LOOSE]).alias("added"))
+    return found.select(F.col("id").alias(id_col), "base", chooser.chosen().alias("added"))
+
+
+def listed(spans: Column, kinds) -> Column:
+    """kind:start:end for each span, by kind, then start."""
+    named = lambda kind: lambda s: F.concat_ws(":", F.lit(kind), s["s"].cast("string"), s["e"].cast("string"))
+    return F.concat(*[F.transform(F.array_sort(spans[k]), named(k)) for k in kinds])
 
 
 def listed(spans: Column, kinds) -> Column:
@@ -182,14 +271,23 @@ def listed(spans: Column, kinds) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "█", **options) -> DataFrame:
-    """docs with each base or added span replaced by as many marks, for tables whose ids are unique and not null."""
-    found = find_personal_data(docs, id_col, text_col, **options)
-    every = F.concat(*[F.col(f"base.{k}") for k in BASE], *[F.col(f"added.{k}") for k in LOOSE])
-    spans = found.select(F.col(id_col), F.array_sort(every).alias("spans__"))
-    body = F.col(text_col)
+    """docs with each base or added span replaced by as many marks.
+
+    The spans are found beside the text they belong to, without a join: rows
+    with null or repeated ids are redacted like any other, null texts stay null,
+    and other columns are carried, whatever their names.
+    """
+    chooser = Chooser(cut(candidates(_rows(docs, id_col, text_col)).drop("body"), "pii-candidates"), **options)
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    found = candidates(whole).withColumn("added", chooser.chosen())
+    every = F.array_sort(F.concat(*[F.col(f"base.{k}") for k in BASE], *[F.col(f"added.{k}") for k in LOOSE]))
+    body = F.col("body")
     covered = F.aggregate(
-        "spans__", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["e"] <= a["at"], a).otherwise(F.struct(s["e"].alias("at"), F.concat(a["out"], F.substring(body, a["at"] + 1, F.greatest(F.lit(0), s["s"] - a["at"])), F.repeat(F.lit(mark), s["e"] - F.greatest(s["s"], a["at"]))).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
     )
-    return docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.size("spans__") > 0, covered).otherwise(body)).select(*docs.columns)
+    text = F.when(F.size(every) > 0, covered).otherwise(F.col("row")[text_col])
+    return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+

@@ -21,6 +21,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        *[F.size(f"added.{k}").cast("long").alias(f"n_added_{k}") for k in pii.LOOSE],
+        (F.size(base) + sum(F.size(f"added.{k}") for k in pii.LOOSE)).cast("long").alias("n_spans"),
         F.array_join(F.concat(base, pii.listed(F.col("added"), pii.LOOSE)), ",").alias("spans"),
     )
 
