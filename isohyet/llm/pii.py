@@ -31,7 +31,10 @@ LEAST_DIGITS = 7  # of a number
 CONTEXT = 24  # characters in front of a candidate that count as its context
 CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ssn|iban|passport|host|user|login)[a-z]*[^a-z]{0,4}$"
 KEY = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credential)[a-z]*[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$"
-FEATURES = ("contact", "number", "secret", "digits", "letters", "marks", "groups", "plus", "at", "dots", "brackets", "luhn", "cue_before", "key_before", "letter_after", "longest", "turns", "distinct")
+AT = r"(?i)@|[\[({]\s?at\s?[\])}]|\sat\s"
+AT_FIRST = r"(?i)^.*?(?:@|[\[({]\s?at\s?[\])}]|\sat\s)"
+FEATURES = ("contact", "number", "secret", "digits", "letters", "marks", "groups", "plus", "at", "host_dots", "brackets", "luhn", "cue_before", "key_before", "letter_after", "longest", "turns", "distinct")
+UNSURE = 0.1  # weight of a candidate that nothing confirms, as an example of what isn't real
 PLACE = "array<struct<s:int,e:int>>"
 
 
@@ -97,12 +100,14 @@ def features(kind: str, before: Column, m: Column, after: Column) -> Column:
     parts = F.split(m, "[^A-Za-z0-9]+")
     x = [
         F.lit(int(kind in ("contact", "spelt"))), F.lit(int(kind == "number")), F.lit(int(kind == "secret")),
-        F.length(d), count("[A-Za-z]"), count("[^A-Za-z0-9]"), F.size(parts), m.startswith("+").cast("int"), F.regexp_count(m, F.lit(r"(?i)@|[\[({]\s?at\s?[\])}]|\sat\s")),
-        F.regexp_count(m, F.lit(r"(?i)\.|[\[({]\s?dot\s?[\])}]|\sdot\s")), count(r"[()]"), F.when(F.length(d).between(12, 24), luhn(d).cast("int")).otherwise(0), before.rlike(CUE).cast("int"),
+        F.length(d), count("[A-Za-z]"), count("[^A-Za-z0-9]"), F.size(parts), m.startswith("+").cast("int"), F.regexp_count(m, F.lit(AT)),
+        F.regexp_count(F.regexp_replace(m, AT_FIRST, ""), F.lit(r"(?i)\.|[\[({]\s?dot\s?[\])}]|\sdot\s")), count(r"[()]"), F.when(F.length(d).between(12, 24), luhn(d).cast("int")).otherwise(0), before.rlike(CUE).cast("int"),
         before.rlike(KEY).cast("int"), after.rlike("^[A-Za-z]").cast("int"), F.array_max(F.transform(parts, lambda p: F.length(p))),
         F.size(F.split(m, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")), F.size(F.array_distinct(F.split(F.lower(F.substring(m, 1, 64)), ""))),
     ]
-    return F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in x])
+    # how long the words of an address are says nothing of it
+    blank = ("digits", "letters", "marks", "groups", "longest", "distinct", "turns") if kind in ("contact", "spelt") else ()
+    return F.array(*[F.lit(0.0) if name in blank else F.coalesce(v.cast("double"), F.lit(0.0)) for name, v in zip(FEATURES, x)])
 
 
 def measured(kind: str, text: Column, span: Column) -> Column:
@@ -138,14 +143,15 @@ def meets(base: Column, span: Column) -> Column:
 
 
 def examples(kind: str, c: Column, base: Column) -> Column:
-    """array<struct<x, label>> that a candidate teaches: itself, disguises of a real one, counterfeits of it.
+    """array<struct<kind, x, label, weight>> that a candidate teaches: itself, disguises of a real one, counterfeits of it.
 
     A candidate is real if a base span confirms it or, for secrets and numbers,
     a cue word in front of it does. A disguise is the same thing in a form the
     base patterns miss: an address spelt out, a phone number without its plus,
     a number or secret without its cue. A counterfeit looks like it and is none:
     a card number with another last digit, a short number, a user at a host
-    without a dot, words joined to an identifier, one group over and over.
+    without a dot, words joined to an identifier, one group over and over. What
+    nothing confirms may still be real: it counts as not real with the weight UNSURE.
     """
     b, m, a = c["b"], c["m"], c["a"]
     nothing = F.lit("")
@@ -154,8 +160,11 @@ def examples(kind: str, c: Column, base: Column) -> Column:
     own = [(b, m, a)]
     d = only_digits(m)
     if kind in ("contact", "spelt"):
-        dot = lambda to: F.regexp_replace(m, r"\.", to)
-        disguised = [(b, F.regexp_replace(dot(x), "@", y), a) for x, y in ((" dot ", " at "), (" [dot] ", " [at] "), (".", "(at)"))] if kind == "contact" else []
+        # the same with a short local part and host, as "a [at] b [dot] c"
+        short = F.regexp_replace(F.regexp_replace(m, r"^[^@]*\.", ""), r"@[^.]+\.(?=[^.]+\.)", "@")
+        spell = lambda what, x, y: F.regexp_replace(F.regexp_replace(what, r"\.", x), "@", y)
+        forms = ((" dot ", " at "), (" [dot] ", " [at] "), (".", "(at)"))
+        disguised = [(b, spell(what, x, y), a) for what in (m, short) for x, y in forms] if kind == "contact" else []
         fake = [(b, F.regexp_replace(m, r"@.*", "@host"), a)] if kind == "contact" else []
         kinds = [kind, *["spelt"] * len(disguised), *["contact"] * len(fake)]
     elif kind == "number":
@@ -165,14 +174,16 @@ def examples(kind: str, c: Column, base: Column) -> Column:
         fake = [(nothing, wrong, nothing), (nothing, F.substring(d, 1, 7), nothing), (nothing, F.concat_ws(".", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)), nothing)]
         kinds = [kind] * (1 + len(disguised) + len(fake))
     else:
-        disguised = [(nothing, m, a), (nothing, F.lower(m), nothing), (nothing, F.upper(m), nothing)]
+        other = F.regexp_replace(F.base64(F.unhex(F.sha2(m, 256))), "[+/=]", "")  # as random, in other letters
+        disguised = [(nothing, m, a), (nothing, F.upper(m), nothing), (nothing, F.substring(other, 1, 32), nothing), (nothing, F.substring(other, 5, 20), nothing)]
         words = F.regexp_replace(F.trim(b), "[^A-Za-z0-9]+", "-")
         fake = [(nothing, F.repeat(F.substring(m, 1, 3), 7), nothing), (nothing, F.concat_ws("-", words, F.substring(d, 1, 4)), nothing), (nothing, F.concat(F.lit("2024-01-01_"), F.regexp_replace(words, "[0-9]", "")), nothing)]
         kinds = [kind] * (1 + len(disguised) + len(fake))
     labels = [real, *[F.lit(True)] * len(disguised), *[F.lit(False)] * len(fake)]
     # only what is real is disguised; where the disguise or counterfeit is no candidate of its generator it teaches nothing
     fits = [F.lit(True), *[real & proposed(k, x[1]) & F.rlike(x[1], F.lit(LOOSE[k])) for k, x in zip(kinds[1:], [*disguised, *fake])]]
-    rows = [F.when(ok, F.struct(F.lit(k).alias("kind"), features(k, *x).alias("x"), y.cast("double").alias("label"))) for k, x, y, ok in zip(kinds, [*own, *disguised, *fake], labels, fits)]
+    weights = [F.when(real, 1.0).otherwise(UNSURE), *[F.lit(1.0)] * len(fits[1:])]
+    rows = [F.when(ok, F.struct(F.lit(k).alias("kind"), features(k, *x).alias("x"), y.cast("double").alias("label"), w.alias("weight"))) for k, x, y, ok, w in zip(kinds, [*own, *disguised, *fake], labels, fits, weights)]
     return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
@@ -203,11 +214,11 @@ class Chooser:
         some = cut(some, "pii-sample")
         if some.select("label").distinct().count() < 2:
             return
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="v").fit(some.select(array_to_vector("x").alias("v"), "label"))
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="v", weightCol="weight").fit(some.select(array_to_vector("x").alias("v"), "label", "weight"))
         self.trees = list(zip([t._call_java("rootNode") for t in model.trees], model.treeWeights))
         steps = [i / 20 for i in range(10, 20)] + [0.97, 0.98, 0.99]
-        held = rows.where("fold >= 7").select("kind", self.chance(F.col("x")).alias("p"), "label")
-        counts = held.select("kind", F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"), "p", "label").where("p >= t").groupBy("kind", "t").agg(F.avg("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()
+        held = rows.where("fold >= 7").select("kind", self.chance(F.col("x")).alias("p"), "label", "weight")
+        counts = held.select("kind", F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"), "p", "label", "weight").where("p >= t").groupBy("kind", "t").agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
         for kind in LOOSE:
             good = [r.t for r in counts if r.kind == kind and r.right >= precision and r.n >= 5]
             if good:

@@ -31,41 +31,48 @@ NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def repair(ids: np.ndarray, first_free: int, end_id: int, rules: int = 1 << 14, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, some: np.ndarray | None, end_id: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, pairs) of pairs that may stand ``least`` times, among all places or some.
+
+    Pairs are counted by a hash, each slot of which stands for the first of its pairs; the hash differs from turn to turn.
+    """
+    slots = 1 << 20
+    a, b = (seq[:-1], seq[1:]) if some is None else (seq[some], seq[some + 1])
+    mark = ((a * np.int32(-1640531527 + 4 * turn) + b * np.int32(-2048144789 + 6 * turn)).view(np.uint32) >> np.uint32(12)).astype(np.intp)
+    mark[(a == end_id) | (b == end_id)] = slots
+    top = np.flatnonzero(np.bincount(mark, minlength=slots + 1)[:slots] >= least)
+    slot = np.full(slots + 1, -1, np.int32)
+    slot[top] = np.arange(len(top), dtype=np.int32)
+    place = slot[mark]
+    at = np.flatnonzero(place >= 0)
+    place = place[at]
+    key = a[at].astype(np.int64) << 32 | b[at]
+    pair = np.zeros(len(top), np.int64)
+    pair[place[::-1]] = key[::-1]
+    exact = pair[place] == key
+    at = at[exact]
+    return at if some is None else some[at], place[exact], pair
+
+
+def repair(ids: np.ndarray, first_free: int, end_id: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, rules of each round): rounds replace frequent pairs by new symbols until no pair stands ``least`` times.
 
-    A round ranks the pairs by their counts over the whole file (by hash first,
-    exactly for the frequent hashes). Where occurrences overlap, the one of
-    the better rank wins, so the order of replacement doesn't matter; a pair left
-    with fewer than ``least`` of them waits for another round. The end of a
-    document is never in a pair, so documents stay apart.
+    A round ranks the pairs by their counts over the whole file. Where
+    occurrences overlap, the one of the better rank wins, so the order of
+    replacement doesn't matter; a pair left with fewer than ``least`` of them
+    waits for another round. The first round counts all pairs; later ones those
+    beside new symbols and those that lost before, as the counts of all others
+    only fall; where these are used up, all pairs are counted again, by three
+    hashes before the end. The end of a document is never in a pair, so
+    documents stay apart.
     """
     seq = ids.astype(np.int32)
     grammar, turns = [], []
-    free = first_free
-    slots, turn, vain = 1 << 20, 0, 0
-    while len(seq) >= 2 * least and vain < 3:
-        a, b = seq[:-1], seq[1:]
-        # another hash in each round, as one of its slots shows one pair only
+    free, turn, vain = first_free, 0, 0
+    waiting = None
+    while len(seq) > least and vain < 3:
+        at, place, pair = _frequent(seq, waiting, end_id, least, turn)
         turn += 1
-        mark = ((a * np.int32(-1640531527 + 4 * turn) + b * np.int32(-2048144789 + 6 * turn)).view(np.uint32) >> np.uint32(12)).astype(np.intp)
-        stops = np.flatnonzero(seq == end_id)
-        mark[stops[stops < len(mark)]] = slots
-        mark[stops[stops > 0] - 1] = slots
-        count = np.bincount(mark, minlength=slots + 1)[:slots]
-        frequent = max(least, int(np.partition(count, -rules)[-rules]))
-        top = np.flatnonzero(count >= frequent)
-        slot = np.full(slots + 1, -1, np.int32)
-        slot[top] = np.arange(len(top), dtype=np.int32)
-        place = slot[mark]
-        at = np.flatnonzero(place >= 0)
-        place = place[at]
-        key = a[at].astype(np.int64) << 32 | b[at]
-        # each hash stands for the first of its pairs; an exact count of that pair alone decides
-        pair = np.zeros(len(top), np.int64)
-        pair[place[::-1]] = key[::-1]
-        exact = pair[place] == key
-        at, place = at[exact], place[exact]
         # of a run of one pair over itself every second place counts
         again = np.zeros(len(at), bool)
         again[1:] = (np.diff(at) == 1) & (place[1:] == place[:-1])
@@ -73,32 +80,39 @@ def repair(ids: np.ndarray, first_free: int, end_id: int, rules: int = 1 << 14,
             order = np.arange(len(at))
             whole = (order - np.maximum.accumulate(np.where(again, 0, order))) % 2 == 0
             at, place = at[whole], place[whole]
-        n = np.bincount(place, minlength=len(top))
-        rank = np.empty(len(top), np.int32)
-        rank[np.argsort(-n, kind="stable")] = np.arange(len(top), dtype=np.int32)
+        n = np.bincount(place, minlength=len(pair))
         ok = n[place] >= least
         at, place = at[ok], place[ok]
+        rank = np.empty(len(pair), np.int32)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(pair), dtype=np.int32)
         beside = np.diff(at) == 1
         better = rank[place[1:]] < rank[place[:-1]]
         keep = np.ones(len(at), bool)
         keep[1:] &= ~beside | better
         keep[:-1] &= ~(beside & better)
-        used = np.bincount(place[keep], minlength=len(top))
+        used = np.bincount(place[keep], minlength=len(pair))
         keep &= used[place] >= least
-        at, place = at[keep], place[keep]
+        lost, at, place = at[~keep], at[keep], place[keep]
         if not len(at):
-            vain += frequent == least
-            rules = min(2 * rules, slots)
+            vain += waiting is None
+            waiting = None
             continue
         vain = 0
         held = np.flatnonzero(used >= least)
-        number = np.full(len(top), -1, np.int32)
+        number = np.full(len(pair), -1, np.int32)
         number[held] = np.arange(len(held), dtype=np.int32)
-        seq = seq.copy()
         seq[at] = free + number[place]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        touched = ~stay
+        touched[at] = True
+        where = np.cumsum(stay) - 1
+        lost = lost[~touched[lost] & ~touched[lost + 1]]
         seq = seq[stay]
+        fresh = where[at]
+        new = np.zeros(len(seq) + 1, bool)
+        new[fresh] = new[fresh - 1] = new[where[lost]] = True
+        waiting = np.flatnonzero(new[: len(seq) - 1])
         grammar.append(np.stack([pair[held] >> 32, pair[held] & 0xFFFFFFFF], axis=1).astype(np.int32))
         turns.append(len(held))
         free += len(held)
@@ -178,6 +192,10 @@ def pack(doc_ids: list, ids: np.ndarray, ends: np.ndarray, first_free: int, end_
     return out.getvalue()
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCoder:
     """Ids of whole texts, each distinct word of a batch looked up once and each new one encoded once by a worker.
 
@@ -296,11 +314,11 @@ class WordCoder:
         stops = np.concatenate([[0], np.cumsum(size - cut)]).astype(np.int32)
         tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(marks.tobytes())]).dictionary_encode()
         cores = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(cores), cores).dictionary_encode()
-        core = self._of_cores(cores.dictionary.to_pylist())[cores.indices.to_numpy()]
-        tail = self._of_whole(tails.dictionary.to_pylist())[tails.indices.to_numpy()]
+        core = self._of_cores(_strings(cores.dictionary))[cores.indices.to_numpy()]
+        tail = self._of_whole(_strings(tails.dictionary))[tails.indices.to_numpy()]
         odd = np.flatnonzero(core < 0)
         if len(odd):
-            core[odd] = self._of_whole(words.take(pa.array(odd)).to_pylist())
+            core[odd] = self._of_whole(_strings(words.take(pa.array(odd))))
             tail[odd] = 0
         return core, tail
 
@@ -347,6 +365,19 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def together(batches, size: int):
+    """Batches of at least ``size`` bytes but the last, so that a word that several of them hold is looked up once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _files(path: str):
     fs, inner = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
     return fs, inner
@@ -379,7 +410,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", t
 
     def encode(batches):
         coder = _coder(path)
-        for batch in batches:
+        for batch in together(batches, 8 << 20):
             ids = batch.column(0)
             at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
             values, ends = coder.encode(batch.column(1))
@@ -437,6 +468,7 @@ def with_bases(files: DataFrame, group: int = 256) -> DataFrame:
 def read_ids(files: DataFrame, docs_at_once: int = 1000) -> DataFrame:
     """(id, start, n_tokens, ids binary) of each document in the files: start counts the ids of all documents before it."""
     todo = with_bases(files).select("path", "base")
+    tasks = max(1, min(files.count(), 20_000))
 
     def run(batches):
         for batch in batches:
@@ -454,8 +486,7 @@ def read_ids(files: DataFrame, docs_at_once: int = 1000) -> DataFrame:
                     ids = pa.array(shard.doc_ids[lo:hi], mask=~shard.known[lo:hi])
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(n), pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(got.tobytes())])], names=["id", "start", "n_tokens", "ids"])
 
-    # a file's name says nothing of its place, so names spread over the tasks
-    return todo.repartition("path").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    return todo.repartition(tasks).mapInArrow(run, "id long, start long, n_tokens long, ids binary")
 
 
 def id_file_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
