@@ -79,10 +79,12 @@ def spell_days(days: DataFrame, unit: list[str], value: str, q: float, baseline:
 
 
 def heatwave_peaks(days: DataFrame, unit: list[str], value: str, q: float, baseline: tuple[int, int], least: int = 5, window: int = 5) -> DataFrame:
-    """keys, amplitude (peak of the hottest spell in °C), magnitude (its mean exceedance); years without a spell have no row."""
+    """keys, amplitude (peak of the hottest spell in °C), magnitude (its mean exceedance); null in years without a spell."""
     limits = thresholds.doy_thresholds(baseline_of(days, unit, *baseline), unit, value, q, window)
-    hot = runs.hottest_spell(thresholds.attach(days, limits, unit), [*unit, "scenario", "year"], value, "threshold", least)
-    return hot.select(*unit, "scenario", "year", (F.col("peak") - KELVIN).alias("amplitude"), "magnitude")
+    keys = [*unit, "scenario", "year"]
+    with_limits = thresholds.attach(days, limits, unit)
+    hot = runs.hottest_spell(with_limits, keys, value, "threshold", least)
+    return with_limits.select(*keys).distinct().join(hot, keys, "left").select(*keys, (F.col("peak") - KELVIN).alias("amplitude"), "magnitude")
 
 
 def heatwave_delta(days: DataFrame, unit: list[str], value: str, baseline: tuple[int, int], plus: float = 5.0, floor: float = 313.15, least: int = 5) -> DataFrame:

@@ -36,6 +36,14 @@ def match_names(items: DataFrame, units: DataFrame, item: str, unit: str, block:
     return left.select(*block, "item").join(best.select(*block, "item", "unit", "tier"), [*block, "item"], "left")
 
 
+def portfolio_states(rows: DataFrame, state: str, place: str, fallback: str) -> DataFrame:
+    """(state_key, state) of a portfolio: states whatever their case, in the spelling that comes first; "All" is none of them. An empty portfolio gives the fallback."""
+    key = F.lower(F.trim(F.col(state)))
+    held = rows.where(F.col(state).isNotNull() & (key != "all")).groupBy(key.alias("state_key")).agg(F.min_by(state, place).alias("state"))
+    one = rows.sparkSession.range(1).select(F.lower(F.lit(fallback)).alias("state_key"), F.lit(fallback).alias("state"))
+    return held.unionByName(one.join(held.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit(True), "left_anti"))
+
+
 def merge_master(boundaries: DataFrame, master: DataFrame, state: str, name: str, aliases: dict[str, str] | None = None, with_state: bool = True) -> DataFrame:
     """Boundaries of the master's states with its columns joined on the normalised name; columns of both get _csv on the master's side.
 

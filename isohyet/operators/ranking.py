@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PLACES = 9  # values that agree to so many places are ties: averages of the same numbers differ in their last bits by the order of summation
+
+
+def tied(value: str) -> Column:
+    return F.round(F.col(value), PLACES)
+
 
 def rank_in_group(rows: DataFrame, group: list[str], value: str = "value", higher_is_worse: bool = True) -> DataFrame:
     """rank (1 is worst, ties take the best place) and percentile (max method, higher is worse); rows without a value have neither."""
     known = F.col(value).isNotNull()
     part = Window.partitionBy(*group, known)
-    order = part.orderBy(F.col(value).desc() if higher_is_worse else F.col(value).asc())
-    back = part.orderBy(F.col(value).asc() if higher_is_worse else F.col(value).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    order = part.orderBy(tied(value).desc() if higher_is_worse else tied(value).asc())
+    back = part.orderBy(tied(value).asc() if higher_is_worse else tied(value).desc()).rangeBetween(Window.unboundedPreceding, 0)
     n = F.count(value).over(part)
     return rows.withColumn("rank", F.when(known, F.rank().over(order))).withColumn("percentile", F.when(known, F.count(value).over(back) / n * 100))
 
@@ -20,11 +26,11 @@ def rankings_table(rows: DataFrame, group: list[str], value: str = "value", delt
     """rank_value (descending, min), percentile (average method), rank_delta; the direction of the metric plays no part."""
     known = F.col(value).isNotNull()
     part = Window.partitionBy(*group, known)
-    up = part.orderBy(F.col(value).asc())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    both = Window.partitionBy(*group, F.col(delta).isNotNull()).orderBy(F.col(delta).desc())
+    up = part.orderBy(tied(value).asc())
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, tied(value)))
+    both = Window.partitionBy(*group, F.col(delta).isNotNull()).orderBy(tied(delta).desc())
     return (
-        rows.withColumn("rank_value", F.when(known, F.rank().over(part.orderBy(F.col(value).desc()))))
+        rows.withColumn("rank_value", F.when(known, F.rank().over(part.orderBy(tied(value).desc()))))
         .withColumn("percentile", F.when(known, (F.rank().over(up) + (ties - 1) / 2) / F.count(value).over(part) * 100))
         .withColumn("rank_delta", F.when(F.col(delta).isNotNull(), F.rank().over(both)))
     )
@@ -34,7 +40,7 @@ def position_stats(rows: DataFrame, group: list[str], value: str = "value", high
     """rank, n and percentile of each value among the group's: from counts of lower, equal and higher values in one window pass."""
     known = F.col(value).isNotNull()
     part = Window.partitionBy(*group, known)
-    up = part.orderBy(value)
+    up = part.orderBy(tied(value))
     n = F.count(value).over(part)
     le = F.count(value).over(up.rangeBetween(Window.unboundedPreceding, 0))
     lt = F.rank().over(up) - 1
@@ -46,12 +52,12 @@ def position_stats(rows: DataFrame, group: list[str], value: str = "value", high
 def percentile_le_lt(rows: DataFrame, group: list[str], value: str = "value") -> DataFrame:
     """Share of values at most and below each value, and its descending rank; direction plays no part."""
     part = Window.partitionBy(*group, F.col(value).isNotNull())
-    up = part.orderBy(value)
+    up = part.orderBy(tied(value))
     n = F.count(value).over(part)
     known = F.col(value).isNotNull()
     return rows.select(
         "*", F.when(known, F.count(value).over(up.rangeBetween(Window.unboundedPreceding, 0)) / n * 100).alias("percentile_le"), F.when(known, (F.rank().over(up) - 1) / n * 100).alias("percentile_lt"),
-        F.when(known, F.rank().over(part.orderBy(F.col(value).desc()))).alias("rank_desc"),
+        F.when(known, F.rank().over(part.orderBy(tied(value).desc()))).alias("rank_desc"),
     )
 
 
@@ -59,7 +65,7 @@ def top_increases(rows: DataFrame, keys: list[str], n: int = 20, delta: str = "d
     """The n rows of the greatest increase, or of the greatest value where no row has a baseline; ties by the keys. A limit is what the report asks for."""
     some = rows.agg(F.max(F.col(delta).isNotNull()).alias("some__"))
     by = rows.crossJoin(F.broadcast(some)).withColumn("by__", F.when(F.col("some__"), F.col(delta)).otherwise(F.col(value)))
-    return by.where("by__ is not null").orderBy(F.desc("by__"), *keys).limit(n).drop("by__", "some__")
+    return by.where("by__ is not null").orderBy(F.round("by__", PLACES).desc(), *keys).limit(n).drop("by__", "some__")
 
 
 def robust_range(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -141,39 +141,39 @@ def attach_doy_threshold(spark, d):
     return thresholds.attach(days, t, M).select(*K, "date", "threshold")
 
 
-def _exceed(v, q, above):
+def doy_exceedance_sql(v: str, q: float, above: bool, name: str = "pct_days") -> str:
     op = ">=" if above else "<="
-    return f"WITH {doy_cte(v, q)}, {with_doy()} SELECT {KS}, round(avg(CASE WHEN {v} {op} threshold THEN 1 ELSE 0 END) * 100, 6) AS pct_days FROM x GROUP BY ALL"
+    return f"WITH {doy_cte(v, q)}, {with_doy()} SELECT {KS}, round(avg(CASE WHEN {v} {op} threshold THEN 1 ELSE 0 END) * 100, 6) AS {name} FROM x GROUP BY ALL"
 
 
 for _name, _v, _q, _above in (("tx90p_etccdi", "tasmax", 0.9, True), ("tn90p_etccdi", "tasmin", 0.9, True), ("tx10p_etccdi", "tasmax", 0.1, False), ("tn10p_etccdi", "tasmin", 0.1, False)):
-    query(_exceed(_v, _q, _above), name=_name, last=1998)(lambda spark, d, v=_v, q=_q, above=_above: indices.doy_exceedance(p(spark, d), M, v, q, BASE, above))
+    query(doy_exceedance_sql(_v, _q, _above), name=_name, last=1998)(lambda spark, d, v=_v, q=_q, above=_above: indices.doy_exceedance(p(spark, d), M, v, q, BASE, above))
 
 
-def _spells(v, q, above, least):
+def spells_sql(v: str, q: float, above: bool, least: int) -> str:
     head = RUNS.format(k=KS, flag=f"{v} {'>=' if above else '<='} threshold", src="x")
     return f"WITH {doy_cte(v, q)}, {with_doy()}, {head[5:]}, n AS (SELECT {KS}, max(length) AS longest, sum(length) AS total, count(*) AS events FROM r WHERE length >= {least} GROUP BY ALL), a AS (SELECT {KS}, count(*) AS n_days FROM x GROUP BY ALL), b AS (SELECT DISTINCT {MS}, 1 AS one FROM t)"
 
 
 def _spell_query(name, v, q, above, least, cols, sql_cols):
-    query(_spells(v, q, above, least) + f" SELECT {KS}, {sql_cols} FROM a LEFT JOIN n USING ({KS}) LEFT JOIN b USING ({MS})", name=name, last=1998)(
+    query(spells_sql(v, q, above, least) + f" SELECT {KS}, {sql_cols} FROM a LEFT JOIN n USING ({KS}) LEFT JOIN b USING ({MS})", name=name, last=1998)(
         lambda spark, d: indices.spell_days(p(spark, d), M, v, q, BASE, above, least).select(*K, *cols(F))
     )
 
 
-def _known(x):
+def known_sql(x: str) -> str:
     return f"CASE WHEN one = 1 THEN CAST(coalesce({x}, 0) AS DOUBLE) END"
 
 
-_spell_query("warm_spell_days", "tasmax", 0.9, True, 2, lambda F: ["days_in_runs"], f"{_known('total')} AS days_in_runs")
-_spell_query("cold_spell_days", "tasmin", 0.1, False, 2, lambda F: ["days_in_runs"], f"{_known('total')} AS days_in_runs")
-_spell_query("heatwave_frequency_pct", "tasmax", 0.9, True, 2, lambda F: ["days_in_runs", "longest", "events"], f"{_known('total')} AS days_in_runs, {_known('longest')} AS longest, {_known('events')} AS events")
+_spell_query("warm_spell_days", "tasmax", 0.9, True, 2, lambda F: ["days_in_runs"], f"{known_sql('total')} AS days_in_runs")
+_spell_query("cold_spell_days", "tasmin", 0.1, False, 2, lambda F: ["days_in_runs"], f"{known_sql('total')} AS days_in_runs")
+_spell_query("heatwave_frequency_pct", "tasmax", 0.9, True, 2, lambda F: ["days_in_runs", "longest", "events"], f"{known_sql('total')} AS days_in_runs, {known_sql('longest')} AS longest, {known_sql('events')} AS events")
 
 
 @query(f"WITH {doy_cte('tasmax', 0.9)}, {with_doy()}, " + RUNS.format(k=KS, flag="tasmax >= threshold", src="x")[5:] + f"""
 , e AS (SELECT {KS}, island, count(*) AS n, min(pos) AS start_pos, avg(tasmax - threshold) AS m, max(tasmax) AS peak FROM i WHERE on_ = 1 GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY {KS} ORDER BY m DESC, start_pos) AS rn FROM e WHERE n >= 2)
-SELECT {KS}, round(peak - 273.15, 6) AS amplitude, round(m, 6) AS magnitude FROM o WHERE rn = 1""", last=1998)
+SELECT {KS}, round(peak - 273.15, 6) AS amplitude, round(m, 6) AS magnitude FROM (SELECT DISTINCT {KS} FROM x) LEFT JOIN (SELECT * FROM o WHERE rn = 1) USING ({KS})""", last=1998)
 def heatwave_amplitude_magnitude(spark, d):
     return indices.heatwave_peaks(p(spark, d), M, "tasmax", 0.9, BASE, 2)
 

@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.operators import indices, spi
-from isohyet.plans.catalog import query
-from isohyet.plans.source_queries import scratch
-from isohyet.sources.adapter import KELVIN, UNIT, panel
+from isohyet.sources.adapter import KELVIN
 
 BASELINE = (1981, 2010)
 
@@ -73,26 +71,102 @@ METRICS = [
     Metric("prcptot_annual_total", "pr", "wet_total", {"wet": 1.0}),
     Metric("cwd_consecutive_wet_days", "pr", "rain_runs", {"wet": 1.0, "column": "cwd"}),
     Metric("pr_consecutive_dry_days_lt1mm", "pr", "rain_runs", {"wet": 1.0, "column": "cdd"}),
-    *[Metric(f"spi{n}_drought_index", "pr", "spi", {"scale": n, "column": "spi_mean"}, False) for n in (3, 6, 12)],
-    *[Metric(f"spi{n}_count_months_{side}", "pr", "spi", {"scale": n, "column": column, "limit": limit}) for n in (3, 6, 12) for side, column, limit in (("lt_minus1", "months_below", -1.0), ("lt_minus2", "months_below", -2.0), ("gt_plus1", "months_above", 1.0), ("gt_plus2", "months_above", 2.0))],
+    Metric("spi3_drought_index", "pr", "spi", {"scale": 3, "column": "spi_mean"}, False),
+    Metric("spi6_drought_index", "pr", "spi", {"scale": 6, "column": "spi_mean"}, False),
+    Metric("spi12_drought_index", "pr", "spi", {"scale": 12, "column": "spi_mean"}, False),
+    Metric("spi3_count_months_lt_minus1", "pr", "spi", {"scale": 3, "column": "below_1"}),
+    Metric("spi3_count_months_lt_minus2", "pr", "spi", {"scale": 3, "column": "below_2"}),
+    Metric("spi3_count_months_gt_plus1", "pr", "spi", {"scale": 3, "column": "above_1"}),
+    Metric("spi3_count_months_gt_plus2", "pr", "spi", {"scale": 3, "column": "above_2"}),
+    Metric("spi6_count_months_lt_minus1", "pr", "spi", {"scale": 6, "column": "below_1"}),
+    Metric("spi6_count_months_lt_minus2", "pr", "spi", {"scale": 6, "column": "below_2"}),
+    Metric("spi6_count_months_gt_plus1", "pr", "spi", {"scale": 6, "column": "above_1"}),
+    Metric("spi6_count_months_gt_plus2", "pr", "spi", {"scale": 6, "column": "above_2"}),
+    Metric("spi12_count_months_lt_minus1", "pr", "spi", {"scale": 12, "column": "below_1"}),
+    Metric("spi12_count_months_lt_minus2", "pr", "spi", {"scale": 12, "column": "below_2"}),
+    Metric("spi12_count_months_gt_plus1", "pr", "spi", {"scale": 12, "column": "above_1"}),
+    Metric("spi12_count_months_gt_plus2", "pr", "spi", {"scale": 12, "column": "above_2"}),
 ]
 
 # Themes and their metrics, in their order.
 BUNDLES = {
-    "Heat Risk": "tas_annual_mean txx_annual_max txge30_hot_days txge35_extreme_heat_days tasmin_tropical_nights_gt20 tx90p_hot_days_pct tn90p_warm_nights_pct wsdi_warm_spell_days hwfi_tmean_90p hwfi_events_tmean_90p hwa_heatwave_amplitude tnx_annual_max tasmax_summer_mean tas_summer_mean",
-    "Heat Stress": "twb_annual_mean twb_annual_max twb_days_ge_30 wbd_le_3 wbd_le_6",
-    "Cold Risk": "tas_winter_mean tasmin_winter_mean fd_frost_days tnlt2_cold_nights tx10p_cool_days_pct tn10p_cool_nights_pct csdi_cold_spell_days tnn_annual_min",
-    "Agriculture & Growing Conditions": "gsl_growing_season tasmax_summer_mean tasmin_winter_mean dtr_daily_temp_range",
-    "Flood & Extreme Rainfall Risk": "pr_max_1day_precip pr_max_5day_precip r20mm_very_heavy_precip_days r95p_very_wet_precip r95ptot_contribution_pct cwd_consecutive_wet_days",
-    "Rainfall Totals & Typical Wetness": "prcptot_annual_total pr_simple_daily_intensity rain_gt_2p5mm",
-    "Drought Risk": "pr_consecutive_dry_days_lt1mm spi6_drought_index spi6_count_months_lt_minus1",
-    "Drought Risk (Advanced)": "spi3_drought_index spi3_count_months_lt_minus1 spi3_count_months_lt_minus2 spi6_drought_index spi6_count_months_lt_minus1 spi6_count_months_lt_minus2 spi12_drought_index spi12_count_months_lt_minus1 spi12_count_months_lt_minus2",
-    "Temperature Variability": "dtr_daily_temp_range etr_extreme_temp_range",
+    "Heat Risk": [
+        "tas_annual_mean",
+        "txx_annual_max",
+        "txge30_hot_days",
+        "txge35_extreme_heat_days",
+        "tasmin_tropical_nights_gt20",
+        "tx90p_hot_days_pct",
+        "tn90p_warm_nights_pct",
+        "wsdi_warm_spell_days",
+        "hwfi_tmean_90p",
+        "hwfi_events_tmean_90p",
+        "hwa_heatwave_amplitude",
+        "tnx_annual_max",
+        "tasmax_summer_mean",
+        "tas_summer_mean",
+    ],
+    "Heat Stress": [
+        "twb_annual_mean",
+        "twb_annual_max",
+        "twb_days_ge_30",
+        "wbd_le_3",
+        "wbd_le_6",
+    ],
+    "Cold Risk": [
+        "tas_winter_mean",
+        "tasmin_winter_mean",
+        "fd_frost_days",
+        "tnlt2_cold_nights",
+        "tx10p_cool_days_pct",
+        "tn10p_cool_nights_pct",
+        "csdi_cold_spell_days",
+        "tnn_annual_min",
+    ],
+    "Agriculture & Growing Conditions": [
+        "gsl_growing_season",
+        "tasmax_summer_mean",
+        "tasmin_winter_mean",
+        "dtr_daily_temp_range",
+    ],
+    "Flood & Extreme Rainfall Risk": [
+        "pr_max_1day_precip",
+        "pr_max_5day_precip",
+        "r20mm_very_heavy_precip_days",
+        "r95p_very_wet_precip",
+        "r95ptot_contribution_pct",
+        "cwd_consecutive_wet_days",
+    ],
+    "Rainfall Totals & Typical Wetness": [
+        "prcptot_annual_total",
+        "pr_simple_daily_intensity",
+        "rain_gt_2p5mm",
+    ],
+    "Drought Risk": [
+        "pr_consecutive_dry_days_lt1mm",
+        "spi6_drought_index",
+        "spi6_count_months_lt_minus1",
+    ],
+    "Drought Risk (Advanced)": [
+        "spi3_drought_index",
+        "spi3_count_months_lt_minus1",
+        "spi3_count_months_lt_minus2",
+        "spi6_drought_index",
+        "spi6_count_months_lt_minus1",
+        "spi6_count_months_lt_minus2",
+        "spi12_drought_index",
+        "spi12_count_months_lt_minus1",
+        "spi12_count_months_lt_minus2",
+    ],
+    "Temperature Variability": [
+        "dtr_daily_temp_range",
+        "etr_extreme_temp_range",
+    ],
 }
 
 
 def bundle_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(b, i, s) for b, slugs in BUNDLES.items() for i, s in enumerate(slugs.split())], "bundle string, position int, slug string")
+    return spark.createDataFrame([(b, i, s) for b, slugs in BUNDLES.items() for i, s in enumerate(slugs)], "bundle string, position int, slug string")
 
 
 def metric_dim(spark: SparkSession) -> DataFrame:
@@ -122,58 +196,86 @@ def _spi(days: DataFrame, unit: list[str], m: Metric, baseline: tuple[int, int],
     monthly = days.groupBy(*keys, F.trunc("date", "MM").alias("month")).agg(F.sum(m.var).alias("total"))
     acc = spi.accumulate(monthly, keys, m.params["scale"])
     values = spi.transform(acc, spi.fit(acc, unit, baseline), unit)
-    limit = m.params.get("limit", 1.0)
-    return spi.annualize(values, keys, least_months, below=limit, above=limit)
+    one = spi.annualize(values, keys, least_months).withColumnsRenamed({"months_below": "below_1", "months_above": "above_1"})
+    two = spi.annualize(values, keys, least_months, below=-2.0, above=2.0).select(*keys, "year", F.col("months_below").alias("below_2"), F.col("months_above").alias("above_2"))
+    return one.join(two, [*keys, "year"])
 
 
-#: Kinds with a plan of their own: (days, unit, metric, baseline) -> unit, scenario, year and the metric's column.
+def _keys(u: list[str]) -> list[str]:
+    return [*u, "scenario", "year"]
+
+
+#: Kinds with a plan of their own: (days, unit, metric, baseline) -> unit, scenario, year and the columns that its metrics name.
 BUILDERS: dict[str, Callable] = {
     "doy_exceedance": lambda d, u, m, b: indices.doy_exceedance(d, u, m.var, m.params["q"], b, m.params.get("above", True)).withColumnRenamed("pct_days", "value"),
-    "wet_bulb": lambda d, u, m, b: indices.wet_bulb_indices(d, [*u, "scenario", "year"], m.params.get("hot", 30.0), m.params.get("near", 3.0)),
+    "wet_bulb": lambda d, u, m, b: indices.wet_bulb_indices(d, _keys(u), m.params.get("hot", 30.0), m.params.get("near", 3.0)),
     "spells": lambda d, u, m, b: indices.spell_days(d, u, m.var, m.params["q"], b, m.params.get("above", True), m.params["least"]),
     "heatwave_peak": lambda d, u, m, b: indices.heatwave_peaks(d, u, m.var, m.params["q"], b, m.params["least"]),
-    "seasonal_mean": lambda d, u, m, b: indices.seasonal_mean(d, [*u, "scenario", "year"], m.var, m.params["months"]).withColumnRenamed("seasonal_mean", "value"),
-    "range": lambda d, u, m, b: indices.temperature_ranges(d, [*u, "scenario", "year"]),
-    "growing_season": lambda d, u, m, b: indices.growing_season_length(d, [*u, "scenario", "year"], m.var, m.params["limit"], m.params["least"]).withColumnRenamed("gsl", "value"),
-    "rx5day": lambda d, u, m, b: indices.rx5day(d, [*u, "scenario", "year"], m.var).withColumnRenamed("rx5day", "value"),
+    "seasonal_mean": lambda d, u, m, b: indices.seasonal_mean(d, _keys(u), m.var, m.params["months"]).withColumnRenamed("seasonal_mean", "value"),
+    "range": lambda d, u, m, b: indices.temperature_ranges(d, _keys(u)),
+    "growing_season": lambda d, u, m, b: indices.growing_season_length(d, _keys(u), m.var, m.params["limit"], m.params["least"]).withColumnRenamed("gsl", "value"),
+    "rx5day": lambda d, u, m, b: indices.rx5day(d, _keys(u), m.var).withColumnRenamed("rx5day", "value"),
     "r95p": lambda d, u, m, b: indices.r95p(d, u, b, m.var, m.params["wet"], m.params["q"]),
-    "rain_runs": lambda d, u, m, b: indices.wet_and_dry_runs(d, [*u, "scenario", "year"], m.var, m.params["wet"]),
+    "rain_runs": lambda d, u, m, b: indices.wet_and_dry_runs(d, _keys(u), m.var, m.params["wet"]),
     "spi": lambda d, u, m, b: _spi(d, u, m, b, 9),
 }
 
+#: Metrics that users added, by slug.
+ADDED: dict[str, Metric] = {}
+
+
+def register(metric: Metric, aggregate: Callable | None = None, plan: Callable | None = None) -> Metric:
+    """Add a metric under its slug, for build() to find by name.
+
+    A new kind comes with its function: ``aggregate`` (value column, params) ->
+    aggregate of a year, or ``plan`` (days, unit, metric, baseline) -> unit,
+    scenario, year, value. A slug or kind that is there already is an error.
+    """
+    if metric.slug in ADDED or any(m.slug == metric.slug for m in METRICS):
+        raise ValueError(f"the metric {metric.slug} is there already")
+    if aggregate is not None or plan is not None:
+        if metric.kind in PLAIN or metric.kind in BUILDERS:
+            raise ValueError(f"the kind {metric.kind} is there already")
+        if plan is not None:
+            BUILDERS[metric.kind] = plan
+        else:
+            PLAIN[metric.kind] = aggregate
+    if metric.kind not in PLAIN and metric.kind not in BUILDERS:
+        raise ValueError(f"the kind {metric.kind} has no function")
+    ADDED[metric.slug] = metric
+    return metric
+
+
+def _run(m: Metric) -> tuple:
+    """What metrics of one builder must have in common to come out of one run of it."""
+    usual = {("hot", 30.0), ("near", 3.0)} if m.kind == "wet_bulb" else set()
+    return m.kind, m.var, tuple(sorted((k, v) for k, v in m.params.items() if k != "column" and (k, v) not in usual))
+
 
 def build(days: DataFrame, unit: list[str], slugs: list[str] | None = None, baseline: tuple[int, int] = BASELINE) -> DataFrame:
-    """slug, unit, scenario, year, value of the metrics asked for (all if none are named). unit holds the model; days should be a stored or cached table."""
-    wanted = [m for m in METRICS if slugs is None or m.slug in slugs]
-    keys = [*unit, "scenario", "year"]
+    """slug, unit, scenario, year, value of the metrics asked for, by slug, registered ones too (all of METRICS if none are named).
+
+    unit holds the model; days should be a stored table if more than one builder
+    runs. Plain metrics share one grouped pass; metrics that differ only in the
+    column they take share one run of their builder. A year that a metric has no
+    value for keeps its row with a null. An unknown slug is an error.
+    """
+    every = {m.slug: m for m in METRICS} | ADDED
+    unknown = [s for s in slugs or () if s not in every]
+    if unknown:
+        raise ValueError(f"no such metrics: {', '.join(unknown)}")
+    wanted = METRICS if slugs is None else [every[s] for s in slugs]
+    keys = _keys(unit)
     parts = []
     plain = [m for m in wanted if m.kind in PLAIN]
     if plain:
         wide = days.groupBy(*keys).agg(*[PLAIN[m.kind](F.col(m.var), m.params).alias(m.slug) for m in plain])
         parts.append(wide.unpivot(keys, [m.slug for m in plain], "slug", "value"))
+    runs: dict[tuple, list[Metric]] = {}
     for m in wanted:
         if m.kind in BUILDERS:
-            column = m.params.get("column", "value")
-            parts.append(BUILDERS[m.kind](days, unit, m, baseline).select(*keys, F.lit(m.slug).alias("slug"), F.col(column).alias("value")))
-    return reduce(DataFrame.unionByName, parts).where("value is not null").select("slug", *keys, "value")
-
-
-SOME = "'txx_annual_max', 'tnx_annual_max', 'tnn_annual_min', 'tas_annual_mean', 'fd_frost_days', 'pr_max_1day_precip', 'rain_gt_2p5mm', 'prcptot_annual_total'"
-YK = "state, district, model, scenario, year"
-
-
-@query(f"""WITH g AS (SELECT {YK}, [max(tasmax) - 273.15, max(tasmin) - 273.15, min(tasmin) - 273.15, avg(tas) - 273.15, CAST(count(*) FILTER (tasmin < 273.15) AS DOUBLE), max(pr), CAST(count(*) FILTER (pr > 2.5) AS DOUBLE), coalesce(sum(pr) FILTER (pr >= 1), 0)] AS vals FROM panel GROUP BY ALL),
-u AS (SELECT {YK}, unnest([{SOME}]) AS slug, unnest(vals) AS value FROM g) SELECT slug, {YK}, round(value, 6) AS value FROM u""", last=1998)
-def registry_yearly_plain(spark, d):
-    return build(panel(spark, d), [*UNIT, "model"], [s.strip(" '") for s in SOME.split(",")], (1995, 1998))
-
-
-@query()
-def registry_yearly_with_baseline(spark, d):
-    """All metrics of the registry, plain ones and those with a baseline, spells, seasons or SPI, in one plan over the shared panel."""
-    path = scratch(spark, "panel")
-    panel(spark, d).write.parquet(path)
-    days, unit = spark.read.parquet(path), [*UNIT, "model"]
-    # SPI is fitted to five years of a month at least, which 1995 to 1998 don't hold
-    long = [m.slug for m in METRICS if m.kind == "spi"]
-    return build(days, unit, [m.slug for m in METRICS if m.slug not in long], (1995, 1998)).unionByName(build(days, unit, long))
+            runs.setdefault(_run(m), []).append(m)
+    for same in runs.values():
+        made = BUILDERS[same[0].kind](days, unit, same[0], baseline)
+        parts.append(made.select(*keys, *[F.col(m.params.get("column", "value")).cast("double").alias(m.slug) for m in same]).unpivot(keys, [m.slug for m in same], "slug", "value"))
+    return reduce(DataFrame.unionByName, parts).select("slug", *keys, "value")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from isohyet.functions import names, units
@@ -14,17 +11,12 @@ from isohyet.plans.index_queries import MONTHLY, monthly
 from isohyet.plans.table_queries import MASTER, YEARLY, current, master, yearly
 from isohyet.sources import io
 from isohyet.sources.adapter import SERIES, UNIT, observations, panel, table
+from isohyet.sources.io import scratch
 
 S = ", ".join(SERIES)
 LONG = "grid AS (SELECT cell, model, scenario, date, 'tas' AS var, avg(q) + 273.15 AS value FROM obs GROUP BY ALL UNION ALL SELECT cell, model, scenario, date, 'pr', sum(q) / 10 FROM obs WHERE q > 5 GROUP BY ALL)"
 
 
-def scratch(spark, what: str) -> str:
-    """A folder for written tables: in the session's shared folder, else in one of its own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-isohyet-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def grid(spark, d):
     """Long grid table: cell, model, scenario, date, var, value."""
     o = observations(spark, d)
@@ -134,16 +126,20 @@ def distinct_units(spark, d):
     return observations(spark, d).groupBy("state").agg(F.count_distinct("district").alias("n_units"), F.count_distinct("block").alias("n_blocks"))
 
 
-@query("SELECT r_name AS state FROM region WHERE r_name NOT IN (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 9 = 0)")
+@query("SELECT r_name AS state, n_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT IN (SELECT district FROM obs)", last=1998)
 def missing_states(spark, d):
-    held = table(spark, d, "nation").where("n_nationkey % 9 = 0").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("state"))
-    return io.missing_from(table(spark, d, "region").select(F.col("r_name").alias("state")), held, ["state"])
+    """Units of the portfolio (every nation) that no reading is from."""
+    wanted = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("state"), F.col("n_name").alias("district"))
+    return io.missing_from(wanted, observations(spark, d), UNIT)
 
 
-@query("WITH p AS (SELECT r_name AS state, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0) SELECT lower(state) AS state_key, arg_min(state, pos) AS state FROM p GROUP BY 1")
+@query("WITH p AS (SELECT r_name AS state, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT lower(state) AS state_key, CASE WHEN min(pos) % 2 = 0 THEN arg_min(state, pos) ELSE lower(arg_min(state, pos)) END AS state FROM p GROUP BY 1")
 def portfolio_states(spark, d):
-    p = table(spark, d, "nation").where("n_nationkey % 3 = 0").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return p.groupBy(F.lower("r_name").alias("state_key")).agg(F.min_by("r_name", "n_nationkey").alias("state"))
+    """States of a portfolio whose spellings differ in case from unit to unit, with an "All" among them: the first spelling stays."""
+    p = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = p.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.lower("r_name")).alias("state"), F.col("n_nationkey").cast("long").alias("place"))
+    rows = rows.unionByName(spark.range(1).select(F.lit("All").alias("state"), F.lit(-1).cast("long").alias("place")))
+    return matching.portfolio_states(rows, "state", "place", "none")
 
 
 @query("WITH a AS (SELECT state, district, avg(q) AS warm FROM obs WHERE state < 'B' GROUP BY ALL), b AS (SELECT state, district, max(q) AS top FROM obs WHERE state >= 'B' GROUP BY ALL) SELECT state, district, round(warm, 6) AS warm, NULL::DOUBLE AS top FROM a UNION ALL SELECT state, district, NULL, round(top, 6) FROM b", last=1998)
@@ -340,17 +336,6 @@ def merge_master(spark, d):
     return matching.merge_master(b, m, "state_name", "district_name").select(F.col("dn").alias("district_name"), F.col("sn").alias("state_name"), "value")
 
 
-BUNDLES = "b AS (SELECT p_brand AS bundle, p_type AS slug, min(p_partkey) AS position FROM part GROUP BY ALL)"
-
-
-@query(f"WITH {BUNDLES} SELECT slug, count(DISTINCT bundle) AS bundles, min(position) AS position FROM b WHERE bundle IN ('Brand#11', 'Brand#12') GROUP BY ALL")
-def bundle_expand(spark, d):
-    """Themes (brands) to their indices (types), without repeats."""
-    b = table(spark, d, "part").groupBy(F.col("p_brand").alias("bundle"), F.col("p_type").alias("slug")).agg(F.min("p_partkey").alias("position"))
-    wanted = table(spark, d, "part").where("p_brand in ('Brand#11', 'Brand#12')").select(F.col("p_brand").alias("bundle")).distinct()
-    return wanted.join(b, "bundle").groupBy("slug").agg(F.count_distinct("bundle").alias("bundles"), F.min("position").alias("position"))
-
-
 # --- SPI: history until 1999, baseline 1995-1999 ------------------------------------------------------------------
 B5 = (1995, 1999)
 UM = [*UNIT, "model"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohyet.plans.catalog import query
-from isohyet.plans.source_queries import scratch
 from isohyet.sources.adapter import table
+from isohyet.sources.io import scratch
 from isohyet.streaming.daily import daily_stream
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import risk
 from isohyet.operators import ensemble, ranking
+from isohyet.plans import registry
 from isohyet.plans.catalog import query
 from isohyet.sources.adapter import SERIES, UNIT, panel, table
 
@@ -24,34 +25,37 @@ pv AS (SELECT state, district, slug, model, scenario, period, avg(value) AS valu
 MASTER = f"""{PV}, master AS (SELECT slug, state, district, scenario, period, count(value) AS n_models, avg(value) AS mean, stddev_pop(value) AS std, median(value) AS median, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.95) AS p95 FROM pv GROUP BY ALL)"""
 HOT = f"""{MASTER}, cur AS (SELECT state, district, mean AS value FROM master WHERE slug = 'hot_days' AND scenario = 'ssp245' AND period = '1999-2001'),
 bas AS (SELECT state, district, mean AS baseline FROM master WHERE slug = 'hot_days' AND scenario = 'historical' AND period = '1995-1998'),
-dl AS (SELECT state, district, value, baseline, value - baseline AS delta, (value - baseline) / nullif(baseline, 0) * 100 AS delta_pct FROM cur LEFT JOIN bas USING (state, district))"""
+dl AS (SELECT state, district, round(value, 9) AS value, baseline, round(value - baseline, 9) AS delta, (value - baseline) / nullif(baseline, 0) * 100 AS delta_pct FROM cur LEFT JOIN bas USING (state, district))"""
 
 
-def yearly(spark, d):
-    days = panel(spark, d)
-    wide = days.groupBy(*K).agg((F.avg("tasmax") - 273.15).alias("tx_mean"), F.count_if(F.col("tasmax") >= 303.15).cast("double").alias("hot_days"), F.sum("pr").alias("prcptot"))
-    return wide.unpivot(K, ["tx_mean", "hot_days", "prcptot"], "slug", "value")
+#: The metrics of these tables, added to the registry as a user would add them.
+TX_MEAN = registry.register(registry.Metric("tx_mean", "tasmax", "mean"))
+HOT_DAYS = registry.register(registry.Metric("hot_days", "tasmax", "count_ge", {"limit": 303.15}))
+PRCPTOT = registry.register(registry.Metric("prcptot", "pr", "total"), lambda v, params: F.sum(v))
+
+
+def yearly(spark, d, slugs=("tx_mean", "hot_days", "prcptot")):
+    return registry.build(panel(spark, d), [*UNIT, "model"], list(slugs))
 
 
 def period_dim(spark):
     return spark.createDataFrame(PERIODS, "scenario string, period string, first int, last int")
 
 
-def periods(spark, d):
-    return ensemble.period_mean(yearly(spark, d), period_dim(spark), UNIT, min_years=3)
+def periods(spark, d, slugs=("tx_mean", "hot_days", "prcptot")):
+    return ensemble.period_mean(yearly(spark, d, slugs), period_dim(spark), UNIT, min_years=3)
 
 
-def master(spark, d):
-    return ensemble.ensemble_stats(periods(spark, d), UNIT)
+def master(spark, d, slugs=("tx_mean", "hot_days", "prcptot")):
+    return ensemble.ensemble_stats(periods(spark, d, slugs), UNIT)
 
 
 def current(spark, d):
-    """Hot days of a scenario with the historical baseline and the differences, for each district."""
-    m = master(spark, d).where("slug = 'hot_days'")
-    cur = m.where("scenario = 'ssp245' and period = '1999-2001'").select(*UNIT, F.col("mean").alias("value"))
-    base = m.where("scenario = 'historical' and period = '1995-1998'").select(*UNIT, F.col("mean").alias("baseline"))
-    joined = cur.join(base, UNIT, "left")
-    return joined.select(*UNIT, "value", "baseline", risk.delta(F.col("value"), F.col("baseline")).alias("delta"), risk.delta_pct(F.col("value"), F.col("baseline")).alias("delta_pct"))
+    """Hot days of a scenario with the historical baseline and the differences, for each district: one aggregate gives both."""
+    m = master(spark, d, ["hot_days"])
+    of = lambda scenario, period: F.max(F.when((F.col("scenario") == scenario) & (F.col("period") == period), F.col("mean")))
+    rows = m.groupBy(*UNIT).agg(of("ssp245", "1999-2001").alias("value"), of("historical", "1995-1998").alias("baseline")).where("value is not null")
+    return rows.select(*UNIT, "value", "baseline", risk.delta(F.col("value"), F.col("baseline")).alias("delta"), risk.delta_pct(F.col("value"), F.col("baseline")).alias("delta_pct"))
 
 
 @query(f"WITH {YEARLY} SELECT slug, state, district, model, scenario, year, round(value, 6) AS value FROM yearly", last=1998)
@@ -187,12 +191,12 @@ def position_stats(spark, d):
     return r.select(*UNIT, "position", "n", "percentile_le", "percentile_lt", F.col("rank_desc").cast("int").alias("rank_desc"))
 
 
-@query(f"WITH {HOT}, {AREA}, s AS (SELECT state, sum(value * area) / sum(area) AS w FROM dl JOIN area USING (district) GROUP BY ALL) SELECT state, round(w, 6) AS weighted_mean, CASE WHEN count(*) OVER () >= 2 THEN CAST(rank() OVER (ORDER BY w DESC) AS INT) END AS position FROM s", last=1998)
+@query(f"WITH {HOT}, {AREA}, s AS (SELECT state, sum(value * area) / sum(area) AS w FROM dl JOIN area USING (district) GROUP BY ALL) SELECT state, round(w, 6) AS weighted_mean, CASE WHEN count(*) OVER () >= 2 THEN CAST(rank() OVER (ORDER BY round(w, 9) DESC) AS INT) END AS position FROM s", last=1998)
 def state_position(spark, d):
     w = ensemble.area_weighted_mean(current(spark, d).join(areas(spark, d), "district"), ["state"])
     # states are few by nature: one window over all of them
     every = Window.partitionBy(F.lit(1))
-    return w.select("state", "weighted_mean", F.when(F.count(F.lit(1)).over(every) >= 2, F.rank().over(every.orderBy(F.desc("weighted_mean"))).cast("int")).alias("position"))
+    return w.select("state", "weighted_mean", F.when(F.count(F.lit(1)).over(every) >= 2, F.rank().over(every.orderBy(ranking.tied("weighted_mean").desc())).cast("int")).alias("position"))
 
 
 @query(f"""WITH {MASTER}, g AS (SELECT slug, scenario, period, quantile_cont(mean, 0.02) AS lo, quantile_cont(mean, 0.98) AS hi, min(mean) AS lowest, max(mean) AS highest FROM master GROUP BY ALL)
@@ -235,16 +239,16 @@ def rankings(spark, d):
     return r.select(*UNIT, "value", "delta", F.col("rank_value").cast("int").alias("rank_value"), "percentile", risk.risk_class(F.col("percentile")).alias("risk_class"))
 
 
-PORT = "port AS (SELECT r_name AS state, n_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0)"
+PORT = "port AS (SELECT r_name AS state, n_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
 def portfolio(spark, d):
-    """The portfolio: a table of units."""
-    n = table(spark, d, "nation").where("n_nationkey % 3 = 0").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """The portfolio: every unit."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select(F.col("r_name").alias("state"), F.col("n_name").alias("district"))
 
 
-CMP = f"""{MASTER}, {PORT}, v AS (SELECT slug, state, district, scenario, mean FROM master WHERE period IN ('1995-1998', '1999-2001')),
+CMP = f"""{MASTER}, {PORT}, v AS (SELECT slug, state, district, scenario, round(mean, 9) AS mean FROM master WHERE period IN ('1995-1998', '1999-2001')),
 pr AS (SELECT *, rank() OVER (PARTITION BY slug, scenario, state ORDER BY mean DESC) AS rk, CAST(count(mean) OVER (PARTITION BY slug, scenario, state ORDER BY mean RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / count(mean) OVER (PARTITION BY slug, scenario, state) * 100 AS pc FROM v),
 grid AS (SELECT state, district, slug, scenario FROM port, (SELECT unnest(['tx_mean', 'hot_days', 'prcptot']) AS slug), (SELECT unnest(['ssp245', 'ssp585']) AS scenario)),
 cmp AS (SELECT g.state, g.district, g.slug, g.scenario, pr.mean AS value, b.mean AS baseline, pr.mean - b.mean AS delta, (pr.mean - b.mean) / nullif(b.mean, 0) * 100 AS delta_pct, rk, pc
@@ -317,16 +321,16 @@ def unit_profile(spark, d):
     return r.select(*UNIT, F.col("value").alias("current"), "baseline", "delta", F.col("position").alias("rank_in_state"), "n", F.col("position_percentile").alias("percentile"), risk.risk_class(F.col("position_percentile")).alias("risk_class"))
 
 
-@query(f"WITH {HOT}, {AREA}, s AS (SELECT state, sum(value * area) / sum(area) AS cur, sum(baseline * area) / sum(area) AS bas FROM dl JOIN area USING (district) GROUP BY ALL) SELECT state, round(cur, 6) AS current, round(bas, 6) AS baseline, round(cur - bas, 6) AS delta, CAST(rank() OVER (ORDER BY cur DESC) AS INT) AS position FROM s", last=1998)
+@query(f"WITH {HOT}, {AREA}, s AS (SELECT state, sum(value * area) / sum(area) AS cur, sum(baseline * area) / sum(area) AS bas FROM dl JOIN area USING (district) GROUP BY ALL) SELECT state, round(cur, 6) AS current, round(bas, 6) AS baseline, round(cur - bas, 6) AS delta, CAST(rank() OVER (ORDER BY round(cur, 9) DESC) AS INT) AS position FROM s", last=1998)
 def state_profile(spark, d):
     rows = current(spark, d).join(areas(spark, d), "district")
     cur = ensemble.area_weighted_mean(rows, ["state"]).withColumnRenamed("weighted_mean", "current")
     base = ensemble.area_weighted_mean(rows, ["state"], "baseline").withColumnRenamed("weighted_mean", "baseline")
-    every = Window.partitionBy(F.lit(1)).orderBy(F.desc("current"))
+    every = Window.partitionBy(F.lit(1)).orderBy(ranking.tied("current").desc())
     return cur.join(base, "state", "left").select("state", "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), F.rank().over(every).cast("int").alias("position"))
 
 
-@query(f"""WITH {CMP}, f AS (SELECT slug, scenario, state, district, coalesce(mean, median) AS current FROM master WHERE period = '1999-2001'),
+@query(f"""WITH {CMP}, f AS (SELECT slug, scenario, state, district, round(coalesce(mean, median), 9) AS current FROM master WHERE period = '1999-2001'),
 p AS (SELECT *, rank() OVER (PARTITION BY slug, scenario, state ORDER BY current DESC) AS rk2, count(*) OVER (PARTITION BY slug, scenario, state) AS n FROM f)
 SELECT p.slug, p.scenario, p.state, p.district, round(current, 6) AS current, round(b.mean, 6) AS baseline, round(current - b.mean, 6) AS delta, CAST(rk2 AS INT) AS rank, n FROM p LEFT JOIN (SELECT * FROM v WHERE scenario = 'historical') b ON b.slug = p.slug AND b.state = p.state AND b.district = p.district""", last=1998)
 def case_study(spark, d):
@@ -334,4 +338,4 @@ def case_study(spark, d):
     cur = m.where("period = '1999-2001'").select("slug", "scenario", *UNIT, F.coalesce("mean", "median").alias("current"))
     base = m.where("scenario = 'historical' and period = '1995-1998'").select("slug", *UNIT, F.col("mean").alias("baseline"))
     w = Window.partitionBy("slug", "scenario", "state")
-    return cur.withColumn("rank", F.rank().over(w.orderBy(F.desc("current"))).cast("int")).withColumn("n", F.count(F.lit(1)).over(w)).join(base, ["slug", *UNIT], "left").select("slug", "scenario", *UNIT, "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), "rank", "n")
+    return cur.withColumn("rank", F.rank().over(w.orderBy(ranking.tied("current").desc())).cast("int")).withColumn("n", F.count(F.lit(1)).over(w)).join(base, ["slug", *UNIT], "left").select("slug", "scenario", *UNIT, "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), "rank", "n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,25 @@ from pyspark.sql import functions as F
 RENAMES = {"latitude": "lat", "y": "lat", "longitude": "lon", "x": "lon", "valid_time": "time"}
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder for a written table under the session's shared folder (spark.checkpoint.dir, or the checkpoint directory that was set).
+
+    Only a session on one machine may go without one: its own temporary folder is
+    shared by all its tasks. On a cluster that would lose rows, so it is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        held = context._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-isohyet-")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def canonical_coordinates(grid: DataFrame) -> DataFrame:
     return grid.withColumnsRenamed({c: RENAMES[c.lower()] for c in grid.columns if c.lower() in RENAMES and RENAMES[c.lower()] not in grid.columns})
 
