@@ -57,12 +57,13 @@ def depths(length: int) -> list[int]:
     return out
 
 
-class Sorted:
-    """The suffixes of one shard in order, at each depth: class of each place, and a place of each class.
+class Transform:
+    """The Burrows-Wheeler transform of one shard of strings, with what a merge needs of its suffixes.
 
-    Classes are numbered in the order of their first bytes, so the last level is
-    the suffix array cut at the window's length, and the bytes in front of its
-    places are the shard's Burrows-Wheeler transform.
+    Suffixes are in the order of their first ``length`` bytes, equal ones by
+    place. ``rows`` has their places in that order and ``last`` the byte in front
+    of each: the transform. For each of the depths, ``classes`` numbers the
+    places by their first bytes in order, and ``places`` has a place of each class.
     """
 
     def __init__(self, data: bytes, length: int):
@@ -71,7 +72,7 @@ class Sorted:
         key = np.zeros(n + length, np.uint64)
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n + length]
-        self.head, self.classes, self.places = key, [], []
+        self.size, self.head, self.classes, self.places = n, key, [], []
         deep = 0
         for depth in depths(length):
             if deep:
@@ -82,21 +83,30 @@ class Sorted:
             self.places.append(place.astype(np.int32))
             self.classes.append(of.astype(np.int32))
             deep = depth
+        self.rows = np.argsort(self.classes[-1][:n], kind="stable").astype(np.int32)
+        self.data = padded[:n]
 
+    @property
+    def last(self) -> np.ndarray:
+        return self.data[self.rows - 1] if self.size else self.data
 
-def interleave(shards: list[Sorted], length: int) -> list[np.ndarray]:
-    """The class of each place of each shard in the merged order at depth ``length``.
+
+def interleave(shards: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, common) of the merged transform: for each row the shard it comes from, and the depth to which it agrees with the row before (0 for the first).
 
     The interleave starts from the first bytes and is refined from depth to
     depth: each shard's classes come sorted, their keys in the merged numbering
     keep that order, and merging the sorted runs gives the numbering at the next
-    depth. Places of one class share a prefix of that depth (adjacent classes
-    share less), so repeated strings are the classes with more than one place.
-    No suffix is sorted again: only class lists, already in order, are merged.
+    depth. Rows of one class share a prefix of that depth, adjacent classes
+    share less, so each refinement leaves the common prefix of the rows it
+    parts. No suffix is sorted again: only class lists, already in order, are
+    merged, and the rows of a shard keep their order.
     """
+    levels = depths(length)
     joint: list[np.ndarray] = []
+    parted = []
     deep = 0
-    for level, depth in enumerate(depths(length)):
+    for level, depth in enumerate(levels):
         keys = []
         for k, s in enumerate(shards):
             at = s.places[level]
@@ -104,14 +114,45 @@ def interleave(shards: list[Sorted], length: int) -> list[np.ndarray]:
         run = np.concatenate(keys)
         order = np.argsort(run, kind="stable")  # merges the sorted runs
         number = np.empty(len(run), np.int64)
-        number[order] = np.cumsum(np.diff(run[order], prepend=run[order[:1]]) != 0) if len(run) else 0
+        ordered = run[order]
+        number[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0) if len(run) else 0
+        if deep:
+            # of each class, the class of one level less that it lies in
+            up = np.empty(int(number.max(initial=-1)) + 1, np.int64)
+            up[number] = run >> 32
+            parted.append(up)
         joint = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
         deep = depth
-    return [j[s.classes[-1]] for j, s in zip(joint, shards)]
+    rows = np.concatenate([j[s.classes[-1][s.rows]] for j, s in zip(joint, shards)])
+    order = np.argsort(rows, kind="stable")  # merges the shards' rows, which are in order
+    source = np.repeat(np.arange(len(shards)), [s.size for s in shards])[order]
+    now = rows[order]
+    common = np.zeros(len(now), np.int64)
+    before = np.arange(1, len(now))
+    for depth, up in zip(reversed(levels), [*reversed(parted), None]):
+        same = now[before] == now[before - 1]
+        common[before[same]] = depth
+        before = before[~same]
+        if up is not None:
+            now = up[now]
+    return source, common
+
+
+def merged(shards: list[Transform], source: np.ndarray) -> np.ndarray:
+    """The transform of all shards: each row's byte from its shard, in the shard's order."""
+    out = np.empty(len(source), np.uint8)
+    for k, s in enumerate(shards):
+        out[source == k] = s.last
+    return out
 
 
 def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
-    """For each string, whether each of its windows of ``length`` bytes also starts elsewhere in the strings."""
+    """For each string, whether each of its windows of ``length`` bytes also starts elsewhere in the strings.
+
+    A row of the merged transform stands for a window if ``length`` bytes of its
+    string follow. Maximal intervals of rows that agree to ``length`` bytes hold
+    equal windows; those with more than one window are the repeated ones.
+    """
     shards, group, size = [], [], 0
     for i, s in enumerate(strings):
         group.append(i)
@@ -119,20 +160,29 @@ def repeated_windows(strings: list[bytes], length: int, shard_bytes: int = 1 <<
         if size >= shard_bytes or i == len(strings) - 1:
             shards.append(group)
             group, size = [], 0
-    sorted_ = [Sorted(b"".join(strings[i] for i in g), length) for g in shards]
-    classes = interleave(sorted_, length) if shards else []
-    windows, at = [], []
-    for g, c in zip(shards, classes):
+    if not shards:
+        return []
+    transforms = [Transform(b"".join(strings[i] for i in g), length) for g in shards]
+    source, common = interleave(transforms, length)
+    # windows within their string, in the order of each shard's rows
+    own = []
+    for g, t in zip(shards, transforms):
+        left = np.concatenate([np.arange(len(strings[i]), 0, -1) for i in g])
+        own.append(left >= length)
+    inside = np.empty(len(source), bool)
+    for k, t in enumerate(transforms):
+        inside[source == k] = own[k][t.rows]
+    interval = np.cumsum(common < length) - 1
+    many = (np.bincount(interval, weights=inside, minlength=1) > 1)[interval] & inside
+    out = []
+    for k, (g, t) in enumerate(zip(shards, transforms)):
+        flags = np.zeros(t.size, bool)
+        flags[t.rows] = many[source == k]
         begin = 0
         for i in g:
-            windows.append(c[begin : begin + len(strings[i]) - length + 1])
+            out.append(flags[begin : begin + max(0, len(strings[i]) - length + 1)])
             begin += len(strings[i])
-    if not windows:
-        return []
-    every = np.concatenate(windows)
-    more = (np.bincount(every) > 1)[every]
-    at = np.cumsum([len(w) for w in windows])[:-1]
-    return np.split(more, at)
+    return out
 
 
 def runs_of(flags: np.ndarray) -> list[int]:
@@ -140,10 +190,6 @@ def runs_of(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(flags, prepend=False, append=False)).tolist()
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).alias("row"), F.col(text_col).alias("text"))
-
-
 def find_places(docs: DataFrame, length: int) -> DataFrame:
     """(row, first, windows, gram, content) for each run of windows under an anchor; content is a hash of all bytes of the run."""
 
@@ -221,18 +267,18 @@ def _count_windows(contents: DataFrame, length: int) -> DataFrame:
     return found.select("gram", "content", F.aggregate("at", F.array().cast("array<int>"), step).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = 4000) -> DataFrame:
-    """(row, spans): for each text the begins and ends of its bytes covered by a string of ``length`` bytes that starts anywhere else.
+def repeated_spans(rows: DataFrame, length: int = 200, group: int = 4000) -> DataFrame:
+    """(row, spans) of a stored table (row long, text), row unique: for each text the begins and ends of its bytes covered by a string of ``length`` bytes that starts anywhere else.
 
     Windows are dealt out by content: by the key of their anchor. Keys met once
     are done, and so are keys under which all places have the same bytes around
     them: both are found by counts of two hashes, without the text. Only where
-    the bytes differ are they cut out, one place for each content, and suffixes
-    sorted by shard and merged within the key's task; keys with more than
-    ``group`` contents are counted window by window, spread over all tasks.
+    the bytes differ are they cut out, one place for each content; their
+    transforms are built by shard and merged within the key's task; keys with
+    more than ``group`` contents are counted window by window, spread over all
+    tasks. A content is known by its key and its own hash, 128 bits together.
     """
-    small_batches(docs.sparkSession)
-    rows = _rows(docs, id_col, text_col)
+    small_batches(rows.sparkSession)
     places = cut(find_places(rows, length), "places")
     keys = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
     keys = cut(keys.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
@@ -255,22 +301,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary) at the end: every byte covered by a string of ``length`` bytes that also starts elsewhere is taken out.
 
     Texts are UTF-8 bytes; a null or short text keeps all it has. Strings are
     judged on the input, in all documents and within one; matches never cross
-    documents; overlaps count. Rows that repeat an id and a text are copies of
-    each other. Columns of the new names in the input are replaced. An empty
-    table gives an empty table.
+    documents; overlaps count. Rows are told apart by a number of their own,
+    given once and written, so repeated and null ids are no matter: repeated rows
+    are copies of each other. Columns of the new names in the input are replaced.
+    An empty table gives an empty table.
     """
-    spans = cut(repeated_spans(docs, id_col, text_col, length), "spans")
+    stored = cut(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered")
+    spans = cut(repeated_spans(stored.select(F.col("row__").alias("row"), F.col(text_col).alias("text")), length), "spans")
     new = ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())
     out = with_fields(docs.schema, *new)
     names = [f.name for f in out.fields]
-    base = without(docs, *(n for n, _ in new))
-    keyed = base.withColumn("row__", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col))
-    joined = keyed.join(spans.withColumnsRenamed({"row": "row__", "spans": "spans__"}), "row__", "left")
+    joined = without(stored, *(n for n, _ in new)).join(spans.withColumnsRenamed({"row": "row__", "spans": "spans__"}), "row__", "left")
 
     def run(batches):
         for batch in batches:

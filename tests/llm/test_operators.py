@@ -176,6 +176,23 @@ def test_shard_merge_equals_one_sort():
         assert all((a == b).all() for a, b in zip(want, suffix_dedup.repeated_windows(strings, 12, shard_bytes=size)))
 
 
+@pytest.mark.parametrize("length", [8, 12, 40])
+def test_merged_transform_equals_one_built_whole(length):
+    """Order, transform and common prefixes of three shards against suffixes sorted by brute force."""
+    rng = random.Random(length)
+    parts = [bytes(rng.choice(b"abc\0") for _ in range(n)) for n in (70, 1, 45)]
+    parts[2] += parts[0][:50]
+    shards = [suffix_dedup.Transform(p, length) for p in parts]
+    source, common = suffix_dedup.interleave(shards, length)
+    cut = lambda k, i: (parts[k] + bytes(length))[i : i + length]
+    rows = sorted(((cut(k, i), k, i) for k, p in enumerate(parts) for i in range(len(p))))
+    assert source.tolist() == [k for _, k, _ in rows]
+    assert suffix_dedup.merged(shards, source).tolist() == [parts[k][i - 1] for _, k, i in rows]
+    levels = [0, *suffix_dedup.depths(length)]
+    agree = lambda a, b: next((j for j in range(length) if a[j] != b[j]), length)
+    assert common.tolist() == [0, *[max(d for d in levels if d <= agree(a[0], b[0])) for a, b in zip(rows, rows[1:])]]
+
+
 @pytest.fixture(scope="module")
 def tik():
     import tiktoken
