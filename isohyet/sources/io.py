@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 RENAMES = {"latitude": "lat", "y": "lat", "longitude": "lon", "x": "lon", "valid_time": "time"}
 
 
+#: The folders that scratch() gave out.
+GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder for a written table under the session's shared folder (spark.checkpoint.dir, or the checkpoint directory that was set).
 
@@ -28,7 +32,17 @@ def scratch(spark: SparkSession, what: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-isohyet-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    GIVEN.append(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return GIVEN[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete all folders that scratch() gave out in this process, once nothing that reads them is needed any more; how many there were."""
+    n = 0
+    while GIVEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(GIVEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def canonical_coordinates(grid: DataFrame) -> DataFrame:
