@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isohyet.sources.io import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-isohyet-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; see isohyet.sources.io.scratch, whose remove_scratch deletes them all."""
+    return scratch(spark, what)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -39,7 +27,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded by bytes, as one document may be very long."""
+    """Arrow batches bounded by bytes, as one document may be very long. The settings stay: they are read when a plan runs, which is after its operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -19,6 +19,15 @@ SPACE = b" \t\n\x0b\x0c\r"
 SEGMENT = 20  # bits of a place within one segment of a filter
 
 
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+
+
+def filter_bits(texts: DataFrame, least: int) -> int:
+    """Bits of a filter that has eight or more for each line that the texts can hold, as a line of a key takes least + 1 bytes; at most MOST_BITS, which is what every task can be sent."""
+    total = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("n")).first().n or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * (total // (least + 1))).bit_length()))
+
+
 def _keys(text: str | None, least: int) -> tuple[list[bytes], list[bytes | None]]:
     """The lines of a text as UTF-8, and the key of each that is long enough."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
@@ -128,7 +137,7 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
-    bits: int = 1 << 27,
+    bits: int | None = None,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """docs with repeated lines taken out of the text, and with n_lines and n_dropped at the end.
@@ -137,12 +146,14 @@ def line_dedup(
     case. Keys of at least min_chars code points that stand in at least min_docs
     documents lose their lines in all documents but that of the largest id.
 
-    Two Bloom filters of ``bits`` bits (once and twice seen) are built in the
-    tasks, merged by segment, and only the twice-seen one is sent out. Lines that
+    Two Bloom filters of ``bits`` bits (once and twice seen; see filter_bits where
+    none are given) are built in the tasks, merged by segment, and only the
+    twice-seen one is sent out. Lines that
     miss it never leave their task; the others shuffle as a 128-bit BLAKE2b
     digest and an id, for exact counts and the choice of the document that keeps
-    the line. When a filter fills up on very large inputs, more lines are
-    suspected and shuffle; results don't change. Decisions up to broadcast_rows
+    the line. Beyond some 10^8 long lines the
+    filter fills up, and more lines are suspected and shuffle, in the end all of
+    them; results don't change. Decisions up to broadcast_rows
     are sent to the tasks; more are joined by document.
 
     Null texts are empty texts: one empty line. Rows of one id (also null) are
@@ -152,6 +163,7 @@ def line_dedup(
     """
     spark = docs.sparkSession
     small_batches(spark)
+    bits = bits or filter_bits(docs.select(text_col), min_chars)
     sent = spark.sparkContext.broadcast(twice_seen(docs.select(text_col), bits, min_chars))
     id_type = docs.schema[id_col].dataType
 

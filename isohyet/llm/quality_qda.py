@@ -174,7 +174,8 @@ def class_sums(labelled: DataFrame, folds: int = 5) -> dict:
 
 def train(with_stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", name: str = "statistics", folds: int = 5) -> Model:
     """Fit on every labelled row of the training folds; no sample, as the sums have a fixed size."""
-    known = labels.select(F.col(id_col).alias("id"), F.col("quality")).where("quality is not null").distinct()
+    # an id with two different labels teaches nothing, one with the same label twice counts once
+    known = labels.where("quality is not null").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("id", "quality")
     rows = with_stats.select(F.col(id_col).alias("id"), F.col(name).alias("x")).join(known, "id").select("id", "quality", "x")
     return fit(class_sums(rows, folds))
 
@@ -210,8 +211,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of docs whose score is at least threshold, in docs' own columns.
 
     The model learns from the labelled rows of docs outside the held-out fold.
-    Neither ids nor labels are inputs of a score. Labels for unknown ids, labels
-    other than 0 and 1 and repeated labels are ignored; without any labels all
+    Neither ids nor labels are inputs of a score. Labels for unknown or null ids,
+    labels other than 0 and 1 and ids of contradicting labels are ignored, a
+    repeated label counts once; without any labels all
     documents score 0.5 and stay. The text is read twice (learn, then score)
     rather than shuffled.
     """

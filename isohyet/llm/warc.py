@@ -31,10 +31,13 @@ def record_types(pages: DataFrame, id_col: str, text_col: str, least_bytes: int)
     """pages with row, digest, size, refers: the id of the response that a revisit refers to.
 
     Of rows with equal payloads of at least least_bytes, the smallest id is the
-    response. Only digests and ids meet to find it.
+    response, of rows of one id the first. Rows are numbered once and written, so
+    that a task that runs again finds the same numbers. Only digests and ids meet
+    to find the responses.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), "url__", body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    numbered = pages.select(F.col(id_col).cast("long").alias("page"), "url__", body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(numbered, "numbered-pages")
     order = F.struct(F.col("page").isNull().alias("n"), "page", "row")
     first = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "f")
     first = cut(first, "responses")
@@ -47,32 +50,50 @@ def _uri(page, row) -> str:
     return f"<urn:isohyet:page:{'null' if page is None else page}:{row}>"
 
 
-def segment_rows(rows: DataFrame, date: str, size: int) -> DataFrame:
-    """The archive's records as text: one row for each record or segment of an oversized one, with a running SHA-256 of the payload up to its end."""
+def segment_rows(rows: DataFrame, date: str, size: int, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The archive's records as text: one row for each record or segment of an oversized one, with a running SHA-256 of the payload up to its end.
 
-    def run(batches):
+    Records are taken one after the other and pieces leave the task in batches of
+    about batch_bytes, so what is held is one record and the pieces of one batch.
+    """
+
+    def records(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                own = _uri(r["page"], r["row"])
-                head = [f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{r['digest']}", f"Isohyet-Payload-Length: {r['size']}"]
-                if r["url__"] is not None:
-                    head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r["url__"]))
-                if r["again"]:
-                    head = ["WARC-Type: revisit", *head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(r['refers'], r['refers_row'])}", "Content-Length: 0"]
-                    out.append("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n")
-                    continue
-                pieces = list(chunks_of(r["body"], size))
-                running = hashlib.sha256()
-                for i, piece in enumerate(pieces):
-                    raw = piece.encode("utf-8", "surrogatepass")
-                    running.update(raw)
-                    more = ["WARC-Type: response", *head, "Content-Type: text/html; charset=utf-8"] if i == 0 else ["WARC-Type: continuation", f"WARC-Record-ID: {own[:-1]}:{i + 1}>", f"WARC-Date: {date}", f"WARC-Segment-Origin-ID: {own}"]
-                    if len(pieces) > 1:
-                        more += [f"WARC-Segment-Number: {i + 1}", f"Isohyet-Running-Digest: sha256:{running.hexdigest()}"]
-                        more += [f"WARC-Segment-Total-Length: {r['size']}"] if i == len(pieces) - 1 else []
-                    out.append("WARC/1.1\r\n" + "\r\n".join([*more, f"Content-Length: {len(raw)}"]) + "\r\n\r\n" + piece)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            for i in range(batch.num_rows):
+                yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+    def segments(r):
+        own = _uri(r["page"], r["row"])
+        head = [f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{r['digest']}", f"Isohyet-Payload-Length: {r['size']}"]
+        if r["url__"] is not None:
+            head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r["url__"]))
+        if r["again"]:
+            head = ["WARC-Type: revisit", *head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(r['refers'], r['refers_row'])}", "Content-Length: 0"]
+            yield "WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n"
+            return
+        running, done, number = hashlib.sha256(), 0, 0
+        for piece in chunks_of(r["body"], size):
+            raw = piece.encode("utf-8", "surrogatepass")
+            running.update(raw)
+            done += len(raw)
+            number += 1
+            last = done == r["size"]
+            more = ["WARC-Type: response", *head, "Content-Type: text/html; charset=utf-8"] if number == 1 else ["WARC-Type: continuation", f"WARC-Record-ID: {own[:-1]}:{number}>", f"WARC-Date: {date}", f"WARC-Segment-Origin-ID: {own}"]
+            if not (number == 1 and last):
+                more += [f"WARC-Segment-Number: {number}", f"Isohyet-Running-Digest: sha256:{running.hexdigest()}"]
+                more += [f"WARC-Segment-Total-Length: {r['size']}"] if last else []
+            yield "WARC/1.1\r\n" + "\r\n".join([*more, f"Content-Length: {len(raw)}"]) + "\r\n\r\n" + piece
+
+    def run(batches):
+        out, held = [], 0
+        for r in records(batches):
+            for text in segments(r):
+                out.append(text)
+                held += len(text)
+                if held >= batch_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     return rows.mapInArrow(run, "value string")
 

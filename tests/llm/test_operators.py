@@ -74,6 +74,19 @@ def test_warc_chunks_hold_running_digests(spark, tmp_path):
         assert r.running == hashlib.sha256(seen).hexdigest()
 
 
+def test_warc_writes_in_batches(spark):
+    rows = spark.createDataFrame([(i, i, "u", "d", 4000, False, None, None, "z" * 4000) for i in range(5)], "row long, page long, url__ string, digest string, size long, again boolean, refers long, refers_row long, body string").coalesce(1)
+    texts = [r.value for r in warc.segment_rows(rows, "2024-01-01T00:00:00Z", 1000, batch_bytes=1500).collect()]
+    assert len(texts) == 20 and sum(t.endswith("z" * 1000) for t in texts) == 20
+    assert sum("WARC-Segment-Total-Length: 4000" in t for t in texts) == 5
+
+
+def test_warc_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 200, "x", 9, "y"), (1, "u", "a" * 200, "x", 9, "y"), (2, "u", None, "x", 9, "y")], "page_id long, url string, html string, digest string, row int, body string")
+    got = sorted((r.page_id, r.record_type, r.payload_bytes) for r in warc.archive_round_trip(pages).collect())
+    assert got == [(1, "response", 200), (1, "revisit", 200), (2, "response", 0)]
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -337,6 +350,12 @@ def test_line_dedup(docs, texts, limit):
     assert line_dedup.line_dedup(empty(docs)).count() == 0
 
 
+def test_filter_grows_with_the_input(spark):
+    few, many = (spark.range(n).selectExpr("repeat('x', 4000) as text") for n in (1, 4000))
+    assert line_dedup.filter_bits(few, 40) == line_dedup.LEAST_BITS
+    assert line_dedup.filter_bits(many, 40) >= 8 * 4000 * 4000 // 41
+
+
 def test_full_bloom_filters_change_nothing(docs, texts):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(docs, bits=1 << 20, min_docs=2).collect()}
     assert got == brute_lines(list(enumerate(texts)), docs=2)
@@ -359,6 +378,33 @@ def test_quality(spark):
     assert quality_qda.quality_filter(docs.where("1 = 0"), labels).count() == 0
 
 
+def test_quality_equals_plain_discriminant(spark):
+    """Fit and scores against densities written out with numpy's own covariance, determinant and solve."""
+    rng = random.Random(14)
+    rows = [(i, text_of(rng, rng.randint(20, 90)) + "." if i % 3 else text_of(rng, rng.randint(5, 40)).upper() + " ### 42 !!") for i in range(200)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows] + [(500, None, "clash")], "doc_id long, text string, statistics string")
+    labels = [(i, int(i % 3 > 0)) for i in range(150)] + [(3, 0), (5, 1), (5, 0), (7, 9), (None, 1)]  # 5 contradicts itself, 7 has no label that counts
+    stats = quality_qda.with_statistics(docs)
+    model = quality_qda.train(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_qda.score_statistics(stats, model).collect()}
+    learn = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5 and i not in (5, 7)]
+    x = np.array([quality_qda.statistics(t) for _, t in rows] + [quality_qda.statistics(None)])
+    y = np.array([int(i % 3 > 0) for i in learn])
+    scale = np.sqrt(np.maximum(x[learn].var(axis=0), 1e-6))
+    z = (x - x[learn].mean(axis=0)) / scale
+    own = [np.cov(z[learn][y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * own[c] for c in (0, 1)) / len(y)
+    logs = []
+    for c in (0, 1):
+        cov = 0.85 * own[c] + 0.15 * pooled
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        d = np.clip(z, -8, 8) - z[learn][y == c].mean(axis=0)
+        logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(axis=1))
+    want = 1 / (1 + np.exp(-np.clip(0.25 * (logs[1] - logs[0]), -60, 60)))
+    assert np.allclose([got[i] for i in [*range(200), 500]], want, atol=1e-6)
+    assert docs.columns == quality_qda.quality_filter(docs, spark.createDataFrame(labels, "doc_id long, quality int")).columns
+
+
 def test_held_out_labels_are_not_learnt(spark):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, text_of(rng, 40)) for i in range(60)], "doc_id long, text string")
