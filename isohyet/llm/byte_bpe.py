@@ -86,7 +86,8 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", l
     """docs with ids (little-endian unsigned 32-bit, as binary), n_tokens and decoded (binary) at the end.
 
     ids are those that the ranks in ``path`` give for each match of ``pattern``,
-    without special tokens. A null or empty text has no ids. Columns of these
+    without special tokens. A null or empty text has no ids; repeated rows are
+    encoded one by one. Columns of these
     names in the input are replaced; an empty table gives an empty table. The
     rank file is read on the executors, where the same package is installed.
     No shuffle: a document is encoded where it is read, in memory of its own size.

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +93,9 @@ def template_windows(frame: DataFrame, id_col: str, text_col: str, width: int, o
 
     window is the hash of the template in both. Windows have each of the
     ``lengths``; where none are given, ``width`` or the whole of a shorter text.
-    A window that is shorter than width and holds nothing but slots says nothing
-    as a template and comes by its words alone. ``only``: a broadcast sorted
+    A window that holds nothing but slots says nothing as a template and comes by
+    its words alone: five numbers in a row stand in every table of figures.
+    ``only``: a broadcast sorted
     array of the hashes that matter.
     """
     schema = T.StructType([T.StructField("id", frame.schema[id_col].dataType), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("size", T.IntegerType())])
@@ -114,7 +116,7 @@ def template_windows(frame: DataFrame, id_col: str, text_col: str, width: int, o
                     typed = windows(tokens, k, cache)
                     n_slots = held[k:] - held[:-k] if len(typed) else typed
                     plain = windows(words, k, cache) if slots else typed
-                    for h, ok, literal in ((typed, (n_slots < k) | (k == width), False), (plain, n_slots > 0, True)):
+                    for h, ok, literal in ((typed, n_slots < k, False), (plain, n_slots > 0, True)):
                         if only is not None:
                             ok = ok & (only.value[np.minimum(np.searchsorted(only.value, h), len(only.value) - 1)] == h) if len(only.value) else np.zeros(len(h), bool)
                         keep = np.flatnonzero(ok)
@@ -176,10 +178,15 @@ def leaks(
     one-to-one map of values that most of its windows hold, so that an item with
     other numbers or names is found but not a chance mixture; a match by words
     always counts. A document holds an item if at least ``similarity`` of the
-    item's distinct windows match. An item shorter than a window is one window
+    item's distinct windows match. So it matches one of any 1 - similarity of them
+    and one more: those that the documents hold least often name the candidates,
+    and windows that stand everywhere are only looked at for candidates. An item shorter than a window is one window
     of its own length, searched in documents of any length; if it has nothing
     but slots, by its words.
 
+    Rows with a null id are one document, and so are rows of one id; a null item id
+    is an item like any other. Other columns are left alone, whatever their names.
+
     Hashes of the items go to the tasks if they are at most broadcast_rows,
     which keeps other windows out of the shuffle; else all windows are joined.
     Null or empty texts hold nothing; null ids are carried; repeated rows of an
@@ -195,17 +202,42 @@ def leaks(
         hashes = ours.select("hash").distinct().toArrow().column(0).to_numpy()
         only = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
     theirs = template_windows(docs, id_col, text_col, width, only, lengths).select("id", "at", "hash", "slots")
-    met = theirs.join(ours, "hash").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "window", "slots", "item_slots")
+    if only is None:
+        theirs = theirs.join(ours.select("hash").distinct(), "hash", "left_semi")
+    theirs = cut(theirs, "document-windows")
+    # how often documents hold each window, by template or by words
+    seen = theirs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    often = ours.select("item", "window", "hash").distinct().join(seen, "hash", "left").groupBy("item", "window").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    by_count = Window.partitionBy("item").orderBy("n", "window")
+    rare = often.withColumn("place", F.row_number().over(by_count)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item")))
+    rare = rare.where(F.col("place") <= F.floor((1 - F.lit(similarity)) * F.col("of") + 1e-9) + 1).select("item", "window")
+    keyed = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))  # noqa: E731  null ids and items are keys as well
+    sought = ours.withColumn("item_key", keyed("item"))
+    named = cut(
+        theirs.join(sought.join(rare.withColumn("item_key", keyed("item")).drop("item"), ["item_key", "window"]).select("hash", "item_key").distinct(), "hash")
+        .select(keyed("id").alias("id_key"), "item_key").distinct(),
+        "candidates",
+    )
+    met = theirs.withColumn("id_key", keyed("id")).join(named, "id_key").join(sought, ["hash", "item_key"]).select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "window", "slots", "item_slots")
     agreed = agreeing(met)
     found = agreed.select("id", "item", "n_pairs", F.explode("windows").alias("window")).groupBy("id", "item").agg(F.count_distinct("window").alias("n_matched"), F.max("n_pairs").alias("n_slots"))
     return (
-        found.join(F.broadcast(sizes) if only is not None else sizes, F.col("item").eqNullSafe(F.col("held")))
+        found.join(sizes, F.col("item").eqNullSafe(F.col("held")))
         .where(F.col("n_matched") >= F.lit(similarity) * F.col("n_windows"))
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "n_slots", (F.col("n_matched") / F.col("n_windows")).alias("similarity"))
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null id stay."""
-    gone = leaks(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """docs without those that hold a benchmark item.
+
+    Repeated rows of an id go or stay together. Rows with a null id are told
+    apart by their texts: those whose text holds an item go, the others stay.
+    """
+    gone = leaks(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col, **options).select(id_col).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(*docs.columns)
+    nameless = docs.where(F.col(id_col).isNull())
+    key = f"digest_{uuid.uuid4().hex}"
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    bad = leaks(nameless.select(digest.alias(key), text_col), benchmark, key, text_col, **options).select(key).distinct()
+    return known.unionByName(nameless.withColumn(key, digest).join(bad, key, "left_anti").select(*docs.columns))

@@ -218,5 +218,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rather than shuffled.
     """
     model = train(with_statistics(docs.select(id_col, text_col), text_col).drop(text_col), labels, id_col)
-    return score_documents(docs, model, text_col).where(F.col("quality_score") >= threshold).select(*docs.columns)
-
+    # a column of the score's name in docs is kept under another one
+    clash = {c: f"{c}__kept" for c in docs.columns if c.lower() == "quality_score"}
+    scored = score_documents(docs.withColumnsRenamed(clash), model, text_col).where(F.col("quality_score") >= threshold).drop("quality_score")
+    return scored.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
