@@ -106,7 +106,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
         label = settle(n, a[pick], b[pick], label)
 
 
-def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, links: str = "classes", known: np.ndarray | None = None):
+def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, links: str = "classes", known: np.ndarray | None = None, fits=None):
     """Pairs under one root whose codes differ in at most budget bits, and in at most total bits over all lanes.
 
     code is sorted within each root, and the shared[i] leading bits of code are
@@ -119,14 +119,14 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
 
     The result with links = "classes" is a label for each code, the smallest
     place linked to it; with "forest" (a, b), pairs that join each class without
-    cycles, close ones first; with "pairs" every pair that isn't within a known class.
+    cycles, close ones first; with "pairs" every pair that isn't within a known
+    class. ``fits`` (i, j) -> mask leaves out pairs that can't be links for another reason.
     """
     n = len(code)
     label = np.arange(n)
     if known is not None and n:
         _, first, turn = np.unique(known, return_index=True, return_inverse=True)
         label = first[turn]
-    origin = label
     none = np.empty(0, np.int64)
     kept_a, kept_b = [none], [none]
     begin = np.flatnonzero(np.diff(root, prepend=root[0] - 1)) if n else none
@@ -151,6 +151,9 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
                     i, j = al[s][which] + off // nb[which], bl[s][which] + off % nb[which]
                     good = (i < j) & (label[i] != label[j])
                     i, j = i[good], j[good]
+                    if fits is not None:
+                        good = fits(i, j)
+                        i, j = i[good], j[good]
                     good = np.bitwise_count(code[i] ^ code[j]) <= allowed
                     i, j = i[good], j[good]
                     bits = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
@@ -224,6 +227,9 @@ def _roots(budget: int, n: int, most: int = 1 << 16) -> list[list[tuple[int, int
 
 def _turned(code: F.Column, blocks: list[tuple[int, int]]) -> F.Column:
     """The code with its bits in another order: those of the blocks first, then the rest as they come. Equal bits stay equal, so distances do."""
+    if len(blocks) == 1:
+        at = blocks[0][0]
+        return F.shiftleft(code, at).bitwiseOR(F.shiftrightunsigned(code, 64 - at)) if at else code
     rest, at = [], 0
     for first, width in [*blocks, (64, 0)]:
         rest += [(at, first - at)] * (first > at)
@@ -236,8 +242,13 @@ def _turned(code: F.Column, blocks: list[tuple[int, int]]) -> F.Column:
     return out
 
 
-def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, total: int | None = None, links: str = "classes", split: int = 1 << 18) -> DataFrame:
-    """n codes (node long, lanes array<long>[, known long]) -> edges (a, b): see trie_links; for "classes", from each code to the first of its class.
+def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, total: int | None = None, links: str = "classes", split: int = 1 << 18, similarity: float | None = None) -> DataFrame:
+    """n codes (node long, lanes array<long>[, known long][, size int, shared int]) -> edges (a, b): see trie_links; for "classes", from each code to the first of its class.
+
+    With ``similarity`` codes stand for sets of a size, of which so many members
+    are shared with any other set: a pair is left out if it can't have that
+    Jaccard similarity s, as sets that do have at least s / (1 + s) of both
+    sizes in common, and that is at most what either shares.
 
     Two nodes link if one lane of theirs differs in at most budget bits and all
     lanes together in at most total. One trie per lane and set of blocks (see
@@ -254,10 +265,12 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         for blocks in sets:
             width = sum(w for _, w in blocks)
             turned = _turned(F.col("lanes")[lane], blocks)
-            rows.append(F.struct(F.lit(len(depths)).alias("block"), F.shiftrightunsigned(turned, 64 - width).alias("head"), turned.alias("turned")))
+            rows.append(turned)
             depths.append(width)
-    extra = ["known"] if "known" in codes.columns else []
-    rows = codes.select("node", "lanes", *extra, F.explode(F.array(*rows)).alias("x")).select("node", "lanes", *extra, "x.block", "x.head", "x.turned")
+    extra = [c for c in ("known", "size", "shared") if c in codes.columns]
+    rows = codes.select("node", "lanes", *extra, F.posexplode(F.array(*rows)).alias("block", "turned"))
+    width = F.element_at(F.array(*[F.lit(w) for w in depths]), F.col("block") + 1)
+    rows = rows.withColumn("head", F.call_function("shiftrightunsigned", "turned", 64 - width))
     keys = ["block", "head"]
     if n > split:
         large = rows.groupBy(*keys).count().where(F.col("count") > split).select(*keys, F.ceil(2 * F.col("count") / split).cast("int").alias("parts"))
@@ -275,7 +288,11 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         cols = {k: v[order] for k, v in cols.items()}
         change = np.any([np.diff(cols[k], prepend=cols[k][0] - 1) != 0 for k in keys], axis=0)
         node = cols["node"]
-        got = trie_links(cols["turned"].view(np.uint64), np.cumsum(change), widths[cols["block"]], budget, cols["lanes"], most, links=links, known=cols.get("known"))
+        fits = None
+        if similarity is not None:
+            size, shared = cols["size"].astype(np.int64), cols["shared"].astype(np.int64)
+            fits = lambda i, j: np.minimum(shared[i], shared[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
+        got = trie_links(cols["turned"].view(np.uint64), np.cumsum(change), widths[cols["block"]], budget, cols["lanes"], most, links=links, known=cols.get("known"), fits=fits)
         if links == "classes":
             far = np.flatnonzero(got != np.arange(len(got)))
             got = far, got[far]
@@ -351,8 +368,8 @@ def shingle_codes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, lanes array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``, by exact count."""
+def shingle_sets(asked: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, held) of the nodes asked for: the shingles of each as sorted 64-bit hashes."""
 
     def texts(batches):
         for batch in batches:
@@ -366,14 +383,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, simi
             offsets = pa.array(np.cumsum([0] + [len(x) for x in got]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*got, np.empty(0, np.int64)])))], names=["node", "held"])
 
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "node long, text string").join(asked, "node", "left_semi")
-    held = cut(seen.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, held array<long>"), "shingles")
+    return seen.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, held array<long>")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``, by exact count."""
     ends = [held.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
     both = F.size(F.array_intersect("held_a", "held_b"))
     return pairs.join(ends[0], "a").join(ends[1], "b").where(both / (F.size("held_a") + F.size("held_b") - both) >= similarity).select("a", "b")
 
 
+def shared_sizes(held: DataFrame) -> DataFrame:
+    """(node, size, shared): how many shingles each node has, and how many of them another node has as well."""
+    alone = held.select("node", F.explode("held").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return held.select("node", F.size("held").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("shared"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 6, lanes: int = 7, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each component the document of the smallest id stays.
 
@@ -385,7 +411,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     confirmed by the exact Jaccard similarity of the shingle sets, in two turns:
     first a forest of them, close ones first, so that a large group of near
     copies costs a pair for each text; then every candidate that isn't within one
-    confirmed component. Texts of the same words are one node. Rows of one id are
+    confirmed component, but for pairs that can't be similar as one of them has
+    too many shingles that no other text has. Texts of the same words are one node. Rows of one id are
     one document; rows with a null id stay. Null and empty texts hold the same
     (no) words and are copies. Repeated rows stay or go together; an empty table
     gives an empty table; other columns are carried, whatever their names.
@@ -396,11 +423,15 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     far = int(np.ceil(mean + 3.3 * np.sqrt(mean * (1 + similarity) / 2)))
     n = nodes.count()
     tried = cut(hamming_links(nodes, n, lanes, budget, far, "forest").distinct(), "tried")
-    first = cut(confirmed(tried, docs, text_col, words, similarity), "links")
+    # a node with a candidate is in the forest
+    asked = cut(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    held = cut(shingle_sets(asked, docs, text_col, words), "shingles")
+    first = cut(confirmed(tried, held, similarity), "links")
     known = connected_components(first)
-    named = cut(nodes.join(known, "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("known")), "named")
-    left = cut(hamming_links(named, n, lanes, budget, far, "pairs").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = first.union(confirmed(left, docs, text_col, words, similarity))
+    named = nodes.join(shared_sizes(held), "node").join(known, "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("known"), "size", "shared")
+    named = cut(named, "named")
+    left = hamming_links(named, n, lanes, budget, far, "pairs", similarity=similarity).distinct().join(tried, ["a", "b"], "left_anti")
+    links = first.union(confirmed(cut(left, "pairs"), held, similarity))
     # texts of one id that differ are one document
     one = own.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     same = own.join(one.where("a <> z"), "id").select("a", F.col("node").alias("b"))
