@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATS = ("mean", "std", "median", "p05", "p95", "n_models")
+STATS = ("mean", "std", "median", "p05", "p95", "n_models", "values_per_model")
 
 
 def ensemble_columns(value: str, prefix: str = "") -> list[Column]:
@@ -22,12 +22,12 @@ def period_mean(yearly: DataFrame, periods: DataFrame, unit: list[str], min_year
     A period is given if enough of its years are there, counted over all units of
     a slug, model and scenario. years_used counts those of the unit.
     """
-    inside = yearly.join(F.broadcast(periods), "scenario").where(F.col("year").between(F.col("first"), F.col("last")))
+    inside = yearly.join(periods, "scenario").where(F.col("year").between(F.col("first"), F.col("last")))
     group = ["slug", "model", "scenario", "period"]
     asked = F.col("last") - F.col("first") + 1
     gate = inside.groupBy(*group).agg(F.count_distinct("year").alias("years"), F.first(asked).alias("asked")).where((F.col("years") >= min_years) & (F.col("years") >= min_share * F.col("asked"))).select(*group)
     return (
-        inside.join(F.broadcast(gate), group).groupBy(*unit, *group)
+        inside.join(gate, group).groupBy(*unit, *group)
         .agg(F.avg("value").alias("value"), F.count("value").cast("int").alias("years_used_count"), F.first(asked).cast("int").alias("years_requested"))
     )
 
@@ -46,18 +46,24 @@ def ensemble_stats(periods: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
-def wide_master(long: DataFrame, unit: list[str], columns: list[tuple[str, str, str]], stats: tuple[str, ...] = ("mean", "std", "median", "p05", "p95", "n_models")) -> DataFrame:
-    """One row per unit with {slug}__{scenario}__{period}__{stat}; the columns are given, so no extra job looks for them."""
+def wide_master(long: DataFrame, unit: list[str], columns: list[tuple[str, str, str]], stats: tuple[str, ...] = STATS, places: int = 6) -> DataFrame:
+    """One row per unit with {slug}__{scenario}__{period}__{stat}, values_per_model as JSON rounded to some places.
+
+    The columns are given, so no extra job looks for them; of rows that repeat a
+    unit and column the greatest value stays.
+    """
     out = []
     for slug, scenario, period in columns:
         hit = (F.col("slug") == slug) & (F.col("scenario") == scenario) & (F.col("period") == period)
-        out += [F.first(F.when(hit, F.col(s)), ignorenulls=True).alias(f"{slug}__{scenario}__{period}__{s}") for s in stats]
+        for s in stats:
+            value = F.to_json(F.transform_values(s, lambda _, v: F.round(v, places))) if s == "values_per_model" else F.col(s)
+            out.append(F.max(F.when(hit, value)).alias(f"{slug}__{scenario}__{period}__{s}"))
     return long.groupBy(*unit).agg(*out)
 
 
 def unpivot_master(wide: DataFrame, unit: list[str]) -> DataFrame:
     """unit, slug, scenario, period, stat, value of a wide table; both m__scenario__y0-y1__stat and the older m_scenario_y0_y1__stat."""
-    values = [c for c in wide.columns if c not in unit and "__" in c]
+    values = [c for c in wide.columns if c not in unit and "__" in c and not c.endswith("__values_per_model")]
     long = wide.unpivot(unit, [F.col(f"`{c}`").cast("double").alias(c) for c in values], "column", "value")
     new, old = r"^(.+?)__([^_]+)__(\d{4}-\d{4})__(\w+)$", r"^(.+)_([^_]+)_(\d{4})_(\d{4})__(\w+)$"
     c = F.col("column")
@@ -87,3 +93,13 @@ def fill_missing_band(ensemble: DataFrame, models: DataFrame, keys: list[str]) -
     single = models.groupBy(*keys, "model").agg(F.avg("value").alias("value"))
     own = single.groupBy(*keys).agg(*[c.alias(f"m_{n}") for n, c in zip(("mean", "median", "p05", "p95"), (F.avg("value"), F.median("value"), F.percentile("value", F.lit(0.05)), F.percentile("value", F.lit(0.95))))])
     return ensemble.join(own, keys, "left").select(*keys, *[F.coalesce(F.col(c), F.col(f"m_{c}")).alias(c) for c in ("mean", "median", "p05", "p95")])
+
+
+def state_summaries(periods: DataFrame, yearly: DataFrame, unit: list[str]) -> dict[str, DataFrame]:
+    """The four state tables: model averages and ensembles, of periods and of years. Years that are no numbers are left out."""
+    years = yearly.withColumn("year", F.col("year").cast("string").try_cast("int")).where("year is not null")
+    by_period, by_year = state_model_averages(periods, "period", unit), state_model_averages(years, "year", unit)
+    return {
+        "period_models": by_period, "period_ensemble": state_ensemble_stats(by_period, "period"),
+        "yearly_models": by_year, "yearly_ensemble": state_ensemble_stats(by_year, "year"),
+    }

@@ -18,17 +18,41 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def match_names(items: DataFrame, units: DataFrame, item: str, unit: str, block: list[str], cutoff: float = 0.7) -> DataFrame:
-    """(block, item, unit, tier) of each item's best unit within its block: equal names (0), one contains the other (1), alike by difflib (2).
-
-    Pairs are only made within a block (a state), and fuzzy scores only for items
-    that the first tiers leave. The first unit by name wins ties; items without a
-    match have a null unit.
+def alike(left: DataFrame, right: DataFrame, block: list[str], cutoff: float) -> DataFrame:
+    """Pairs (block, item, a, unit, b) that may reach the cutoff or contain each other: no other pair can.
+
+    difflib's ratio is at most twice the shorter length by the sum of both, so
+    lengths must fit. Above a cutoff of 2/3, long names that reach it have two
+    equal letters in a row in common (matching parts are fewer than matching
+    letters), and so has a name that contains another: they meet by bigrams.
+    Short names, and all at lower cutoffs, meet by lengths.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    both = [*block, "item", "a", "unit", "b"]
+    by_gram = left.withColumn("g__", F.explode(grams("a"))).join(right.withColumn("g__", F.explode(grams("b"))), [*block, "g__"]).select(*both)
+    short = 1 / (1.5 * cutoff - 1) if cutoff > 2 / 3 else None
+    small = lambda rows, c: rows if short is None else rows.where(F.length(c) <= F.lit(short))
+    least, most = F.ceil(F.length("a") * cutoff / (2 - cutoff) - 1e-9), F.floor(F.length("a") * (2 - cutoff) / cutoff + 1e-9)
+    sized = small(left, "a").where("a <> ''").withColumn("n__", F.explode(F.sequence(least, most)))
+    by_size = sized.join(small(right, "b").withColumn("n__", F.length("b").cast("long")), [*block, "n__"]).select(*both)
+    letters = F.aggregate(
+        F.array_distinct(F.split("a", "")), F.lit(0),
+        lambda n, c: n + F.least(F.length("a") - F.length(F.replace("a", c, F.lit(""))), F.length("b") - F.length(F.replace("b", c, F.lit("")))),
+    )
+    return by_gram.unionByName(by_size).distinct().where((F.contains("a", "b") | F.contains("b", "a")) | (2 * letters >= F.lit(cutoff) * (F.length("a") + F.length("b"))))
+
+
+def match_names(items: DataFrame, units: DataFrame, item: str, unit: str, block: list[str], cutoff: float = 0.7, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(block, item, unit, tier) of each item's best unit within its block: equal names or aliases (0), one contains the other (1), alike by difflib (2).
+
+    Pairs are only made within a block (a state) and where alike() doesn't rule
+    them out, and fuzzy scores only for items that the first tiers leave. The
+    first unit by name wins ties; items without a match have a null unit.
     """
-    left = items.select(*block, F.col(item).alias("item"), normalize_name(F.col(item)).alias("a")).distinct()
-    right = units.select(*block, F.col(unit).alias("unit"), normalize_name(F.col(unit)).alias("b")).distinct()
+    left = items.select(*block, F.col(item).alias("item"), alias_name(F.col(item), aliases or {}).alias("a")).distinct()
+    right = units.select(*block, F.col(unit).alias("unit"), alias_name(F.col(unit), aliases or {}).alias("b")).distinct()
     exact = left.join(right.withColumnRenamed("b", "a"), [*block, "a"]).select(*block, "item", "unit", F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
-    rest = left.join(exact, [*block, "item"], "left_anti").join(right, block)
+    rest = alike(left.join(exact, [*block, "item"], "left_anti"), right, block, cutoff)
     tier = F.when((F.col("a") != "") & (F.col("b") != "") & (F.contains("a", "b") | F.contains("b", "a")), 1).otherwise(2)
     scored = rest.withColumn("tier", tier).withColumn("score", F.when(F.col("tier") == 1, 1.0).otherwise(similarity("a", "b"))).where((F.col("tier") == 1) | (F.col("score") >= cutoff))
     w = Window.partitionBy(*block, "item").orderBy("tier", F.desc("score"), "unit")
@@ -44,15 +68,16 @@ def portfolio_states(rows: DataFrame, state: str, place: str, fallback: str) ->
     return held.unionByName(one.join(held.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit(True), "left_anti"))
 
 
-def merge_master(boundaries: DataFrame, master: DataFrame, state: str, name: str, aliases: dict[str, str] | None = None, with_state: bool = True) -> DataFrame:
-    """Boundaries of the master's states with its columns joined on the normalised name; columns of both get _csv on the master's side.
+def merge_master(boundaries: DataFrame, master: DataFrame, state: str, name: str, aliases: dict[str, str] | None = None, with_state: bool = True, block: str | None = None) -> DataFrame:
+    """Boundaries of the master's states with its columns joined on the normalised district, or on district and block where ``block`` names the boundaries' column; columns of both get _csv on the master's side.
 
     with_state=False joins on the district alone: same-named districts of two
     states then multiply rows.
     """
     key = lambda c: alias_name(F.col(c), aliases or {})
-    left = boundaries.withColumn("s__", normalize_name(F.col(state))).withColumn("k__", key(name))
-    right = master.withColumn("s__", normalize_name(F.col("state"))).withColumn("k__", key("district"))
+    unit = lambda d, b: F.concat_ws("|", key(d), key(b)) if block else key(d)
+    left = boundaries.withColumn("s__", normalize_name(F.col(state))).withColumn("k__", unit(name, block))
+    right = master.withColumn("s__", normalize_name(F.col("state"))).withColumn("k__", unit("district", "block"))
     right = right.withColumnsRenamed({c: f"{c}_csv" for c in master.columns if c in boundaries.columns})
     inside = left.join(right.select("s__").distinct(), "s__", "left_semi")
     return inside.join(right if with_state else right.drop("s__"), ["s__", "k__"] if with_state else "k__", "left").drop("s__", "k__")

@@ -84,10 +84,18 @@ def find_baseline_period(periods: DataFrame, keys: list[str], preferred: tuple[s
     return periods.where("scenario = 'historical'").groupBy(*keys).agg(F.min_by("period", F.struct(place, plain)).alias("baseline_period"))
 
 
-def resolve_metric_column(long: DataFrame, slug: str, scenario: str, period: str, stat: str) -> DataFrame:
-    """The column (slug, scenario, period, stat) to use: the one asked for, else one whose period contains it, else the first of the metric, scenario and stat."""
-    found = long.where((F.col("slug") == slug) & (F.col("scenario") == scenario) & (F.col("stat") == stat)).select("slug", "scenario", "period", "stat").distinct()
-    first, last = (F.regexp_extract("period", r"(\d{4})\D(\d{4})", i).cast("int") for i in (1, 2))
-    y0, y1 = (int(y) for y in period.replace("_", "-").split("-"))
-    tier = F.when(F.col("period") == period, 0).when((first <= y0) & (last >= y1), 1).otherwise(2)
-    return found.orderBy(tier, "period").limit(1)
+def resolve_metric_columns(long: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (slug, scenario, asked, stat) with the period to use: the one asked for, else the first that contains it, else the first of the metric, scenario and stat; null where there is none."""
+    have = long.select("slug", "scenario", "period", "stat").distinct()
+    ends = lambda c: [F.regexp_extract(c, r"(\d{4})\D(\d{4})", i).try_cast("int") for i in (1, 2)]
+    (first, last), (y0, y1) = ends("period"), ends("asked")
+    tier = F.when(F.replace("period", F.lit("_"), F.lit("-")) == F.replace("asked", F.lit("_"), F.lit("-")), 0).when((first <= y0) & (last >= y1), 1).otherwise(2)
+    keys = ["slug", "scenario", "asked", "stat"]
+    met = requests.distinct().join(have, ["slug", "scenario", "stat"], "left")
+    return met.groupBy(*keys).agg(F.min_by("period", F.when(F.col("period").isNotNull(), F.struct(tier, "period"))).alias("period"))
+
+
+def slider_bounds(ranges: DataFrame, low: str = "vmin", high: str = "vmax", share: float = 0.1) -> DataFrame:
+    """ranges with slider_low and slider_high, a share of the range beyond its ends (at least 1 for one without extent)."""
+    pad = F.when(F.col(high) > F.col(low), (F.col(high) - F.col(low)) * share).otherwise(F.lit(1.0))
+    return ranges.withColumn("slider_low", F.col(low) - pad).withColumn("slider_high", F.col(high) + pad)

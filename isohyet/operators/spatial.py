@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.sources.io import scratch
+
 
 def explode_geojson(features: DataFrame, geometry: str = "geometry", keys: list[str] | None = None) -> DataFrame:
     """Edges (keys, part, ring, seq, x1, y1, x2, y2) of Polygon and MultiPolygon texts; other and empty geometries give none."""
@@ -46,29 +48,69 @@ def containing(points: DataFrame, edges: DataFrame, point_key: str, key: str = "
     return met.groupBy(point_key, key).agg((F.count_if(right) % 2).alias("odd")).where("odd = 1").select(point_key, key)
 
 
-def point_in_unit(points: DataFrame, edges: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0, max_units: int = 100_000) -> DataFrame:
-    """(point, unit, inside): the containing unit (the first by name), else that of the nearest centroid in planar degrees.
+def nearest(points: DataFrame, centres: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0) -> DataFrame:
+    """(point, unit) of the nearest centre (cx, cy) in planar degrees, ties by name, for each point.
 
-    Only points outside all units look for centroids. Centroids go to the tasks
-    if there are at most max_units, an administrative table's bound; more are an error.
+    Centres are looked for in a point's cell and the eight around it: one found
+    within the width of a cell is the nearest. Points without one go on with
+    cells of twice the width, until a cell is as wide as everything; so the join
+    has an equi-key, few points meet many centres, and the turns are as many as
+    doublings. Each turn's points are written, as the next one reads them twice.
     """
+    spark = points.sparkSession
+    left = points.select(point_key, "x", "y").where("x is not null and y is not null")
+    ends = centres.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if ends[0] is None:
+        return left.where("1 = 0").select(point_key, centres[key]) if key in left.columns else left.where("1 = 0").select(point_key, F.lit(None).cast(dict(centres.dtypes)[key]).alias(key))
+    far = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wide = max([max(ends[1], far[1]) - min(ends[0], far[0]), max(ends[3], far[3]) - min(ends[2], far[2])]) if far[0] is not None else 0.0
+    done = None
+    while True:
+        cell = lambda v, n=size: F.floor(F.col(v) / n)
+        steps = lambda v, n=size: F.explode(F.sequence(F.floor(F.col(v) / n) - 1, F.floor(F.col(v) / n) + 1))
+        looked = left.withColumn("i", steps("x")).withColumn("j", steps("y")).join(centres.withColumn("i", cell("cx")).withColumn("j", cell("cy")), ["i", "j"])
+        gap = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
+        best = looked.groupBy(point_key).agg(F.min(F.struct(gap.alias("d"), F.col(key).alias("u"))).alias("m")).where(F.col("m.d") <= size * size)
+        path = scratch(spark, "nearest")
+        best.select(point_key, F.col("m.u").alias(key)).write.parquet(path)
+        found = spark.read.parquet(path)
+        done = found if done is None else done.unionByName(found)
+        if size > 2 * wide:
+            return done
+        path = scratch(spark, "outside")
+        left.join(found, point_key, "left_anti").write.parquet(path)
+        left = spark.read.parquet(path)
+        if left.isEmpty():
+            return done
+        size *= 2
+
+
+def point_in_unit(points: DataFrame, edges: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0) -> DataFrame:
+    """(point, unit, inside): the containing unit (the first by name), else that of the nearest centroid in planar degrees. Only points outside all units look for centroids."""
     inside = containing(points, edges, point_key, key, size).groupBy(point_key).agg(F.min(key).alias(key))
-    centres = area_centroid(edges, key)
-    if centres.limit(max_units + 1).count() > max_units:
-        raise ValueError("too many units for the nearest-centroid fallback")
-    packed = centres.agg(F.collect_list(F.struct("cx", "cy", F.col(key).alias("u"))).alias("centres"))
-    outside = points.join(inside, point_key, "left_anti").crossJoin(F.broadcast(packed))
-    near = F.array_min(F.transform("centres", lambda c: F.struct(((c["cx"] - F.col("x")) * (c["cx"] - F.col("x")) + (c["cy"] - F.col("y")) * (c["cy"] - F.col("y"))).alias("d"), c["u"].alias("u"))))
-    fallback = outside.select(point_key, near["u"].alias(key))
+    fallback = nearest(points.join(inside, point_key, "left_anti"), area_centroid(edges, key), point_key, key, size)
     return inside.withColumn("inside", F.lit(True)).unionByName(fallback.withColumn("inside", F.lit(False)))
 
 
+def representative_points(edges: DataFrame, key: str = "unit_key") -> DataFrame:
+    """(unit, x, y): a point inside each unit: in the middle of its widest stretch along the line half-way up its bounding box (a hair above it where that line meets a corner)."""
+    box = edges.groupBy(key).agg(F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high"))
+    y = F.col("low") + (F.col("high") - F.col("low")) * 0.5000001
+    line = edges.join(box.select(key, y.alias("y")), key).where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    x = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    cuts = line.groupBy(key, "y").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size("xs") - 2, F.lit(0)), F.lit(2)), lambda i: F.struct((F.get("xs", i + 1) - F.get("xs", i)).alias("w"), ((F.get("xs", i) + F.get("xs", i + 1)) / 2).alias("x")))
+    return cuts.where(F.size("xs") >= 2).select(key, F.array_max(spans)["x"].alias("x"), "y")
+
+
 def rasterize_units(cells: DataFrame, edges: DataFrame, step: float, cell_key: str = "cell_id", key: str = "unit_key") -> DataFrame:
     """(unit, cell) of cells that a unit touches: a cell whose centre (x, y) is inside, or through which an edge runs.
 
     An edge meets candidate cells by column and row numbers, so both tests have
     equi-join keys; an edge is then clipped to the cell (Liang and Barsky).
     """
+    if step <= 0:
+        raise ValueError("cells must be of positive size: coordinates have to ascend")
     half = step / 2
     by_centre = containing(cells, edges, cell_key, key, step)
     number = lambda v: F.floor(F.col(v) / step)
@@ -93,8 +135,3 @@ def units_in_box(edges: DataFrame, west: float, south: float, east: float, north
     """Units whose bounding box meets the box."""
     box = edges.groupBy(key).agg(F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"))
     return box.where((F.col("x0") <= east) & (F.col("x9") >= west) & (F.col("y0") <= north) & (F.col("y9") >= south)).select(key)
-
-
-def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn__ = 1").drop("rn__")

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,3 +141,37 @@ def diagnostics(monthly: DataFrame, keys: list[str], baseline: tuple[int, int])
         share(v < -1).alias("pct_below_1"), share(v < -2).alias("pct_below_2"), share(v > 1).alias("pct_above_1"), share(v > 2).alias("pct_above_2"), F.avg(base).alias("base_mean"), F.stddev(base).alias("base_std"),
     )
     return stats.withColumn("mean_ok", F.abs("base_mean") < 0.3).withColumn("std_ok", F.col("base_std").between(0.7, 1.3))
+
+
+def full_years(monthly: DataFrame, keys: list[str]) -> DataFrame:
+    """The months of each series from its first January to its last December, with contiguous: whether none between is missing."""
+    ends = monthly.groupBy(*keys).agg(F.min("month").alias("a__"), F.max("month").alias("b__"))
+    first = F.when(F.month("a__") == 1, F.col("a__")).otherwise(F.add_months(F.trunc("a__", "YEAR"), 12))
+    last = F.when(F.month("b__") == 12, F.col("b__")).otherwise(F.add_months(F.trunc("b__", "YEAR"), -1))
+    inside = monthly.join(ends.select(*keys, first.alias("a__"), last.alias("b__")), keys).where(F.col("month").between(F.col("a__"), F.col("b__")))
+    held = inside.groupBy(*keys).agg((F.count_distinct("month") == F.months_between(F.first("b__"), F.first("a__")) + 1).alias("contiguous"))
+    return inside.drop("a__", "b__").join(held, keys)
+
+
+def spliced(monthly: DataFrame, unit: list[str], scale: int, value: str = "total", least: int = 24) -> DataFrame:
+    """unit, scenario, month, acc, contiguous: trailing sums over ``scale`` months for the adapter.
+
+    Series are cut to full years, missing values are 0. A scenario goes on from
+    the unit's historical series: months between them are 0, sums run across the
+    seam, and its first scale - 1 months are null. A series of fewer than
+    ``least`` valid sums has none.
+    """
+    keys = [*unit, "scenario"]
+    rows = full_years(monthly, keys).withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+    own = rows.groupBy(*keys).agg(F.min("month").alias("begin__"), F.max("month").alias("end__"), F.first("contiguous").alias("contiguous"))
+    past = own.where("scenario = 'historical'").select(*unit, F.col("begin__").alias("past__"))
+    spans = own.join(past, unit, "left").withColumn("from__", F.least(F.coalesce("past__", "begin__"), F.col("begin__")))
+    spine = spans.select(*keys, "begin__", "contiguous", F.explode(F.sequence("from__", "end__", F.expr("interval 1 month"))).alias("month"))
+    known = rows.select(*keys, "month", F.col(value).alias("own__"))
+    before = rows.where("scenario = 'historical'").select(*unit, "month", F.col(value).alias("before__"))
+    filled = spine.join(known, [*keys, "month"], "left").join(before, [*unit, "month"], "left").withColumn(value, F.coalesce("own__", "before__", F.lit(0.0)))
+    acc = accumulate(filled, keys, scale, value).where(F.col("month") >= F.col("begin__"))
+    young = (F.col("scenario") != "historical") & (F.months_between("month", "begin__") < scale - 1)
+    acc = acc.withColumn("acc", F.when(~young, F.col("acc")))
+    enough = F.count("acc").over(Window.partitionBy(*keys)) >= least
+    return acc.select(*keys, "month", F.when(enough & F.col("contiguous"), F.col("acc")).alias("acc"), "contiguous")

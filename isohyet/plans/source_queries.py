@@ -8,7 +8,8 @@ from isohyet.functions import names, units
 from isohyet.operators import ensemble, matching, spatial, spi
 from isohyet.plans.catalog import query
 from isohyet.plans.index_queries import MONTHLY, monthly
-from isohyet.plans.table_queries import MASTER, YEARLY, current, master, yearly
+from isohyet.plans import registry
+from isohyet.plans.table_queries import CASE_SQL, COLUMNS, ENS, MASTER, PV, SMA, WIDE_SQL, YEARLY, current, master, period_dim, yearly
 from isohyet.sources import io
 from isohyet.sources.adapter import SERIES, UNIT, observations, panel, table
 from isohyet.sources.io import scratch
@@ -26,11 +27,12 @@ def grid(spark, d):
     return tas.unionByName(pr)
 
 
-@query(f"WITH {LONG} SELECT model, scenario, date, cell AS lat, var, round(value, 6) AS value FROM grid WHERE var = 'tas' AND scenario = 'historical'", last=1998)
+@query(f"WITH {LONG} SELECT model, scenario, date, CAST(cell AS DOUBLE) AS lat, CAST(cell % 7 AS DOUBLE) AS lon, var, round(value, 6) AS value FROM grid WHERE var = 'tas' AND scenario = 'historical'", last=1998)
 def scan_grid_daily(spark, d):
     path = scratch(spark, "grid")
-    grid(spark, d).withColumnRenamed("cell", "latitude").repartition("var", "scenario").write.partitionBy("var", "scenario").parquet(path)
-    return io.scan_grid_daily(spark, path, ["tas"], ["historical"]).select("model", "scenario", "date", "lat", "var", "value")
+    rows = grid(spark, d).withColumn("latitude", F.col("cell").cast("double")).withColumn("longitude", (F.col("cell") % 7).cast("double")).drop("cell")
+    io.write_partitioned(rows, path, "var", "scenario")
+    return io.scan_grid_daily(spark, path, ["tas"], ["historical"]).select("model", "scenario", "date", "lat", "lon", "var", "value")
 
 
 @query("SELECT DISTINCT l_returnflag AS model FROM lineitem")
@@ -64,32 +66,61 @@ def scan_table_filtered(spark, d):
     return io.scan_table_filtered(spark, path, ["district", "year", "value"], {"slug": "prcptot", "scenario": "historical", "model": "A"})
 
 
-@query(f"WITH {YEARLY} SELECT slug, state, replace(district, '_', ' ') AS district, model, scenario, year, round(value, 6) AS value FROM yearly", last=1998)
-def sink_and_collect_unit_outputs(spark, d):
-    path = scratch(spark, "unit-outputs")
-    io.write_partitioned(yearly(spark, d).withColumn("district", F.replace("district", F.lit(" "), F.lit("_"))), path, "slug", "scenario")
-    return spark.read.parquet(path).select("slug", "state", F.replace("district", F.lit("_"), F.lit(" ")).alias("district"), "model", "scenario", "year", "value")
+BLOCK_PV = "bpanel AS (SELECT state, district, block, model, scenario, date, CAST(year(date) AS INT) AS year, max(q) + 273.15 AS tasmax, sum(q) / 10 AS pr FROM obs GROUP BY ALL), " + PV.replace("state, district", "state, district, block").replace("FROM panel", "FROM bpanel")
+OUTPUT = "slug, state, replace(district, '_', ' ') AS district, {b} AS block, model, scenario, CAST({t} AS VARCHAR) AS time, round(value, 6) AS value"
 
 
-@query(f"WITH {YEARLY} SELECT slug, state, district, scenario, year, count(value) AS n_models, round(avg(value), 6) AS ensemble_mean FROM yearly GROUP BY ALL", last=1998)
+@query(f"""SELECT 'district' AS level, 'yearly' AS kind, {OUTPUT.format(b="''", t='year')} FROM (WITH {YEARLY} SELECT * FROM yearly) UNION ALL SELECT 'district', 'period', {OUTPUT.format(b="''", t='period')} FROM (WITH {PV} SELECT * FROM pv)
+UNION ALL SELECT 'block', 'yearly', {OUTPUT.format(b='block', t='year')} FROM (WITH {BLOCK_PV} SELECT * FROM yearly) UNION ALL SELECT 'block', 'period', {OUTPUT.format(b='block', t='period')} FROM (WITH {BLOCK_PV} SELECT * FROM pv)""", last=1998)
+def sink_and_collect_unit_outputs(spark, d):
+    """Yearly and period rows of districts and blocks, written by kind, metric, level and scenario, and read as one table."""
+    path = scratch(spark, "unit-outputs")
+    slugs = ["tx_mean", "hot_days", "prcptot"]
+    outputs = None
+    for level, unit in (("district", UNIT), ("block", [*UNIT, "block"])):
+        rows = registry.build(panel(spark, d, keys=[*unit, "model", "scenario"]), [*unit, "model"], slugs)
+        means = ensemble.period_mean(rows, period_dim(spark), unit, min_years=3)
+        block = F.col("block") if level == "block" else F.lit("")
+        for kind, part, time in (("yearly", rows, "year"), ("period", means, "period")):
+            named = part.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), "slug", "state", F.replace("district", F.lit(" "), F.lit("_")).alias("district"), block.alias("block"), "model", "scenario", F.col(time).cast("string").alias("time"), "value")
+            outputs = named if outputs is None else outputs.unionByName(named)
+    io.write_partitioned(outputs, path, "kind", "slug", "level", "scenario")
+    back = spark.read.schema(outputs.schema).parquet(path)
+    return back.select("level", "kind", "slug", "state", F.replace("district", F.lit("_"), F.lit(" ")).alias("district"), F.coalesce("block", F.lit("")).alias("block"), "model", "scenario", "time", "value")
+
+
+@query(f"WITH {YEARLY} SELECT slug, state, district, scenario, year, {ENS} FROM yearly GROUP BY ALL", last=1998)
 def sink_yearly_ensemble(spark, d):
     path = scratch(spark, "ensemble")
     io.write_partitioned(ensemble.yearly_ensemble(yearly(spark, d), UNIT), path, "slug", "scenario")
-    return spark.read.parquet(path).select("slug", *UNIT, "scenario", "year", "n_models", "ensemble_mean")
+    return spark.read.parquet(path)
 
 
-@query(f"WITH {YEARLY}, s AS (SELECT slug, state, scenario, year, model, avg(value) AS value, count(DISTINCT district) AS n_units FROM yearly GROUP BY ALL) SELECT slug, state, scenario, year, model, round(value, 6) AS value, n_units FROM s", last=1998)
-def sink_state_summaries(spark, d):
-    path = scratch(spark, "states")
-    io.write_partitioned(ensemble.state_model_averages(yearly(spark, d), "year", ["state", "district"]), path, "slug")
-    return spark.read.parquet(path).select("slug", "state", "scenario", "year", "model", "value", "n_units")
+STATE_SQL = "SELECT '{kind}_models' AS kind, slug, state, scenario, CAST({t} AS VARCHAR) AS time, model, round(value, 6) AS value, NULL::DOUBLE AS std, NULL::DOUBLE AS median, NULL::DOUBLE AS p05, NULL::DOUBLE AS p95, NULL::BIGINT AS n_models, n_units FROM {s} UNION ALL SELECT '{kind}_ensemble', slug, state, scenario, CAST({t} AS VARCHAR), NULL, round(avg(value), 6), round(stddev_pop(value), 6), round(median(value), 6), round(quantile_cont(value, 0.05), 6), round(quantile_cont(value, 0.95), 6), count(value), max(n_units) FROM {s} GROUP BY slug, state, scenario, {t}"
 
 
-@query(f"WITH {MASTER} SELECT state, district, round(max(mean) FILTER (slug = 'hot_days' AND scenario = 'ssp245'), 6) AS hot_days__ssp245__1999_2001__mean FROM master GROUP BY ALL", last=1998)
+@query(f"WITH {PV}, {SMA.format(t='period', src='pv')}, {SMA.format(t='year', src='yearly').replace('sma AS', 'smy AS')} {STATE_SQL.format(kind='period', t='period', s='sma')} UNION ALL {STATE_SQL.format(kind='yearly', t='year', s='smy')}", last=1998)
+def sink_state_summaries(spark, d):
+    """The four state tables, each written and read back."""
+    path = scratch(spark, "states")
+    y = yearly(spark, d)
+    tables = ensemble.state_summaries(ensemble.period_mean(y, period_dim(spark), UNIT, min_years=3), y, ["state", "district"])
+    out = None
+    for kind, rows in tables.items():
+        io.write_partitioned(rows, f"{path}/{kind}", "slug")
+        back = spark.read.parquet(f"{path}/{kind}").withColumnsRenamed({"ensemble_mean": "value", **{f"ensemble_{c}": c for c in ("std", "median", "p05", "p95")}, "period": "time", "year": "time"})
+        back = back.withColumn("time", F.col("time").cast("string")).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back, allowMissingColumns=True)
+    return out.select("kind", "slug", "state", "scenario", "time", "model", "value", "std", "median", "p05", "p95", "n_models", "n_units")
+
+
+@query(WIDE_SQL, last=1998)
 def sink_master_wide(spark, d):
+    """The whole wide master as CSV, JSON columns quoted, read back under its own schema."""
     path = scratch(spark, "master")
-    ensemble.wide_master(master(spark, d), UNIT, [("hot_days", "ssp245", "1999-2001")], ("mean",)).write.csv(path, header=True)
-    return spark.read.csv(path, header=True, schema="state string, district string, hot_days__ssp245__1999_2001__mean double")
+    wide = ensemble.wide_master(master(spark, d), UNIT, COLUMNS)
+    wide.write.option("escape", '"').csv(path, header=True)
+    return spark.read.option("escape", '"').csv(path, header=True, schema=wide.schema)
 
 
 @query(f"WITH {YEARLY}, e AS (SELECT slug, state, district, scenario, year, avg(value) AS m, median(value) AS md FROM yearly GROUP BY ALL) SELECT slug, state, district, scenario, year, round(coalesce(m, md), 6) AS mean FROM e WHERE lower(scenario) = 'historical'", last=1998)
@@ -277,6 +308,14 @@ def polygon_area_centroid(spark, d):
     return spatial.area_centroid(edges(spark, d))
 
 
+EARTH = 6371.0088
+
+
+@query(f"WITH {BOARD}, e AS ({EDGES}) SELECT unit_key, round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * {EARTH} ** 2 / 2, 4) AS area_km2 FROM e GROUP BY ALL")
+def spherical_area(spark, d):
+    return spatial.spherical_area_km2(edges(spark, d)).select("unit_key", F.round("area_km2", 4).alias("area_km2"))
+
+
 IN = "x > x0 AND y > y0 AND (x - x0) + (y - y0) < w"
 
 
@@ -287,12 +326,15 @@ def point_in_unit(spark, d):
     return spatial.point_in_unit(points(spark, d), edges(spark, d), "s_suppkey")
 
 
-@query(f"WITH {BOARD}, ins AS (SELECT s_suppkey, min(unit_key) AS unit_key FROM pts, tri WHERE {IN} GROUP BY ALL) SELECT s_suppkey, coalesce(r_name, 'Unknown') AS state FROM pts LEFT JOIN ins USING (s_suppkey) LEFT JOIN nation ON n_name = unit_key LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_name AS unit_key, CASE WHEN n_nationkey < 25 THEN r_name ELSE 'Unknown' END AS state FROM nation JOIN region ON n_regionkey = r_regionkey")
 def state_of_unit(spark, d):
-    p = points(spark, d)
-    inside = spatial.containing(p, edges(spark, d), "s_suppkey").groupBy("s_suppkey").agg(F.min("unit_key").alias("unit_key"))
-    states = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("unit_key"), "r_name")
-    return p.select("s_suppkey").join(inside, "s_suppkey", "left").join(F.broadcast(states), "unit_key", "left").select("s_suppkey", F.coalesce("r_name", F.lit("Unknown")).alias("state"))
+    """The state whose area holds a point inside each unit: a state's edges are those of its units."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("unit_key"), "r_name")
+    e = edges(spark, d)
+    inside = spatial.representative_points(e)
+    states = e.join(n, "unit_key").withColumn("unit", F.col("unit_key")).select(F.col("r_name").alias("state"), "x1", "y1", "x2", "y2")
+    held = spatial.containing(inside, states, "unit_key", "state").groupBy("unit_key").agg(F.min("state").alias("state"))
+    return inside.select("unit_key").join(held, "unit_key", "left").select("unit_key", F.coalesce("state", F.lit("Unknown")).alias("state"))
 
 
 CELLS = "cells AS (SELECT DISTINCT floor(x / 0.5)::BIGINT * 100000 + floor(y / 0.5)::BIGINT AS cell_id, floor(x / 0.5) * 0.5 + 0.25 AS x, floor(y / 0.5) * 0.5 + 0.25 AS y FROM pts)"
@@ -316,10 +358,16 @@ def sink_featurecollection(spark, d):
     return io.feature_collections(f.withColumn("geometry", F.from_json("geometry", "type string, coordinates string")), "r_name", "geometry", ["n_name", "n_comment"] if "n_comment" in f.columns else ["n_name"], "unit_key")
 
 
-@query("SELECT DISTINCT n_name AS item, n_name AS unit, CAST(0 AS INT) AS tier, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey")
+ALIASES = {"nation 1": "first nation", "nation 2": "second nation", "canada": "first nation", "peru": "second nation"}
+
+
+@query("""SELECT DISTINCT r_name AS state, CASE n_name WHEN 'NATION_1' THEN 'First-Nation' WHEN 'CANADA' THEN 'First-Nation' WHEN 'NATION_2' THEN 'SECOND nation' WHEN 'PERU' THEN 'SECOND nation' ELSE lower(n_name) || '!' END AS item, n_name AS unit, CAST(0 AS INT) AS tier
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def resolve_unit_name(spark, d):
+    """Display names (another case, a mark at the end, or an alias) to stored ones."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("state"), "n_name")
-    return matching.match_names(n, n.select("state", F.lower("n_name").alias("u"), F.col("n_name").alias("name")), "n_name", "name", ["state"]).select("state", "item", "unit", "tier")
+    shown = F.when(F.col("n_name").isin("NATION_1", "CANADA"), "First-Nation").when(F.col("n_name").isin("NATION_2", "PERU"), "SECOND nation").otherwise(F.concat(F.lower("n_name"), F.lit("!")))
+    return matching.match_names(n.select("state", shown.alias("shown")), n, "shown", "n_name", ["state"], aliases=ALIASES).select("state", "item", "unit", "tier")
 
 
 @query()
@@ -336,6 +384,16 @@ def merge_master(spark, d):
     return matching.merge_master(b, m, "state_name", "district_name").select(F.col("dn").alias("district_name"), F.col("sn").alias("state_name"), "value")
 
 
+@query("""WITH m AS (SELECT state, district, block, avg(q) AS value FROM obs GROUP BY ALL) SELECT s_suppkey, r_name AS state_name, n_name AS district_name, s_name AS block_name, CASE WHEN m.block IS NOT NULL THEN r_name END AS state, round(value, 6) AS value, CASE WHEN m.block IS NOT NULL THEN 'master' END AS note_csv
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN m ON m.state = r_name AND m.district = n_name AND m.block = s_name WHERE r_name IN (SELECT state FROM m)""", last=1998)
+def merge_master_blocks(spark, d):
+    """Boundaries of blocks with the master's values, by district and block; a column of both is the master's with _csv."""
+    b = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    b = b.select("s_suppkey", F.col("r_name").alias("state_name"), F.col("n_name").alias("district_name"), F.col("s_name").alias("block_name"), F.lit("boundary").alias("note"))
+    m = observations(spark, d).groupBy(*UNIT, "block").agg(F.avg("q").alias("value")).withColumn("note", F.lit("master"))
+    return matching.merge_master(b, m, "state_name", "district_name", block="block_name").select("s_suppkey", "state_name", "district_name", "block_name", "state", "value", "note_csv")
+
+
 # --- SPI: history until 1999, baseline 1995-1999 ------------------------------------------------------------------
 B5 = (1995, 1999)
 UM = [*UNIT, "model"]
@@ -353,9 +411,27 @@ def spi_values(spark, d):
     return spi.transform(a, spi.fit(a, UM, B5, least=3), UM)
 
 
-@query(f"WITH {FIT} SELECT state, district, model, CAST(moy AS INT) AS moy, n, round(m, 6) AS mean, round(s, 6) AS std FROM fit", last=1999)
+def _digamma_sql(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - (" + " + ".join(f"1 / ({x} + {i})" for i in range(6)) + "))"
+
+
+def _trigamma_sql(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(1 / {y} + 1 / (2 * {y} ** 2) + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7) + " + " + ".join(f"1 / ({x} + {i}) ** 2" for i in range(6)) + ")"
+
+
+STEPS = ", ".join(f"k{i + 1} AS (SELECT *, k{i} - (ln(k{i}) - {_digamma_sql(f'k{i}')} - s) / (1 / k{i} - {_trigamma_sql(f'k{i}')}) AS k{i + 1} FROM k{i})" for i in range(3))
+POOLED = f"""{ACC}, g AS (SELECT state, month(month) AS moy, count(*) AS n, avg(CASE WHEN acc = 0 THEN 1.0 ELSE 0.0 END) AS q, count(*) FILTER (acc > 0) AS n_pos, avg(acc) AS mean, stddev_pop(acc) AS std, avg(CASE WHEN acc > 0 THEN acc END) AS pm, avg(CASE WHEN acc > 0 THEN ln(acc) END) AS lm
+  FROM acc WHERE scenario = 'historical' AND year(month) BETWEEN 1995 AND 1999 AND acc IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+k AS (SELECT *, ln(pm) - lm AS s FROM g), k0 AS (SELECT *, CASE WHEN n_pos >= 20 AND s > 0 THEN (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) END AS k0 FROM k), {STEPS}"""
+
+
+@query(f"WITH {POOLED} SELECT state, CAST(moy AS INT) AS moy, n, n_pos, round(q, 6) AS q, round(mean, 6) AS mean, round(std, 6) AS std, round(k3, 5) AS shape, round(pm / k3, 5) AS scale FROM k3", last=1999)
 def spi_fit(spark, d):
-    return spi.fit(accumulated(spark, d), UM, B5, least=3).select(*UM, "moy", "n", "mean", "std")
+    """All parameters, gamma's by maximum likelihood, of a state's districts and models together: 20 positive sums and more of each month."""
+    p = spi.fit(accumulated(spark, d), ["state"], B5)
+    return p.select("state", "moy", "n", "n_pos", "q", "mean", "std", F.round("shape", 5).alias("shape"), F.round("scale", 5).alias("scale"))
 
 
 @query(f"WITH {SPI} SELECT {S}, month, round(acc, 6) AS acc, round(spi, 6) AS spi FROM spi", last=1999)
@@ -363,20 +439,40 @@ def spi_transform(spark, d):
     return spi_values(spark, d)
 
 
-@query(f"WITH {SPI} SELECT {S}, CAST(year(month) AS INT) AS year, round(avg(spi), 6) AS spi_mean, CAST(count(*) FILTER (spi < -1) AS DOUBLE) AS months_below, CAST(count(*) FILTER (spi > 1) AS DOUBLE) AS months_above FROM spi GROUP BY ALL HAVING count(spi) >= 6", last=1999)
+@query(f"WITH {SPI} SELECT {S}, CAST(year(month) AS INT) AS year, round(avg(spi), 6) AS spi_mean, CAST(count(*) FILTER (spi < -1) AS DOUBLE) AS months_below, CAST(count(*) FILTER (spi > 1) AS DOUBLE) AS months_above FROM spi GROUP BY ALL HAVING count(spi) >= 9", last=1999)
 def spi_annualize(spark, d):
-    return spi.annualize(spi_values(spark, d), SERIES, least=6)
+    return spi.annualize(spi_values(spark, d), SERIES)
+
+
+STAT = ("mean", "std", "min", "max", "median", "pct_below_1", "pct_below_2", "pct_above_1", "pct_above_2", "base_mean", "base_std")
 
 
 @query(f"""WITH {SPI}, g AS (SELECT {S}, count(spi) AS n, avg(spi) AS mean, stddev_samp(spi) AS std, min(spi) AS min, max(spi) AS max, median(spi) AS median, avg(CASE WHEN spi < -1 THEN 1 ELSE 0 END) * 100 AS pct_below_1, avg(CASE WHEN spi < -2 THEN 1 ELSE 0 END) * 100 AS pct_below_2,
-avg(CASE WHEN spi > 1 THEN 1 ELSE 0 END) * 100 AS pct_above_1, avg(CASE WHEN spi > 2 THEN 1 ELSE 0 END) * 100 AS pct_above_2 FROM spi WHERE spi IS NOT NULL GROUP BY ALL) SELECT {S}, n, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean', 'std', 'min', 'max', 'median', 'pct_below_1', 'pct_below_2', 'pct_above_1', 'pct_above_2'))} FROM g""", last=1999)
+avg(CASE WHEN spi > 1 THEN 1 ELSE 0 END) * 100 AS pct_above_1, avg(CASE WHEN spi > 2 THEN 1 ELSE 0 END) * 100 AS pct_above_2, avg(spi) FILTER (year(month) BETWEEN 1995 AND 1999) AS base_mean, stddev_samp(spi) FILTER (year(month) BETWEEN 1995 AND 1999) AS base_std FROM spi WHERE spi IS NOT NULL GROUP BY ALL)
+SELECT {S}, n, {', '.join(f'round({c}, 6) AS {c}' for c in STAT)}, abs(base_mean) < 0.3 AS mean_ok, base_std BETWEEN 0.7 AND 1.3 AS std_ok FROM g""", last=1999)
 def spi_diagnostics(spark, d):
-    return spi.diagnostics(spi_values(spark, d), SERIES, B5).drop("base_mean", "base_std", "mean_ok", "std_ok")
+    return spi.diagnostics(spi_values(spark, d), SERIES, B5)
 
 
 def adapter_inputs(spark, d):
-    """Complete months of each series (gaps 0), accumulated over three."""
-    return spi.accumulate(spi.month_spine(monthly(spark, d, 1999), SERIES), SERIES, 3)
+    """Series of full years, scenarios spliced to their history, summed over three months."""
+    return spi.spliced(monthly(spark, d, 1999), UM, 3)
+
+
+ADAPTER = f"""{MONTHLY}, e AS (SELECT {S}, min(month) AS a, max(month) AS b FROM monthly GROUP BY ALL),
+e2 AS (SELECT {S}, CASE WHEN month(a) = 1 THEN a ELSE CAST(date_trunc('year', a) + INTERVAL 12 MONTH AS DATE) END AS a, CASE WHEN month(b) = 12 THEN b ELSE CAST(date_trunc('year', b) - INTERVAL 1 MONTH AS DATE) END AS b FROM e),
+fy AS (SELECT {S}, month, total, count(*) OVER (PARTITION BY {S}) = date_diff('month', a, b) + 1 AS contiguous FROM monthly JOIN e2 USING ({S}) WHERE month BETWEEN a AND b),
+own AS (SELECT {S}, min(month) AS a, max(month) AS b, any_value(contiguous) AS contiguous FROM fy GROUP BY ALL),
+sp AS (SELECT o.state, o.district, o.model, o.scenario, o.a, o.contiguous, CAST(unnest(generate_series(least(o.a, coalesce(h.a, o.a)), o.b, INTERVAL 1 MONTH)) AS DATE) AS month FROM own o LEFT JOIN (SELECT * FROM own WHERE scenario = 'historical') h ON h.state = o.state AND h.district = o.district AND h.model = o.model),
+fl AS (SELECT sp.*, coalesce(x.total, h.total, 0) AS total FROM sp LEFT JOIN fy x ON x.state = sp.state AND x.district = sp.district AND x.model = sp.model AND x.scenario = sp.scenario AND x.month = sp.month LEFT JOIN fy h ON h.state = sp.state AND h.district = sp.district AND h.model = sp.model AND h.scenario = 'historical' AND h.month = sp.month),
+ac AS (SELECT *, CASE WHEN count(*) OVER w = 3 THEN sum(total) OVER w END AS acc FROM fl WINDOW w AS (PARTITION BY {S} ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+cu AS (SELECT {S}, month, contiguous, CASE WHEN scenario = 'historical' OR date_diff('month', a, month) >= 2 THEN acc END AS acc FROM ac WHERE month >= a),
+ad AS (SELECT {S}, month, contiguous, CASE WHEN contiguous AND count(acc) OVER (PARTITION BY {S}) >= 24 THEN acc END AS acc FROM cu)"""
+
+
+@query(f"WITH {ADAPTER} SELECT {S}, month, contiguous, round(acc, 6) AS acc FROM ad", last=1999)
+def spi_adapter_series(spark, d):
+    return adapter_inputs(spark, d)
 
 
 @query()
@@ -404,25 +500,48 @@ def spi_compare(spark, d):
     return g.join(p, [*SERIES, "month"]).groupBy(*SERIES).agg((F.covar_pop("spi", "spi_p") / F.nullif(F.stddev_pop("spi") * F.stddev_pop("spi_p"), F.lit(0.0))).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SPI} SELECT {S}, month, round(spi, 6) AS spi, CAST(3 AS INT) AS scale, 'normal' AS distribution FROM spi WHERE scenario = 'historical'", last=1999)
+@query(f"WITH {SPI} SELECT {S}, month, round(spi, 6) AS spi, CAST(3 AS INT) AS scale, 'normal' AS distribution, '1995-1999' AS baseline FROM spi", last=1999)
 def sink_spi_monthly(spark, d):
-    """Monthly SPI kept with its provenance; what is asked for and not held is computed, here all of it."""
+    """Monthly SPI kept with its provenance: history is stored first; what is asked for then and not held is computed and added, nothing twice."""
     path = scratch(spark, "spi")
-    rows = spi_values(spark, d).withColumn("scale", F.lit(3)).withColumn("distribution", F.lit("normal"))
-    io.write_partitioned(rows, path, "scale", "distribution", "scenario")
-    return spark.read.parquet(path).where("scale = 3 and distribution = 'normal' and scenario = 'historical'").select(*SERIES, "month", "spi", "scale", "distribution")
+    how = ["scale", "distribution", "baseline", "scenario"]
+    marked = spi_values(spark, d).withColumn("scale", F.lit(3)).withColumn("distribution", F.lit("normal")).withColumn("baseline", F.lit("1995-1999"))
+    io.write_partitioned(marked.where("scenario = 'historical'"), path, *how)
+    read = lambda: spark.read.schema(marked.schema).parquet(path)
+    wanted = panel(spark, d, 1999).select("scenario").distinct().select(F.lit(3).alias("scale"), F.lit("normal").alias("distribution"), F.lit("1995-1999").alias("baseline"), "scenario")
+    rest = io.missing_from(wanted, read(), how)
+    marked.join(rest, how, "left_semi").repartition(*how).write.mode("append").partitionBy(*how).parquet(path)
+    return read().select(*SERIES, "month", "spi", "scale", "distribution", "baseline")
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS time, user_id % 20 AS lat, user_id % 30 AS lon, event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 3 WHEN 0 THEN value * 1000 WHEN 1 THEN value * 86400 ELSE value END END AS mm FROM events)
+SELECT time, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CAST(year(time) AS INT) AS year, round(arg_min(mm, event_id) FILTER (mm IS NOT NULL), 6) AS value FROM e WHERE lat BETWEEN 5 AND 15 AND lon BETWEEN 3 AND 22 GROUP BY ALL""")
+def stage_reanalysis(spark, d):
+    """Events as readings in metres, a flux or mm, a fifth of them missing; written by year and read back."""
+    unit = F.element_at(F.array(F.lit("m"), F.lit("kg m-2 s-1"), F.lit("mm")), (F.col("event_id") % 3 + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", F.to_date("ts").alias("valid_time"), (F.col("user_id") % 20).cast("double").alias("latitude"), (F.col("user_id") % 30).cast("double").alias("longitude"), F.when(F.col("event_id") % 5 == 0, F.lit(-999.0)).otherwise(F.col("value")).alias("value"), unit.alias("units"))
+    path = scratch(spark, "staged")
+    io.write_partitioned(io.stage_reanalysis(e, 3.0, 5.0, 22.0, 15.0, "event_id"), path, "year")
+    return spark.read.parquet(path).select("time", "lat", "lon", "year", "value")
 
 
-@query("SELECT CAST(ts AS DATE) AS time, CAST(user_id % 20 AS DOUBLE) AS lat, CAST(user_id % 30 AS DOUBLE) AS lon, CAST(year(min(ts)) AS INT) AS year, count(*) > 0 AS kept FROM events WHERE user_id % 20 BETWEEN 5 AND 15 AND user_id % 30 BETWEEN 3 AND 22 GROUP BY 1, 2, 3")
-def stage_reanalysis(spark, d):
-    e = table(spark, d, "events").select(F.to_date("ts").alias("valid_time"), (F.col("user_id") % 20).cast("double").alias("latitude"), (F.col("user_id") % 30).cast("double").alias("longitude"), F.col("value"), F.lit("m").alias("units"))
-    return io.stage_reanalysis(e, 3.0, 5.0, 22.0, 15.0).select("time", "lat", "lon", "year", F.lit(True).alias("kept"))
+REPORT = "state, district, slug, scenario"
 
 
-@query(f"WITH {MASTER} SELECT state, district, slug, scenario, period, round(mean, 6) AS mean FROM master WHERE scenario <> 'historical'", last=1998)
+@query(f"""WITH {CASE_SQL} SELECT 'summary' AS kind, {REPORT}, '1999-2001' AS time, round(current, 6) AS value FROM p UNION ALL SELECT 'timeseries', {REPORT}, CAST(year AS VARCHAR), round(m, 6) FROM ye UNION ALL SELECT 'scenario_mean', {REPORT}, period, round(mean, 6) FROM master""", last=1998)
 def sink_case_study(spark, d):
+    """Summary, series and scenario means of every unit as CSV tables, read back as one."""
     path = scratch(spark, "case-study")
-    m = master(spark, d).where("scenario <> 'historical'").select(*UNIT, "slug", "scenario", "period", "mean")
-    m.write.csv(f"{path}/scenario_mean", header=True)
-    return io.scan_csv_table(spark, f"{path}/scenario_mean", "state string, district string, slug string, scenario string, period string, mean double")
-
+    y = yearly(spark, d)
+    m = ensemble.ensemble_stats(ensemble.period_mean(y, period_dim(spark), UNIT, min_years=3), UNIT)
+    parts = {
+        "summary": m.where("period = '1999-2001'").select(*UNIT, "slug", "scenario", F.col("period").alias("time"), F.coalesce("mean", "median").alias("value")),
+        "timeseries": y.groupBy(*UNIT, "slug", "scenario", F.col("year").cast("string").alias("time")).agg(F.avg("value").alias("value")),
+        "scenario_mean": m.select(*UNIT, "slug", "scenario", F.col("period").alias("time"), F.col("mean").alias("value")),
+    }
+    out = None
+    for kind, rows in parts.items():
+        rows.write.csv(f"{path}/{kind}", header=True)
+        back = io.scan_csv_table(spark, f"{path}/{kind}", "state string, district string, slug string, scenario string, time string, value double").withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out.select("kind", *UNIT, "slug", "scenario", "time", "value")

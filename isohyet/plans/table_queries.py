@@ -84,7 +84,15 @@ def ensemble_stats(spark, d):
 COLUMNS = [(s, c, p) for s in ("tx_mean", "hot_days", "prcptot") for c, p, _, _ in PERIODS]
 
 
-@query(f"WITH {MASTER} SELECT state, district, " + ", ".join(f"{'CAST(' if st == 'n_models' else 'round('}max({st}) FILTER (slug = '{s}' AND scenario = '{c}' AND period = '{p}'){' AS BIGINT)' if st == 'n_models' else ', 6)'} AS \"{s}__{c}__{p}__{st}\"" for s, c, p in COLUMNS for st in ("mean", "std", "median", "p05", "p95", "n_models")) + " FROM master GROUP BY ALL", last=1998)
+#: The master with its values per model as JSON text.
+MASTERV = f"""{MASTER}, vpm AS (SELECT slug, state, district, scenario, period, '{{' || string_agg('"' || model || '":' || CAST(round(value, 6) AS VARCHAR), ',' ORDER BY model) || '}}' AS vpm FROM pv WHERE value IS NOT NULL GROUP BY ALL),
+masterv AS (SELECT * FROM master LEFT JOIN vpm USING (slug, state, district, scenario, period))"""
+WIDE_SQL = (
+    f"WITH {MASTERV} SELECT state, district, " + ", ".join(f"{'CAST(' if st == 'n_models' else 'round('}max({st}) FILTER (slug = '{s}' AND scenario = '{c}' AND period = '{p}'){' AS BIGINT)' if st == 'n_models' else ', 6)'} AS \"{s}__{c}__{p}__{st}\"" for s, c, p in COLUMNS for st in ("mean", "std", "median", "p05", "p95", "n_models")) + ", " + ", ".join(f"max(vpm) FILTER (slug = '{s}' AND scenario = '{c}' AND period = '{p}') AS \"{s}__{c}__{p}__values_per_model\"" for s, c, p in COLUMNS) + " FROM masterv GROUP BY ALL"
+)
+
+
+@query(WIDE_SQL, last=1998)
 def wide_master(spark, d):
     return ensemble.wide_master(master(spark, d), UNIT, COLUMNS)
 
@@ -94,10 +102,11 @@ def unpivot_master(spark, d):
     return ensemble.unpivot_master(ensemble.wide_master(master(spark, d), UNIT, COLUMNS), UNIT).where("value is not null")
 
 
-@query(f"WITH {PV}, u AS (SELECT slug, state, district, scenario, period, string_agg(model || '=' || CAST(years_used_count AS VARCHAR), ',' ORDER BY model) AS models, count(*) AS n_models FROM pv GROUP BY ALL) SELECT * FROM u", last=1998)
+@query(f"WITH {PV} SELECT slug, state, district, scenario, period, model, round(value, 6) AS value FROM pv WHERE value IS NOT NULL", last=1998)
 def values_per_model(spark, d):
-    p = periods(spark, d).groupBy("slug", *UNIT, "scenario", "period").agg(F.array_sort(F.collect_list(F.concat_ws("=", "model", F.col("years_used_count").cast("string")))).alias("m"), F.count(F.lit(1)).alias("n_models"))
-    return p.select("slug", *UNIT, "scenario", "period", F.array_join("m", ",").alias("models"), "n_models")
+    """The values of each model out of the master's map, written as JSON and read again."""
+    text = master(spark, d).select("slug", *UNIT, "scenario", "period", F.to_json("values_per_model").alias("json"))
+    return text.select("slug", *UNIT, "scenario", "period", F.explode(F.from_json("json", "map<string,double>")).alias("model", "value"))
 
 
 SMA = "sma AS (SELECT slug, state, scenario, {t}, model, avg(value) AS value, count(DISTINCT district) AS n_units FROM {src} GROUP BY ALL)"
@@ -144,14 +153,16 @@ def trend_band_from_models(spark, d):
 
 
 @query(f"""WITH {YEARLY}, s AS (SELECT slug, state, scenario, year, model, avg(value) AS value FROM yearly GROUP BY ALL),
-b AS (SELECT slug, state, scenario, year, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.95) AS p95 FROM s GROUP BY ALL)
-SELECT slug, state, scenario, year, round(mean, 6) AS mean, round(median, 6) AS median, round(p05, 6) AS p05, round(p95, 6) AS p95 FROM b""", last=1998)
+b AS (SELECT slug, state, scenario, year, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.95) AS p95 FROM s GROUP BY ALL),
+h AS (SELECT slug, state, scenario, year, CASE WHEN year % 2 = 0 THEN mean + 1 END AS mean, CASE WHEN year % 2 = 0 THEN median + 1 END AS median, CASE WHEN year % 3 = 0 THEN p05 + 1 END AS p05, CASE WHEN year % 3 = 0 THEN p95 + 1 END AS p95 FROM b)
+SELECT slug, state, scenario, year, """ + ", ".join(f"round(coalesce(h.{c}, b.{c}), 6) AS {c}" for c in ("mean", "median", "p05", "p95")) + " FROM h JOIN b USING (slug, state, scenario, year)", last=1998)
 def fill_missing_band(spark, d):
-    """Every other year's band is taken out, then filled from the models."""
+    """A table of bands that differ from the models' by one and have holes: what is there stays, holes are filled from the models."""
     y = yearly(spark, d)
     keys = ["slug", "state", "scenario", "year"]
     band = y.groupBy(*keys, "model").agg(F.avg("value").alias("value")).groupBy(*keys).agg(*ensemble.ensemble_columns("value"))
-    holes = band.select(*keys, *[F.when(F.col("year") % 2 == 0, F.col(c)).alias(c) for c in ("mean", "median", "p05", "p95")])
+    every = {"mean": 2, "median": 2, "p05": 3, "p95": 3}
+    holes = band.select(*keys, *[F.when(F.col("year") % n == 0, F.col(c) + 1).alias(c) for c, n in every.items()])
     return ensemble.fill_missing_band(holes, y, keys)
 
 
@@ -200,9 +211,10 @@ def state_position(spark, d):
 
 
 @query(f"""WITH {MASTER}, g AS (SELECT slug, scenario, period, quantile_cont(mean, 0.02) AS lo, quantile_cont(mean, 0.98) AS hi, min(mean) AS lowest, max(mean) AS highest FROM master GROUP BY ALL)
-SELECT slug, scenario, period, round(CASE WHEN lo = hi THEN lo - greatest(abs(lo) * 0.1, 1) ELSE lo END, 6) AS vmin, round(CASE WHEN lo = hi THEN hi + greatest(abs(lo) * 0.1, 1) ELSE hi END, 6) AS vmax, round(lowest, 6) AS lowest, round(highest, 6) AS highest FROM g""", last=1998)
+SELECT slug, scenario, period, round(CASE WHEN lo = hi THEN lo - greatest(abs(lo) * 0.1, 1) ELSE lo END, 6) AS vmin, round(CASE WHEN lo = hi THEN hi + greatest(abs(lo) * 0.1, 1) ELSE hi END, 6) AS vmax, round(lowest, 6) AS lowest, round(highest, 6) AS highest,
+round(CASE WHEN lo = hi THEN lo - greatest(abs(lo) * 0.1, 1) * 1.2 ELSE lo - (hi - lo) * 0.1 END, 6) AS slider_low, round(CASE WHEN lo = hi THEN hi + greatest(abs(lo) * 0.1, 1) * 1.2 ELSE hi + (hi - lo) * 0.1 END, 6) AS slider_high FROM g""", last=1998)
 def robust_range(spark, d):
-    return ranking.robust_range(master(spark, d), ["slug", "scenario", "period"], "mean")
+    return ranking.slider_bounds(ranking.robust_range(master(spark, d), ["slug", "scenario", "period"], "mean"))
 
 
 @query(f"""WITH {MASTER}, g AS (SELECT slug, scenario, period, quantile_cont(mean, 0.02) AS lo, quantile_cont(mean, 0.98) AS hi FROM master GROUP BY ALL),
@@ -211,17 +223,41 @@ SELECT slug, state, district, scenario, period, CAST(least(greatest(floor((mean
 def bin_values(spark, d):
     m = master(spark, d)
     r = ranking.robust_range(m, ["slug", "scenario", "period"], "mean")
-    return m.join(F.broadcast(r), ["slug", "scenario", "period"]).select("slug", *UNIT, "scenario", "period", risk.bin_values(F.col("mean"), F.col("vmin"), F.col("vmax")).alias("bin"))
+    return m.join(r, ["slug", "scenario", "period"]).select("slug", *UNIT, "scenario", "period", risk.bin_values(F.col("mean"), F.col("vmin"), F.col("vmax")).alias("bin"))
 
 
-@query(f"WITH {MASTER} SELECT slug, state, district, arg_min(period, CASE WHEN period = '1996-1998' THEN '0' ELSE '1' || period END) AS baseline_period FROM master WHERE scenario = 'historical' GROUP BY ALL", last=1998)
+@query(f"""WITH {MASTER} SELECT slug, state, district, arg_min(period, CASE WHEN period = '1996-1998' THEN '0' ELSE '1' || period END) AS baseline_period, min(period) AS earliest,
+arg_min(period, CASE WHEN period = '1995-1998' THEN '0' WHEN period = '1996-1998' THEN '1' ELSE '2' || period END) AS of_list FROM master WHERE scenario = 'historical' GROUP BY ALL""", last=1998)
 def find_baseline_period(spark, d):
-    return ranking.find_baseline_period(master(spark, d), ["slug", *UNIT], ("1996_1998".replace("_", "-"),))
+    """Three rules: one preferred period, the earliest, and the first of a list."""
+    m, keys = master(spark, d), ["slug", *UNIT]
+    rules = {"baseline_period": ("1996-1998",), "earliest": (), "of_list": ("1985-1994", "1995_1998".replace("_", "-"), "1996-1998")}
+    parts = [ranking.find_baseline_period(m, keys, preferred).withColumnRenamed("baseline_period", name) for name, preferred in rules.items()]
+    return parts[0].join(parts[1], keys).join(parts[2], keys)
+
+
+ASKED = ("1999-2001", "1999_2001", "2000-2001", "1996-1997", "2030-2040", "none")
+
 
+@query(f"""WITH {MASTER}, h AS (SELECT DISTINCT slug, scenario, period FROM master), q AS (SELECT slug, scenario, asked FROM (SELECT DISTINCT slug FROM h), (SELECT DISTINCT scenario FROM h), (SELECT unnest({list(ASKED)}) AS asked)),
+m AS (SELECT q.slug, q.scenario, asked, period, CASE WHEN period = replace(asked, '_', '-') THEN 0 WHEN try_cast(left(period, 4) AS INT) <= try_cast(left(asked, 4) AS INT) AND try_cast(right(period, 4) AS INT) >= try_cast(right(asked, 4) AS INT) THEN 1 ELSE 2 END AS tier FROM q LEFT JOIN h USING (slug, scenario))
+SELECT slug, scenario, asked, 'mean' AS stat, arg_min(period, tier || period) AS period FROM m GROUP BY ALL""", last=1998)
+def resolve_metric_columns(spark, d):
+    """For every metric and scenario: periods that are there, in either spelling, that lie in one, and that are nowhere."""
+    have = master(spark, d).select("slug", "scenario", "period").distinct().withColumn("stat", F.lit("mean"))
+    asked = F.explode(F.array(*[F.lit(a) for a in ASKED]))
+    # metrics and scenarios are the few names of a master's columns
+    names = have.groupBy("stat").agg(F.collect_set("slug").alias("slugs"), F.collect_set("scenario").alias("scenarios"))
+    requests = names.select("stat", F.explode("slugs").alias("slug"), "scenarios").select("stat", "slug", F.explode("scenarios").alias("scenario")).select("slug", "scenario", asked.alias("asked"), "stat")
+    return ranking.resolve_metric_columns(have, requests)
 
-@query(f"WITH {MASTER} SELECT DISTINCT slug, scenario, '1999-2001' AS period, 'mean' AS stat FROM master WHERE slug = 'hot_days' AND scenario = 'ssp245' AND period = '1999-2001'", last=1998)
-def resolve_metric_column(spark, d):
-    return ranking.resolve_metric_column(master(spark, d).withColumn("stat", F.lit("mean")), "hot_days", "ssp245", "2000-2001", "mean")
+
+@query(f"WITH {YEARLY} SELECT slug, state, district, model, scenario, year, CAST(row_number() OVER (PARTITION BY slug, state, district, scenario, model ORDER BY year) AS INT) AS year_place, CAST(dense_rank() OVER (PARTITION BY slug, state, district, scenario ORDER BY lower(model)) AS INT) AS model_place FROM yearly", last=1998)
+def sorted_series(spark, d):
+    """Series by year and models by name, with the place that the order gives."""
+    unit = Window.partitionBy("slug", *UNIT, "scenario")
+    y = yearly(spark, d).select("slug", *K)
+    return y.withColumn("year_place", F.row_number().over(Window.partitionBy("slug", *UNIT, "scenario", "model").orderBy("year")).cast("int")).withColumn("model_place", F.dense_rank().over(unit.orderBy(F.lower("model"))).cast("int"))
 
 
 @query(f"""WITH {HOT}, r AS (SELECT *, {RANKED} FROM dl), g AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM dl)
@@ -330,12 +366,38 @@ def state_profile(spark, d):
     return cur.join(base, "state", "left").select("state", "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), F.rank().over(every).cast("int").alias("position"))
 
 
-@query(f"""WITH {CMP}, f AS (SELECT slug, scenario, state, district, round(coalesce(mean, median), 9) AS current FROM master WHERE period = '1999-2001'),
-p AS (SELECT *, rank() OVER (PARTITION BY slug, scenario, state ORDER BY current DESC) AS rk2, count(*) OVER (PARTITION BY slug, scenario, state) AS n FROM f)
-SELECT p.slug, p.scenario, p.state, p.district, round(current, 6) AS current, round(b.mean, 6) AS baseline, round(current - b.mean, 6) AS delta, CAST(rk2 AS INT) AS rank, n FROM p LEFT JOIN (SELECT * FROM v WHERE scenario = 'historical') b ON b.slug = p.slug AND b.state = p.state AND b.district = p.district""", last=1998)
+CASE_SQL = f"""{CMP}, f AS (SELECT slug, scenario, state, district, round(coalesce(mean, median), 9) AS current FROM master WHERE period = '1999-2001'),
+p AS (SELECT *, rank() OVER (PARTITION BY slug, scenario, state ORDER BY current DESC) AS rk2, count(*) OVER (PARTITION BY slug, scenario, state) AS n, count(*) OVER (PARTITION BY slug, scenario, state ORDER BY current RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100.0 / count(*) OVER (PARTITION BY slug, scenario, state) AS pc2 FROM f),
+ye AS (SELECT slug, state, district, scenario, year, avg(value) AS m FROM yearly GROUP BY ALL),
+se AS (SELECT slug, state, district, scenario, string_agg(year || ':' || CAST(round(m, 6) AS VARCHAR), ';' ORDER BY year) AS series FROM ye GROUP BY ALL),
+pa AS (SELECT slug, state, district, string_agg(scenario || ' ' || period || ':' || CAST(round(mean, 6) AS VARCHAR), ';' ORDER BY scenario, period) AS panel FROM master GROUP BY ALL)"""
+
+
+@query(f"""WITH {CASE_SQL} SELECT p.slug, p.scenario, p.state, p.district, round(current, 6) AS current, round(b.mean, 6) AS baseline, round(current - b.mean, 6) AS delta, CAST(rk2 AS INT) AS rank, n, round(pc2, 6) AS percentile, {RISK.format(p='pc2')} AS risk_class, se.series, pa.panel
+FROM p LEFT JOIN (SELECT * FROM v WHERE scenario = 'historical') b ON b.slug = p.slug AND b.state = p.state AND b.district = p.district LEFT JOIN se ON se.slug = p.slug AND se.scenario = p.scenario AND se.state = p.state AND se.district = p.district LEFT JOIN pa ON pa.slug = p.slug AND pa.state = p.state AND pa.district = p.district""", last=1998)
 def case_study(spark, d):
-    m = master(spark, d)
+    """For every unit, metric and scenario: current value (the median where there is no mean), baseline, difference, rank, percentile, risk, its yearly series and its panel of scenarios and periods."""
+    y = yearly(spark, d)
+    m = ensemble.ensemble_stats(ensemble.period_mean(y, period_dim(spark), UNIT, min_years=3), UNIT)
     cur = m.where("period = '1999-2001'").select("slug", "scenario", *UNIT, F.coalesce("mean", "median").alias("current"))
     base = m.where("scenario = 'historical' and period = '1995-1998'").select("slug", *UNIT, F.col("mean").alias("baseline"))
-    w = Window.partitionBy("slug", "scenario", "state")
-    return cur.withColumn("rank", F.rank().over(w.orderBy(ranking.tied("current").desc())).cast("int")).withColumn("n", F.count(F.lit(1)).over(w)).join(base, ["slug", *UNIT], "left").select("slug", "scenario", *UNIT, "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), "rank", "n")
+    shown = ranking.position_stats(cur, ["slug", "scenario", "state"], "current").withColumnsRenamed({"position": "rank", "position_percentile": "percentile"})
+    listed = lambda *x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*x))), lambda e: F.concat(*[e[c] if i == 0 else F.concat(F.lit(" "), e[c]) for i, c in enumerate(x[:-1])], F.lit(":"), F.round(e[x[-1]], 6).cast("string"))), ";")
+    series = y.groupBy("slug", *UNIT, "scenario", "year").agg(F.avg("value").alias("mean")).withColumn("year", F.col("year").cast("string")).groupBy("slug", *UNIT, "scenario").agg(listed("year", "mean").alias("series"))
+    panel_of = m.groupBy("slug", *UNIT).agg(listed("scenario", "period", "mean").alias("panel"))
+    out = shown.join(base, ["slug", *UNIT], "left").join(series, ["slug", *UNIT, "scenario"], "left").join(panel_of, ["slug", *UNIT], "left")
+    return out.select("slug", "scenario", *UNIT, "current", "baseline", risk.delta(F.col("current"), F.col("baseline")).alias("delta"), F.col("rank").cast("int").alias("rank"), "n", "percentile", risk.risk_class(F.col("percentile")).alias("risk_class"), "series", "panel")
+
+
+BLOCKS = "bp AS (SELECT state, district, block, model, scenario, CAST(year(date) AS INT) AS year, date, max(q) + 273.15 AS tasmax FROM obs GROUP BY ALL), by_ AS (SELECT state, district, block, model, scenario, year, CAST(count(*) FILTER (tasmax >= 303.15) AS DOUBLE) AS value FROM bp GROUP BY ALL), bu AS (SELECT state, district, block, round(avg(value), 9) AS value FROM by_ WHERE scenario = 'ssp245' GROUP BY ALL)"
+
+
+@query(f"""WITH {BLOCKS} SELECT a.state, a.district, a.block, round(any_value(a.value), 6) AS current, count(*) FILTER (b.value > a.value) + 1 AS rank_in_state, count(*) AS n_in_state, count(*) FILTER (b.district = a.district AND b.value > a.value) + 1 AS rank_in_district, count(*) FILTER (b.district = a.district) AS n_in_district,
+round(count(*) FILTER (b.district = a.district AND b.value <= a.value) * 100.0 / count(*) FILTER (b.district = a.district), 6) AS percentile_in_district FROM bu a JOIN bu b ON a.state = b.state GROUP BY ALL""", last=1998)
+def block_profile(spark, d):
+    """Blocks with their ranks in state and district."""
+    unit = [*UNIT, "block"]
+    y = registry.build(panel(spark, d, keys=[*unit, "model", "scenario"]), [*unit, "model"], ["hot_days"]).where("scenario = 'ssp245'")
+    rows = y.groupBy(*unit).agg(F.avg("value").alias("current"))
+    state = ranking.position_stats(rows, ["state"], "current").withColumnsRenamed({"position": "rank_in_state", "n": "n_in_state"}).drop("position_percentile")
+    return ranking.position_stats(state, UNIT, "current").withColumnsRenamed({"position": "rank_in_district", "n": "n_in_district", "position_percentile": "percentile_in_district"})

@@ -55,15 +55,27 @@ def scan_grid_daily(spark: SparkSession, path: str, variables: list[str], scenar
     return grid.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def scan_csv_table(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV table with a header under a given schema; fields that don't fit are null."""
-    return spark.read.csv(path, header=True, schema=schema, encoding=encoding, mode="PERMISSIVE", enforceSchema=False)
+def scan_csv_table(spark: SparkSession, path: str, schema: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """A CSV table with a header under a given schema, in the first of the encodings that all its text fits; fields that don't fit their type are null.
 
-
-def scan_table_filtered(spark: SparkSession, path: str, columns: list[str] | None = None, equal: dict | None = None) -> DataFrame:
-    """Columns of a partitioned Parquet table where columns equal values; both reach the scan."""
+    The last encoding is taken without a look: ISO-8859-1 fits any bytes.
+    """
+    read = lambda e: spark.read.csv(path, header=True, schema=schema, encoding=e, mode="PERMISSIVE", enforceSchema=False)
+    for encoding in encodings[:-1]:
+        rows = read(encoding)
+        texts = [c for c, t in rows.dtypes if t == "string"]
+        # bytes that don't fit are read as the replacement character
+        if not texts or rows.where(F.concat_ws("", *texts).contains("\ufffd")).isEmpty():
+            return rows
+    return read(encodings[-1])
+
+
+def scan_table_filtered(spark: SparkSession, path: str, columns: list[str] | None = None, filters: list[tuple[str, str, object]] | dict | None = None) -> DataFrame:
+    """Columns of a partitioned Parquet table where columns equal values, all of them; both reach the scan. Any operator but == is an error."""
     rows = spark.read.parquet(path)
-    for column, value in (equal or {}).items():
+    for column, op, value in [(c, "==", v) for c, v in filters.items()] if isinstance(filters, dict) else filters or []:
+        if op not in ("=", "=="):
+            raise ValueError(f"only equality filters are supported, not {op}")
         rows = rows.where(F.col(column) == F.lit(value))
     return rows.select(*columns) if columns else rows
 
@@ -78,14 +90,14 @@ def required_years(grid: DataFrame, variables: list[str], year: Column | None =
     return grid.where(F.col("var").isin(variables)).groupBy("model", "scenario", y.alias("year")).agg(F.count_distinct("var").alias("n")).where(F.col("n") == len(variables)).drop("n")
 
 
-def stage_reanalysis(rows: DataFrame, west: float, south: float, east: float, north: float, missing: float = -999.0) -> DataFrame:
-    """Daily rain in mm within a box, missing values as null, one row for each time and cell (the first value)."""
+def stage_reanalysis(rows: DataFrame, west: float, south: float, east: float, north: float, order: str, missing: float = -999.0) -> DataFrame:
+    """Daily rain in mm within a box, missing values as null, one row for each time and cell: the first value there is, by the order column."""
     from isohyet.functions.units import pr_to_mm_day
 
     inside = canonical_coordinates(rows).where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-    value = F.nullif(F.col("value"), F.lit(missing))
-    out = inside.withColumn("value", pr_to_mm_day(value, F.col("units"), staging=True))
-    return out.groupBy("time", "lat", "lon").agg(F.first("value", ignorenulls=True).alias("value")).withColumn("year", F.year("time"))
+    value = pr_to_mm_day(F.nullif(F.col("value"), F.lit(missing)), F.col("units"), staging=True)
+    first = F.min_by(value, F.when(value.isNotNull(), F.col(order)))
+    return inside.groupBy("time", "lat", "lon").agg(first.alias("value")).withColumn("year", F.year("time"))
 
 
 def infer_celsius(rows: DataFrame, source: str, date: str = "date", value: str = "value", units: str = "units") -> DataFrame:
@@ -94,7 +106,7 @@ def infer_celsius(rows: DataFrame, source: str, date: str = "date", value: str =
     probe = rows.join(first, source).where(F.array_contains("d", F.col(date))).groupBy(source).agg(F.median(value).alias("m"))
     u = F.lower(F.trim(units))
     kelvin = F.when(u.isin("k", "kelvin"), True).when(u.isin("c", "°c", "degc", "celsius"), False).otherwise(F.col("m") > 100)
-    return rows.join(F.broadcast(probe), source, "left").withColumn(value, F.when(kelvin, F.col(value) - 273.15).otherwise(F.col(value))).drop("m")
+    return rows.join(probe, source, "left").withColumn(value, F.when(kelvin, F.col(value) - 273.15).otherwise(F.col(value))).drop("m")
 
 
 def write_partitioned(rows: DataFrame, path: str, *columns: str) -> None:
