@@ -24,22 +24,25 @@ def alike(left: DataFrame, right: DataFrame, block: list[str], cutoff: float) ->
     difflib's ratio is at most twice the shorter length by the sum of both, so
     lengths must fit. Above a cutoff of 2/3, long names that reach it have two
     equal letters in a row in common (matching parts are fewer than matching
-    letters), and so has a name that contains another: they meet by bigrams.
-    Short names, and all at lower cutoffs, meet by lengths.
+    letters), and so has a name that contains another of two letters or more: they
+    meet by bigrams. Names of one letter meet those that hold it. Short names, and all at lower cutoffs, meet by lengths.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     both = [*block, "item", "a", "unit", "b"]
     by_gram = left.withColumn("g__", F.explode(grams("a"))).join(right.withColumn("g__", F.explode(grams("b"))), [*block, "g__"]).select(*both)
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
+    one_left = left.where(F.length("a") == 1).withColumn("g__", F.col("a")).join(right.withColumn("g__", letters("b")), [*block, "g__"]).select(*both)
+    one_right = right.where(F.length("b") == 1).withColumn("g__", F.col("b")).join(left.withColumn("g__", letters("a")), [*block, "g__"]).select(*both)
     short = 1 / (1.5 * cutoff - 1) if cutoff > 2 / 3 else None
     small = lambda rows, c: rows if short is None else rows.where(F.length(c) <= F.lit(short))
     least, most = F.ceil(F.length("a") * cutoff / (2 - cutoff) - 1e-9), F.floor(F.length("a") * (2 - cutoff) / cutoff + 1e-9)
     sized = small(left, "a").where("a <> ''").withColumn("n__", F.explode(F.sequence(least, most)))
     by_size = sized.join(small(right, "b").withColumn("n__", F.length("b").cast("long")), [*block, "n__"]).select(*both)
-    letters = F.aggregate(
+    common = F.aggregate(
         F.array_distinct(F.split("a", "")), F.lit(0),
         lambda n, c: n + F.least(F.length("a") - F.length(F.replace("a", c, F.lit(""))), F.length("b") - F.length(F.replace("b", c, F.lit("")))),
     )
-    return by_gram.unionByName(by_size).distinct().where((F.contains("a", "b") | F.contains("b", "a")) | (2 * letters >= F.lit(cutoff) * (F.length("a") + F.length("b"))))
+    return by_gram.unionByName(by_size).unionByName(one_left).unionByName(one_right).distinct().where((F.contains("a", "b") | F.contains("b", "a")) | (2 * common >= F.lit(cutoff) * (F.length("a") + F.length("b"))))
 
 
 def match_names(items: DataFrame, units: DataFrame, item: str, unit: str, block: list[str], cutoff: float = 0.7, aliases: dict[str, str] | None = None) -> DataFrame:

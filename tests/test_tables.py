@@ -1,11 +1,18 @@
 """Periods, ensembles, ranks, names, matching, geometry and SPI on small tables."""
 
+import datetime as dt
+import difflib
+import json
+import math
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import names, risk, units
 from isohyet.operators import ensemble, matching, ranking, spatial, spi
+from isohyet.sources import io
 
 
 def test_period_gate(spark):
@@ -137,3 +144,124 @@ def test_baseline_period(spark, rows):
     p = spark.createDataFrame([("s", *r) for r in rows], "slug string, scenario string, period string")
     assert ranking.find_baseline_period(p, ["slug"]).first().baseline_period == "1990_2010"
     assert ranking.find_baseline_period(p, ["slug"], ("2000-2020",)).first().baseline_period == "1990_2010"
+
+
+def test_ties_of_averages_that_differ_in_their_last_bits(spark):
+    rows = spark.createDataFrame([("A", "x", 5.222222222222221, 1.0), ("A", "y", 5.222222222222222, 1.0), ("A", "z", 1.0, None)], "state string, district string, value double, delta double")
+    table = {r.district: (r.rank_value, r.percentile, r.rank_delta) for r in ranking.rankings_table(rows, ["state"]).collect()}
+    assert table["x"] == table["y"] == (1, pytest.approx(250 / 3), 1) and table["z"] == (3, pytest.approx(100 / 3), None)
+    assert {r["rank"] for r in ranking.rank_in_group(rows, ["state"]).where("district <> 'z'").collect()} == {1}
+    assert {r.position for r in ranking.position_stats(rows, ["state"]).where("district <> 'z'").collect()} == {1}
+
+
+def test_position_by_direction(spark):
+    rows = spark.createDataFrame([("A", float(v)) for v in (1, 2, 2, 4)], "state string, value double")
+    at = lambda **k: {r.value: (r.position, r.position_percentile) for r in ranking.position_stats(rows, ["state"], **k).collect()}
+    assert at() == {1.0: (4, 25.0), 2.0: (2, 75.0), 4.0: (1, 100.0)}
+    assert at(inclusive=False) == {1.0: (4, 0.0), 2.0: (2, 25.0), 4.0: (1, 75.0)}
+    assert at(higher_is_worse=False) == {1.0: (1, 100.0), 2.0: (2, 75.0), 4.0: (4, 25.0)}
+    assert at(higher_is_worse=False, inclusive=False) == {1.0: (1, 75.0), 2.0: (2, 25.0), 4.0: (4, 0.0)}
+
+
+def test_top_increases_without_a_baseline(spark):
+    rows = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, None), ("c", 2.0, None)], "u string, value double, delta double")
+    assert [r.u for r in ranking.top_increases(rows, ["u"], 2).collect()] == ["b", "c"]
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.7, 0.72])
+def test_matching_equals_all_pairs(spark, cutoff):
+    """The best unit of each item against difflib over every pair of a block."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcd"), rng.integers(1, 14)))
+    units = [(s, word()) for s in "xy" for _ in range(25)]
+    items = [(s, u[: rng.integers(0, len(u) + 1)] + word()[: rng.integers(0, 3)] + u[rng.integers(0, len(u) + 1) :]) for s, u in units]
+    want = {}
+    for s, i in items:
+        scored = []
+        for t, u in units:
+            if s == t:
+                if i.strip() == u:
+                    scored.append((0, -1.0, u))
+                elif i and u and (i in u or u in i):
+                    scored.append((1, -1.0, u))
+                elif (ratio := difflib.SequenceMatcher(None, i, u).ratio()) >= cutoff:
+                    scored.append((2, -ratio, u))
+        want[(s, i)] = (min(scored)[2], min(scored)[0]) if scored else (None, None)
+    frame = lambda rows: spark.createDataFrame(rows, "state string, name string")
+    got = {(r.state, r.item): (r.unit, r.tier) for r in matching.match_names(frame(items), frame(units), "name", "name", ["state"], cutoff).collect()}
+    assert {k: (got[k], want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want) and sum(v[1] == 2 for v in want.values()) > 2
+
+
+def test_nearest_centre_equals_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    centres = [(f"u{i}", float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.random((30, 2)), 50 + rng.random((5, 2))]))] + [("far", 400.0, -300.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.random((40, 2)) * 3, rng.random((20, 2)) * 90 - 20, [[-900.0, 40.0]]]))]
+    c = spark.createDataFrame(centres, "unit_key string, cx double, cy double")
+    p = spark.createDataFrame([*points, (999, None, 1.0)], "id long, x double, y double")
+    got = {r.id: r.unit_key for r in spatial.nearest(p, c, "id", size=0.25).collect()}
+    assert got == {i: min(centres, key=lambda u: ((u[1] - x) ** 2 + (u[2] - y) ** 2, u[0]))[0] for i, x, y in points}
+    assert spatial.nearest(p, c.where("1 = 0"), "id").count() == 0
+
+
+def test_representative_points_are_inside(spark):
+    ring = "[[0,0],[10,0],[10,10],[9,10],[9,1],[1,1],[1,10],[0,10],[0,0]]"
+    e = spatial.explode_geojson(spark.createDataFrame([("cup", f'{{"type":"Polygon","coordinates":[{ring}]}}')], "unit_key string, geometry string"))
+    p = spatial.representative_points(e)
+    assert spatial.containing(p.withColumnRenamed("unit_key", "id"), e, "id").count() == 1
+
+
+def test_feature_collections(spark):
+    f = spark.createDataFrame([("s", "b", '{"type":"Point"}', None), ("s", "a", '{"type":"Point"}', 2.0), ("t", "c", None, 1.0)], "state string, unit string, geometry string, value double").withColumn("geometry", F.from_json("geometry", "type string"))
+    got = {r.state: json.loads(r.geojson) for r in io.feature_collections(f, "state", "geometry", ["unit", "value"], "unit").collect()}
+    assert [x["id"] for x in got["s"]["features"]] == ["a", "b"] and got["s"]["features"][1]["properties"] == {"unit": "b", "value": None}
+    assert got["t"]["type"] == "FeatureCollection" and got["t"]["features"][0]["geometry"] is None
+
+
+def test_portfolio_states(spark):
+    rows = spark.createDataFrame([("All", 0), ("goa", 2), ("Goa", 1), ("Kerala", 5), (None, 3)], "state string, place int")
+    assert {tuple(r) for r in matching.portfolio_states(rows, "state", "place", "Goa").collect()} == {("goa", "Goa"), ("kerala", "Kerala")}
+    assert [tuple(r) for r in matching.portfolio_states(rows.where("state = 'All'"), "state", "place", "Goa").collect()] == [("goa", "Goa")]
+
+
+def test_csv_encodings_and_filters(spark, tmp_path):
+    (tmp_path / "latin").mkdir()
+    (tmp_path / "latin" / "a.csv").write_bytes("name,v\nGoiás,1\nx,no\n".encode("latin-1"))
+    assert {tuple(r) for r in io.scan_csv_table(spark, str(tmp_path / "latin"), "name string, v int").collect()} == {("Goiás", 1), ("x", None)}
+    spark.range(4).selectExpr("id", "id % 2 as k").write.partitionBy("k").parquet(str(tmp_path / "t"))
+    assert io.scan_table_filtered(spark, str(tmp_path / "t"), ["id"], [("k", "==", 1)]).count() == 2
+    with pytest.raises(ValueError):
+        io.scan_table_filtered(spark, str(tmp_path / "t"), ["id"], [("k", ">", 1)])
+
+
+def test_spliced_series(spark):
+    month = lambda i: dt.date(2000 + i // 12, i % 12 + 1, 1)
+    rows = [("u", "historical", month(i), float(i)) for i in range(2, 50)] + [("u", "ssp", month(i), 100.0) for i in range(60, 96)]
+    rows += [("v", "historical", month(i), 1.0) for i in range(48) if i != 20] + [("w", "historical", month(i), 1.0) for i in range(24)]
+    got = {(r.unit, r.scenario, r.month): r.acc for r in spi.spliced(spark.createDataFrame(rows, "unit string, scenario string, month date, total double"), ["unit"], 3).collect()}
+    assert min(m for u, s, m in got if (u, s) == ("u", "historical")) == month(12) and max(m for u, s, m in got if (u, s) == ("u", "historical")) == month(47)
+    assert got[("u", "historical", month(12))] is None and got[("u", "historical", month(14))] == 12 + 13 + 14
+    assert got[("u", "ssp", month(60))] is None is got[("u", "ssp", month(61))] and got[("u", "ssp", month(62))] == 300.0
+    assert all(v is None for (u, _, _), v in got.items() if u == "v"), "a series with a gap has no sums"
+    assert all(v is None for (u, _, _), v in got.items() if u == "w"), "22 valid sums are too few"
+
+
+def test_pearson_and_gamma_agree_with_integration(spark):
+    """Both laws against densities summed over a fine grid."""
+    rng = np.random.default_rng(3)
+    rows = [("u", "historical", dt.date(1960 + i, 5, 1), float(v)) for i, v in enumerate(rng.gamma(4.0, 20.0, 60))]
+    acc = spark.createDataFrame(rows, "unit string, scenario string, month date, acc double")
+    grid = np.linspace(1e-9, 1200.0, 600_001)
+    p = spi.thom_gamma(acc, ["unit"], (1960, 2019)).first()
+    law = lambda x, k, s: np.trapezoid((d := grid[grid <= x]) ** (k - 1) * np.exp(-d / s), d) / (math.gamma(k) * s**k)
+    inv = statistics.NormalDist().inv_cdf
+    got = {r.month: r.spi for r in spi.transform(acc, spi.thom_gamma(acc, ["unit"], (1960, 2019)), ["unit"]).collect()}
+    assert all(abs(got[m] - inv(min(max(law(v, p["shape"], p["scale"]), 1e-6), 1 - 1e-6))) < 1e-3 for _, _, m, v in rows)
+    x = np.array([v for *_, v in rows])
+    mean, std = x.mean(), x.std(ddof=1)
+    skew = ((x - mean) ** 3).mean() / x.std() ** 3
+    params = spark.createDataFrame([("u", 5, float(mean), float(std), float(skew))], "unit string, moy int, mean double, std double, skew double")
+    k = 4 / skew**2
+    got = {r.month: r.spi for r in spi.pearson3(acc, params, ["unit"]).collect()}
+    for _, _, m, v in rows:
+        t = (v - mean) / std * np.sqrt(k) + k
+        assert abs(got[m] - inv(min(max(law(t * 20, k, 20.0), 1e-6), 1 - 1e-6))) < 1e-3
