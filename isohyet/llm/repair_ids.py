@@ -208,7 +208,7 @@ class WordCoder:
     the vocabulary fits 16 bits.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -410,7 +410,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", t
 
     def encode(batches):
         coder = _coder(path)
-        for batch in together(batches, 8 << 20):
+        for batch in together(batches, 4 << 20):
             ids = batch.column(0)
             at = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
             values, ends = coder.encode(batch.column(1))
