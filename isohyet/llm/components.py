@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm._common import cut, spread
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b), both long -> (node, root): root is the smallest node reached, itself included.
 
     Each round gives every node the neighbour (or itself) of the lowest random
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     names = None
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         if live.isEmpty():
             break
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("p"), F.col(c).alias("v"))
@@ -50,8 +52,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 .select("node", F.coalesce("up", "root").alias("root")),
                 "names",
             )
-    else:
-        raise RuntimeError("components did not settle")
     if names is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     least = names.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("low"))

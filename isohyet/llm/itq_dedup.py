@@ -45,7 +45,7 @@ def learn_codes(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarra
 
 def table_plan(n: int, least: float, recall: float = 0.97) -> tuple[int, int]:
     """(bits of a key, tables): keys grow with the logarithm of the input, so that a bucket keeps its size; tables are as many as find a pair at the least cosine with the given chance."""
-    width = min(24, max(8, math.ceil(math.log2(max(2, n) / 16))))
+    width = min(30, max(8, math.ceil(math.log2(max(2, n) / 16))))
     meet = (1 - math.acos(least) / math.pi) ** width
     return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
