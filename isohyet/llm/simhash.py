@@ -142,7 +142,7 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
             one = (turns[al] == turns[ah - 1]) & (turns[bl] == turns[bh - 1]) & (label[al] == label[bl])
             al, ah, bl, bh, depth, err = (x[~one] for x in (al, ah, bl, bh, depth, err))
             small = ((ah - al) * (bh - bl) <= leaf) | (depth >= 64)
-            for s in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) >> 13)):
+            for s in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) >> 11)):
                 if len(s):
                     na, nb = ah[s] - al[s], bh[s] - bl[s]
                     size = na * nb
@@ -306,7 +306,7 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
             cols["lanes"] = batch.column("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
             held.append(cols)
             n += batch.num_rows
-            if n >= 1 << 17:
+            if n >= 1 << 16:
                 cols = {k: np.concatenate([h[k] for h in held]) for k in cols}
                 last = np.flatnonzero(np.any([cols[k] != cols[k][-1] for k in keys], axis=0))
                 at = last[-1] + 1 if len(last) else 0  # the last root may go on in the next batch
