@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import byte_bpe, decontam, itq_dedup, line_dedup, pii, quality_qda, repair_ids, simhash, suffix_dedup, warc
+from isohyet.llm import byte_bpe, decontam, hard_negatives, itq_dedup, licenses, line_dedup, pii, quality_qda, repair_ids, simhash, suffix_dedup, warc, whitening
 from isohyet.llm._common import cut, table
 
 
@@ -69,8 +69,31 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    rows = out.select(F.col("id").alias("vec_id"), "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", parts)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        listed("base.label").alias("base_labels"), listed(F.concat("base.label", "found.label")).alias("labels"), "score",
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op10_itq, op2_pii, op3_suffix_dedup, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op10_itq, op11_whitening, op12_licenses, op13_hard_negatives, op2_pii, op3_suffix_dedup, op4_byte_bpe, op5_decontamination, op6_repair_ids, op7_line_dedup, op8_quality, op9_simhash)}
 
 
 OP1_SQL = """
@@ -100,6 +123,17 @@ SELECT doc_id, count(*) AS n_lines, count(d.k) FILTER (l.doc_id <> d.keep) AS n_
 FROM l LEFT JOIN d USING (k) GROUP BY doc_id
 """
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_itq": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_itq": OP10_SQL, "op13_hard_negatives": OP13_SQL}
