@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from isohyet.llm._common import cut, small_batches
 from isohyet.llm.itq_dedup import usual_size
-from isohyet.llm.simhash import NO_ID
 
 ANCHORS, SLICE = 1024, 4096  # rows of a block of anchors and of a slice of candidates, on the average
+NO_ID = (1 << 63) - 1  # stands for the null id: after all others
 STEP = 128  # anchors whose tables stay in cache together
 
 

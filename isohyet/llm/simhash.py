@@ -40,11 +40,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1
     return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
 
-def shingles(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
-    """(64-bit digest of the word sequence, sorted distinct 64-bit hashes of its word shingles); a shorter text is one shingle, no words none."""
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> tuple[bytes, np.ndarray]:
+    """(128-bit digest of the word sequence, sorted distinct 64-bit hashes of its word shingles); a shorter text is one shingle, no words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     line = b" ".join(parts)
-    node = xxhash.xxh3_64_intdigest(line)
+    node = xxhash.xxh3_128_digest(line)
     if not parts:
         return node, np.empty(0, np.uint64)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
@@ -106,8 +106,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
         label = settle(n, a[pick], b[pick], label)
 
 
-def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray, total: int, leaf: int = 256, links: str = "classes", known: np.ndarray | None = None, fits=None):
-    """Pairs under one root whose codes differ in at most budget bits, and in at most total bits over all lanes.
+def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: int, lanes: np.ndarray | None = None, total: int = 64, leaf: int = 256, links: str = "classes", known: np.ndarray | None = None, fits=None):
+    """Pairs under one root whose codes differ in at most budget bits, and, where lanes are given, in at most total bits over all lanes.
 
     code is sorted within each root, and the shared[i] leading bits of code are
     equal for all i of a root. Node pairs go down the trie together, level by
@@ -154,12 +154,15 @@ def trie_links(code: np.ndarray, root: np.ndarray, shared: np.ndarray, budget: i
                     if fits is not None:
                         good = fits(i, j)
                         i, j = i[good], j[good]
-                    good = np.bitwise_count(code[i] ^ code[j]) <= allowed
-                    i, j = i[good], j[good]
-                    bits = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
-                    good = bits <= total
-                    found.append((i[good], j[good], bits[good]))
-                    n_found += int(good.sum())
+                    bits = np.bitwise_count(code[i] ^ code[j]).astype(np.int64)
+                    good = bits <= allowed
+                    i, j, bits = i[good], j[good], bits[good]
+                    if lanes is not None:
+                        bits = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
+                        good = bits <= total
+                        i, j, bits = i[good], j[good], bits[good]
+                    found.append((i, j, bits))
+                    n_found += len(i)
                     if links != "pairs" and n_found > 1 << 20:
                         found = [_close(n, found, label)]
                         n_found = len(found[0][0])
@@ -257,9 +260,16 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
     set, so they meet under one root; a root is a key of the shuffle, its codes
     come sorted. A root of more than ``split`` codes (near copies with many
     codes) is dealt out as pairs of its parts, each a key of its own.
+
+    A row of a trie is a key, a node and the turned code; the other lanes are
+    looked at afterwards, for the links of a forest alone. Only "pairs", which is
+    asked for few nodes, takes them along, so that pairs beyond total never leave
+    a task.
     """
     sets = _roots(budget, n)
-    most = total if total is not None else 64 * lanes
+    along = links == "pairs" and total is not None and lanes > 1
+    if total is not None and lanes > 1 and links == "classes":
+        raise ValueError("classes are not pairs: a limit over all lanes needs forest or pairs")
     rows, depths = [], []
     for lane in range(lanes):
         for blocks in sets:
@@ -268,7 +278,8 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
             rows.append(turned)
             depths.append(width)
     extra = [c for c in ("known", "size", "shared") if c in codes.columns]
-    rows = codes.select("node", "lanes", *extra, F.posexplode(F.array(*rows)).alias("block", "turned"))
+    wide = ["lanes"] * along
+    rows = codes.select("node", *wide, *extra, F.posexplode(F.array(*rows)).alias("block", "turned"))
     width = F.element_at(F.array(*[F.lit(w) for w in depths]), F.col("block") + 1)
     rows = rows.withColumn("head", F.call_function("shiftrightunsigned", "turned", 64 - width))
     keys = ["block", "head"]
@@ -278,7 +289,7 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         rows = (
             rows.join(cut(large, "large-roots"), keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("node", "lanes", *extra, *keys, "turned", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+            .select("node", *wide, *extra, *keys, "turned", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         )
         keys += ["lo", "hi"]
     widths = np.array(depths)
@@ -292,7 +303,7 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         if similarity is not None:
             size, shared = cols["size"].astype(np.int64), cols["shared"].astype(np.int64)
             fits = lambda i, j: np.minimum(shared[i], shared[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
-        got = trie_links(cols["turned"].view(np.uint64), np.cumsum(change), widths[cols["block"]], budget, cols["lanes"], most, links=links, known=cols.get("known"), fits=fits)
+        got = trie_links(cols["turned"].view(np.uint64), np.cumsum(change), widths[cols["block"]], budget, cols.get("lanes"), total or 64, links=links, known=cols.get("known"), fits=fits)
         if links == "classes":
             far = np.flatnonzero(got != np.arange(len(got)))
             got = far, got[far]
@@ -303,7 +314,8 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         held, n = [], 0
         for batch in batches:
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["node", *extra, *keys, "turned"]}
-            cols["lanes"] = batch.column("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            if along:
+                cols["lanes"] = batch.column("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
             held.append(cols)
             n += batch.num_rows
             if n >= 1 << 16:
@@ -316,7 +328,12 @@ def hamming_links(codes: DataFrame, n: int, lanes: int = 1, budget: int = 4, tot
         if n:
             yield solve({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    if links != "forest" or total is None or lanes == 1:
+        return found
+    ends = [codes.select(F.col("node").alias(c), F.col("lanes").alias(f"lanes_{c}")) for c in "ab"]
+    bits = sum(F.bit_count(F.col("lanes_a")[i].bitwiseXOR(F.col("lanes_b")[i])) for i in range(lanes))
+    return found.distinct().join(ends[0], "a").join(ends[1], "b").where(bits <= total).select("a", "b")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
@@ -332,50 +349,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, lanes array<long>")
 
 
-#: Stands for the null id while classes are joined: the largest, so that it names no class with another id.
-NO_ID = (1 << 63) - 1
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, lanes: int = 1, total: int | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, lanes: int = 1) -> DataFrame:
     """(id, lanes, component) for each row: rows link as in hamming_links, components take the smallest id reachable.
 
     Words are maximal runs without ASCII white space, A-Z in lower case. Equal
-    fingerprints are one node, so copies cost nothing in the join. Null or empty
-    texts have fingerprint 0 and link like any other. Ids are integers; a null id
-    counts as the largest of all; where it is the only one, the component is null. Repeated rows
-    give repeated results; an empty table gives an empty table.
+    fingerprints are one node, so copies cost nothing in the join; nodes are
+    numbers, and ids come in only when the classes are there. Null or empty texts
+    have fingerprint 0 and link like any other. Every row is a document of its
+    own: rows of one id, or without one, are linked by their fingerprints alone.
+    Ids are integers; null ids name nothing: where there is no other in a class,
+    its component is null. Repeated rows give repeated results; an empty table
+    gives an empty table.
     """
     own = cut(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
-    nodes = cut(own.groupBy("lanes").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("low")), "nodes")
-    # texts of one id that differ share a node, so that classes stay whole
-    codes = nodes.select(F.col("low").alias("node"), "lanes")
-    roots = connected_components(hamming_links(codes, nodes.count(), lanes, budget, total))
-    classes = cut(nodes.join(roots.withColumnRenamed("node", "low"), "low", "left").select("lanes", F.nullif(F.coalesce("root", "low"), F.lit(NO_ID)).alias("component")), "classes")
-    return own.join(classes, "lanes").select("id", "lanes", "component")
+    nodes = cut(own.groupBy("lanes").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = connected_components(hamming_links(nodes.select("node", "lanes"), nodes.count(), lanes, budget))
+    named = nodes.join(roots, "node", "left").select("lanes", "low", F.coalesce("root", "node").alias("root"))
+    named = cut(named, "roots")
+    least = named.groupBy("root").agg(F.min("low").alias("component"))
+    classes = cut(named.join(spread(least), "root").select("lanes", "component"), "classes")
+    return own.join(spread(classes), "lanes").select("id", "lanes", "component")
 
 
 def shingle_codes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """(id long, node long, lanes array<long>) for each row: the digest of the word sequence and the MinHash bits of its shingles."""
+    """(id long, digest binary, lanes array<long>) for each row: the digest of the word sequence and the MinHash bits of its shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            node, sets = zip(*(shingles(t, words) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            digest, sets = zip(*(shingles(t, words) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), ())
             codes = np.array([minwise(h, lanes) for h in sets], np.uint64).reshape(-1)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))], names=["id", "node", "lanes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))], names=["id", "digest", "lanes"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, lanes array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, digest binary, lanes array<long>")
 
 
 def shingle_sets(asked: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(node, held) of the nodes asked for: the shingles of each as sorted 64-bit hashes."""
+    """(node, held) of the nodes asked for (node, digest): the shingles of each as sorted 64-bit hashes."""
 
     def texts(batches):
         for batch in batches:
             lines = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(0).to_pylist()]
-            node = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0)], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(line) for line in lines], pa.binary()), batch.column(0)], names=["digest", "text"])
 
     def sets(batches):
         for batch in batches:
@@ -383,7 +399,7 @@ def shingle_sets(asked: DataFrame, docs: DataFrame, text_col: str, words: int) -
             offsets = pa.array(np.cumsum([0] + [len(x) for x in got]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*got, np.empty(0, np.int64)])))], names=["node", "held"])
 
-    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "node long, text string").join(asked, "node", "left_semi")
+    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "digest binary, text string").join(spread(asked), "digest")
     return seen.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, held array<long>")
 
 
@@ -412,19 +428,21 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first a forest of them, close ones first, so that a large group of near
     copies costs a pair for each text; then every candidate that isn't within one
     confirmed component, but for pairs that can't be similar as one of them has
-    too many shingles that no other text has. Texts of the same words are one node. Rows of one id are
+    too many shingles that no other text has. Texts of the same words (by a
+    digest of 128 bits) are one node. Rows of one id are
     one document; rows with a null id stay. Null and empty texts hold the same
     (no) words and are copies. Repeated rows stay or go together; an empty table
     gives an empty table; other columns are carried, whatever their names.
     """
     own = cut(shingle_codes(docs, id_col, text_col, words, lanes), "codes")
-    nodes = cut(own.groupBy("node").agg(F.first("lanes").alias("lanes")), "nodes")
+    nodes = cut(own.groupBy("digest").agg(F.first("lanes").alias("lanes")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = cut(own.select("id", "digest").join(spread(nodes.select("digest", "node")), "digest").select("id", "node"), "own-nodes")
     mean = 64 * lanes * (1 - similarity) / 2
     far = int(np.ceil(mean + 3.3 * np.sqrt(mean * (1 + similarity) / 2)))
     n = nodes.count()
-    tried = cut(hamming_links(nodes, n, lanes, budget, far, "forest").distinct(), "tried")
+    tried = cut(hamming_links(nodes.select("node", "lanes"), n, lanes, budget, far, "forest"), "tried")
     # a node with a candidate is in the forest
-    asked = cut(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    asked = cut(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"), "asked")
     held = cut(shingle_sets(asked, docs, text_col, words), "shingles")
     first = cut(confirmed(tried, held, similarity), "links")
     known = connected_components(first)
