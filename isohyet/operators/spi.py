@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from isohyet.functions.special import gamma_cdf, normal_quantile
 from isohyet.operators.runs import rolling_sum
 
 
@@ -60,46 +55,24 @@ def _newton(k, s):
     return k - (F.ln(k) - _digamma(k) - s) / (1 / k - _trigamma(k))
 
 
-def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function, by series below shape + 1 and by continued fraction above."""
-    x, a = np.broadcast_arrays(np.maximum(x, 0.0), shape)
-    lead = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - np.array([math.lgamma(v) for v in a.ravel()]).reshape(a.shape))
-    term = total = 1 / a
-    for i in range(1, 300):
-        term = term * x / (a + i)
-        total = total + term
-    b = x + 1 - a
-    c = np.full_like(x, 1e300)
-    d = 1 / np.where(b == 0, 1e-300, b)
-    h = d.copy()
-    for i in range(1, 200):
-        an = -i * (i - a)
-        b = b + 2
-        d = 1 / np.where(an * d + b == 0, 1e-300, an * d + b)
-        c = np.where(b + an / c == 0, 1e-300, b + an / c)
-        h = h * d * c
-    return np.where(x <= 0, 0.0, np.where(x < a + 1, lead * total, 1 - lead * h)).clip(0, 1)
-
-
-@F.pandas_udf(T.DoubleType())
-def to_normal(x: pd.Series, q: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
-    """q + (1 - q) gamma(x), clipped, as a standard normal value; incomplete gamma and the normal quantile have no builtin."""
-    h = q + (1 - q) * gamma_cdf((x / scale).to_numpy(float, na_value=np.nan), shape.to_numpy(float, na_value=np.nan))
-    inv = NormalDist().inv_cdf
-    return h.clip(1e-6, 1 - 1e-6).map(lambda p: None if p != p else inv(p))
+LIMIT = 4.753424308822899  # the normal quantile of 1 - 1e-6
+
 
+def to_normal(h: Column) -> Column:
+    """A probability, clipped, as a standard normal value."""
+    return F.when(h.isNotNull(), normal_quantile(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), h))))
 
-LIMIT = 4.753424308822899  # the normal quantile of 1 - 1e-6
 
+def transform(acc: DataFrame, parameters: DataFrame, unit: list[str], keys: list[str] | None = None) -> DataFrame:
+    """spi of each month: by the gamma branch where it was fitted, else (x - mean) / std clipped alike. No parameters, no value.
 
-def transform(acc: DataFrame, parameters: DataFrame, unit: list[str]) -> DataFrame:
-    """spi of each month: by the gamma branch where it was fitted, else (x - mean) / std clipped alike. No parameters, no value."""
+    ``unit`` names the parameters; ``keys`` (unit and scenario, if not given) are what stays beside month, acc and spi.
+    """
     joined = acc.withColumn("moy", F.month("month")).join(parameters, [*unit, "moy"], "left")
     z = (F.col("acc") - F.col("mean")) / F.nullif("std", F.lit(0.0))
     plain = F.when(F.col("std") == 0, 0.0).when(z.isNotNull(), F.greatest(F.least(z, F.lit(LIMIT)), F.lit(-LIMIT)))
-    normal = joined.where("shape is null").withColumn("spi", plain)
-    gamma = joined.where("shape is not null").withColumn("spi", to_normal("acc", "q", "shape", "scale"))
-    return normal.unionByName(gamma).select(*unit, "scenario", "month", "acc", "spi")
+    gamma = to_normal(F.col("q") + (1 - F.col("q")) * gamma_cdf(F.col("acc") / F.col("scale"), F.col("shape")))
+    return joined.select(*(keys or [*unit, "scenario"]), "month", "acc", F.when(F.col("shape").isNull(), plain).otherwise(gamma).alias("spi"))
 
 
 def annualize(monthly: DataFrame, keys: list[str], least: int = 9, below: float = -1.0, above: float = 1.0) -> DataFrame:
@@ -112,24 +85,21 @@ def annualize(monthly: DataFrame, keys: list[str], least: int = 9, below: float
 
 
 def thom_gamma(acc: DataFrame, unit: list[str], baseline: tuple[int, int]) -> DataFrame:
-    """Closed-form gamma parameters by calendar month (Thom 1958), for the adapter's branch."""
-    return fit(acc, unit, baseline, least=2, gamma_least=2).withColumn("s", F.ln("pos_mean") - F.col("ln_mean")).withColumn("shape", (1 + F.sqrt(1 + 4 * F.col("s") / 3)) / (4 * F.nullif("s", F.lit(0.0)))).withColumn("scale", F.col("pos_mean") / F.col("shape"))
+    """Closed-form gamma parameters by calendar month (Thom 1958), for the adapter's branch; values without a spread have none."""
+    s = F.ln("pos_mean") - F.col("ln_mean")
+    shape = F.when(s > 1e-12, (1 + F.sqrt(1 + 4 * s / 3)) / (4 * s))
+    return fit(acc, unit, baseline, least=2, gamma_least=2).withColumn("shape", shape).withColumn("scale", F.col("pos_mean") / F.col("shape"))
 
 
 def pearson3(acc: DataFrame, parameters: DataFrame, unit: list[str]) -> DataFrame:
-    """spi by a Pearson III law from mean, deviation and skewness of each calendar month."""
-
-    @F.pandas_udf(T.DoubleType())
-    def normal(x: pd.Series, mean: pd.Series, std: pd.Series, skew: pd.Series) -> pd.Series:
-        g = np.where(np.abs(skew) < 1e-3, 1e-3, skew.to_numpy(float, na_value=np.nan))
-        shape = 4 / g**2
-        t = (x - mean).to_numpy(float, na_value=np.nan) / std.to_numpy(float, na_value=np.nan) * np.sign(g) * np.sqrt(shape) + shape
-        h = gamma_cdf(np.nan_to_num(t), shape)
-        h = np.where(g > 0, h, 1 - h).clip(1e-6, 1 - 1e-6)
-        inv = NormalDist().inv_cdf
-        return pd.Series([None if v != v else inv(p) for v, p in zip(t, h)], dtype="float64")
-
-    return acc.withColumn("moy", F.month("month")).join(parameters, [*unit, "moy"], "left").withColumn("spi", F.when((F.col("std") > 0) & F.col("acc").isNotNull(), normal("acc", "mean", "std", "skew"))).select(*unit, "scenario", "month", "acc", "spi")
+    """spi by a Pearson III law from mean, deviation and skewness of each calendar month; a skewness within 0.001 of 0 counts as 0.001."""
+    g = F.when(F.abs("skew") < 1e-3, 1e-3).otherwise(F.col("skew"))
+    shape = 4 / (g * g)
+    t = (F.col("acc") - F.col("mean")) / F.col("std") * F.signum(g) * F.sqrt(shape) + shape
+    law = gamma_cdf(t, shape)
+    h = F.when(g > 0, law).otherwise(1 - law)
+    joined = acc.withColumn("moy", F.month("month")).join(parameters, [*unit, "moy"], "left")
+    return joined.select(*unit, "scenario", "month", "acc", F.when((F.col("std") > 0) & F.col("acc").isNotNull(), to_normal(h)).alias("spi"))
 
 
 def diagnostics(monthly: DataFrame, keys: list[str], baseline: tuple[int, int]) -> DataFrame:

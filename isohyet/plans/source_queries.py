@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohyet.functions import names, units
+from isohyet.functions.special import gamma_cdf_sql, normal_quantile_sql
 from isohyet.operators import ensemble, matching, spatial, spi
 from isohyet.plans.catalog import query
 from isohyet.plans.index_queries import MONTHLY, monthly
@@ -199,12 +200,12 @@ def cells_to_units(spark, d):
     return grid(spark, d).where("var = 'tas'").join(bridge, "cell").groupBy(*SERIES, "date").agg(F.avg("value").alias("value"))
 
 
-@query(f"WITH {LONG}, t AS (SELECT * FROM grid WHERE var = 'tas'), p AS (SELECT * FROM grid WHERE var = 'pr') SELECT t.cell, t.model, t.scenario, t.date, round(t.value, 6) AS tas, round(p.value, 6) AS pr FROM t JOIN p USING (cell, model, scenario, date)", last=1998)
+@query("SELECT cell, model, scenario, date, round(avg(q) + 273.15, 6) AS tas, round(sum(q) FILTER (q > 5) / 10, 6) AS pr FROM obs GROUP BY ALL HAVING count(*) FILTER (q > 5) > 0", last=1998)
 def align_variables(spark, d):
-    g = grid(spark, d)
-    keys = ["cell", "model", "scenario", "date"]
-    tas = g.where("var = 'tas'").select(*keys, F.col("value").alias("tas"))
-    return tas.join(g.where("var = 'pr'").select(*keys, F.col("value").alias("pr")), keys)
+    """Cells' days that have both variables: one aggregate with a column for each, in place of a join of two."""
+    wet = F.when(F.col("q") > 5, F.col("q"))
+    both = observations(spark, d).groupBy("cell", "model", "scenario", "date").agg((F.avg("q") + 273.15).alias("tas"), (F.sum(wet) / 10).alias("pr"))
+    return both.where("tas is not null and pr is not null")
 
 
 @query("SELECT p.state, p.district, p.model, p.scenario, CAST(p.year AS INT) AS year, round(avg(p.tas) - any_value(b.m), 6) AS anomaly FROM panel p LEFT JOIN (SELECT state, district, model, avg(tas) AS m FROM panel WHERE scenario = 'historical' GROUP BY ALL) b USING (state, district, model) GROUP BY p.state, p.district, p.model, p.scenario, p.year", last=1998)
@@ -475,7 +476,38 @@ def spi_adapter_series(spark, d):
     return adapter_inputs(spark, d)
 
 
-@query()
+def _clipped(h: str) -> str:
+    return f"greatest(1e-6, least(1 - 1e-6, {h}))"
+
+
+def gamma_spi_sql(rows: str, unit: str, fit: str = "fit") -> str:
+    """spi of rows beside parameters n, q, mean, std, shape, scale: the quantile is taken of a column of its own."""
+    on = " AND ".join(f"r.{c} = {fit}.{c}" for c in unit.split(", "))
+    return f"""pr AS (SELECT r.*, mean, std, shape, CASE WHEN shape IS NOT NULL AND acc IS NOT NULL THEN {_clipped(f'q + (1 - q) * ({gamma_cdf_sql("(acc / scale)", "shape")})')} END AS h FROM {rows} r LEFT JOIN {fit} ON {on} AND month(r.month) = {fit}.moy),
+spi AS (SELECT *, CASE WHEN shape IS NOT NULL THEN {normal_quantile_sql('h')} WHEN std = 0 THEN 0 WHEN (acc - mean) / nullif(std, 0) IS NOT NULL THEN greatest(least((acc - mean) / nullif(std, 0), {spi.LIMIT}), -{spi.LIMIT}) END AS spi FROM pr)"""
+
+
+@query(f"WITH {POOLED}, fit AS (SELECT *, k3 AS shape, pm / k3 AS scale FROM k3), {gamma_spi_sql('acc', 'state')} SELECT {S}, month, round(acc, 6) AS acc, round(spi, 6) AS spi FROM spi", last=1999)
+def spi_transform_pooled(spark, d):
+    """Values by parameters of a state's districts and models together: months of 20 positive sums and more go by the gamma law."""
+    acc = accumulated(spark, d)
+    return spi.transform(acc, spi.fit(acc, ["state"], B5), ["state"], SERIES)
+
+
+THOM = """tb AS (SELECT state, district, model, CAST(month(month) AS INT) AS moy, avg(CASE WHEN acc = 0 THEN 1.0 ELSE 0.0 END) AS q, avg(acc) AS mean, stddev_pop(acc) AS std, avg(CASE WHEN acc > 0 THEN acc END) AS pm, ln(avg(CASE WHEN acc > 0 THEN acc END)) - avg(CASE WHEN acc > 0 THEN ln(acc) END) AS s
+  FROM ad WHERE scenario = 'historical' AND year(month) BETWEEN 1995 AND 1999 AND acc IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+ts AS (SELECT *, CASE WHEN s > 1e-12 THEN (1 + sqrt(1 + 4 * s / 3)) / (4 * s) END AS shape FROM tb), fit AS (SELECT *, pm / shape AS scale FROM ts)"""
+GAMMA_SQL = f"{ADAPTER}, {THOM}, {gamma_spi_sql('ad', 'state, district, model')}"
+PEARSON = f"""pb AS (SELECT state, district, model, month(month) AS moy, acc, avg(acc) OVER w AS mean, stddev_pop(acc) OVER w AS sp, stddev_samp(acc) OVER w AS std FROM ad WHERE scenario = 'historical' AND year(month) BETWEEN 1995 AND 1999 AND acc IS NOT NULL WINDOW w AS (PARTITION BY state, district, model, month(month))),
+pg AS (SELECT state, district, model, moy, any_value(mean) AS mean, any_value(std) AS std, avg((acc - mean) ** 3) / nullif(any_value(sp) ** 3, 0) AS skew FROM pb GROUP BY ALL),
+pk AS (SELECT *, CASE WHEN abs(skew) < 1e-3 THEN 1e-3 ELSE skew END AS g FROM pg),
+px AS (SELECT ad.*, std, g, 4 / (g * g) AS k, (acc - mean) / nullif(std, 0) * sign(g) * sqrt(4 / (g * g)) + 4 / (g * g) AS t FROM ad LEFT JOIN pk ON ad.state = pk.state AND ad.district = pk.district AND ad.model = pk.model AND month(ad.month) = pk.moy),
+pc AS (SELECT *, CASE WHEN std > 0 AND acc IS NOT NULL THEN {gamma_cdf_sql('t', 'k')} END AS law FROM px),
+ph AS (SELECT *, {_clipped('CASE WHEN g > 0 THEN law ELSE 1 - law END')} AS h FROM pc),
+pearson AS (SELECT {{S}}, month, acc, CASE WHEN law IS NOT NULL THEN {normal_quantile_sql('h')} END AS spi FROM ph)""".replace("{S}", S)
+
+
+@query(f"WITH {GAMMA_SQL} SELECT {S}, month, round(acc, 6) AS acc, round(spi, 6) AS spi FROM spi", last=1999)
 def spi_adapter_gamma(spark, d):
     a = adapter_inputs(spark, d)
     return spi.transform(a, spi.thom_gamma(a, UM, B5), UM)
@@ -488,16 +520,20 @@ def pearson_values(spark, d):
     return spi.pearson3(a, p, UM)
 
 
-@query()
+@query(f"WITH {ADAPTER}, {PEARSON} SELECT {S}, month, round(acc, 6) AS acc, round(spi, 5) AS spi FROM pearson", last=1999)
 def spi_adapter_pearson(spark, d):
-    return pearson_values(spark, d)
+    return pearson_values(spark, d).withColumn("spi", F.round("spi", 5))
 
 
-@query()
+@query(f"""WITH {GAMMA_SQL}, {PEARSON}, b AS (SELECT {S}, spi.spi AS g, pearson.spi AS p FROM spi JOIN pearson USING ({S}, month)),
+m AS (SELECT *, avg(g) FILTER (p IS NOT NULL) OVER w AS mg, avg(p) FILTER (g IS NOT NULL) OVER w AS mp FROM b WINDOW w AS (PARTITION BY {S}))
+SELECT {S}, round(avg((g - mg) * (p - mp)) / nullif(stddev_pop(g) * stddev_pop(p), 0), 5) AS correlation, count(*) AS n FROM m GROUP BY ALL""", last=1999)
 def spi_compare(spark, d):
+    """Correlation of the two laws over each series; months where one has no value don't count in it."""
     g = spi_adapter_gamma(spark, d)
     p = pearson_values(spark, d).select(*SERIES, "month", F.col("spi").alias("spi_p"))
-    return g.join(p, [*SERIES, "month"]).groupBy(*SERIES).agg((F.covar_pop("spi", "spi_p") / F.nullif(F.stddev_pop("spi") * F.stddev_pop("spi_p"), F.lit(0.0))).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    rows = g.join(p, [*SERIES, "month"]).groupBy(*SERIES)
+    return rows.agg(F.round(F.covar_pop("spi", "spi_p") / F.nullif(F.stddev_pop("spi") * F.stddev_pop("spi_p"), F.lit(0.0)), 5).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SPI} SELECT {S}, month, round(spi, 6) AS spi, CAST(3 AS INT) AS scale, 'normal' AS distribution, '1995-1999' AS baseline FROM spi", last=1999)
