@@ -43,7 +43,8 @@ def learn_codes(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarra
         parts.append(rotation)
         have += d
     projection = np.concatenate(parts, axis=1)[:, :bits]
-    return mean, projection, np.median(centred @ projection, axis=0)
+    middle = [np.median(centred @ projection[:, lo : lo + d], axis=0) for lo in range(0, bits, d)]
+    return mean, projection, np.concatenate(middle)
 
 
 def table_plan(n: int, least: float, recall: float = 0.97) -> tuple[int, int]:
@@ -64,21 +65,36 @@ def near_pairs(unit: np.ndarray, least: float, rng: np.random.Generator, anchors
     n, d = unit.shape
     at = rng.choice(n, min(n, anchors), replace=False)
     x = unit[at]
-    cosines = x @ unit.T
-    dense = np.argsort(np.argsort((cosines >= 0.8 * least).sum(axis=1), kind="stable")) * 5 // len(at)
+    crowd, i, j = np.zeros(len(at), np.int64), [], []
+    for lo in range(0, len(at), 128):
+        cosines = x[lo : lo + 128] @ unit.T
+        crowd[lo : lo + 128] = (cosines >= 0.8 * least).sum(axis=1)
+        a, b = np.nonzero((cosines >= least) & (cosines < least + 0.2 * (1 - least)))
+        i.append(a + lo)
+        j.append(b)
+    i, j = np.concatenate(i), np.concatenate(j)
+    dense = np.argsort(np.argsort(crowd, kind="stable")) * 5 // len(at)
     parts = []
     for kind, step in enumerate((rng.standard_normal(x.shape), unit[rng.integers(0, n, len(at))] - unit[rng.integers(0, n, len(at))])):
         step -= (step * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(step, axis=1)
         ok = size > 1e-9
         parts.append((x[ok], least * x[ok] + math.sqrt(1 - least * least) * step[ok] / size[ok, None], 5 * kind + dense[ok]))
-    i, j = np.nonzero((cosines >= least) & (cosines < least + 0.2 * (1 - least)))
     if len(i) >= 100:
         some = rng.choice(len(i), min(len(i), 5 * anchors), replace=False)
         parts.append((x[i[some]], unit[j[some]], 10 + dense[i[some]]))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def bits_of(unit: np.ndarray, codes: tuple, rows: int = 1024) -> np.ndarray:
+    """Bits of unit vectors, a thousand at a time: the projections are doubles, the bits are not."""
+    mean, projection, threshold = codes
+    out = np.empty((len(unit), len(threshold)), bool)
+    for lo in range(0, len(unit), rows):
+        np.greater_equal((unit[lo : lo + rows] - mean) @ projection, threshold, out=out[lo : lo + rows])
+    return out
+
+
 def measured_plan(n: int, sample: np.ndarray, least: float, recall: float = 0.97, most: int = 128):
     """(bits of a key, tables, codes): tables are as many as find, by the learnt bits, the wanted share of near pairs in the worst group.
 
@@ -91,8 +107,8 @@ def measured_plan(n: int, sample: np.ndarray, least: float, recall: float = 0.97
         return 1, 1, (np.zeros(sample.shape[1]), np.zeros((sample.shape[1], 1)), np.ones(1))
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     a, b, group = near_pairs(unit, least, np.random.default_rng(3))
-    mean, projection, threshold = learn_codes(sample, width * most)
-    same = ((a - mean) @ projection >= threshold) == ((b - mean) @ projection >= threshold)
+    mean, projection, threshold = codes = learn_codes(sample, width * most)
+    same = bits_of(a, codes) == bits_of(b, codes)
     groups = [group == g for g in np.unique(group) if (group == g).sum() >= 20] or [np.ones(len(group), bool)]
     while True:
         usable = min(most, same.shape[1] // width)
@@ -112,9 +128,8 @@ def code_bound(sample: np.ndarray, signature: tuple, least: float) -> int:
     """Most bits of the signature in which near pairs differ: two more than any pair of near_pairs does."""
     if len(sample) < FEW:
         return SIGNATURE
-    mean, projection, threshold = signature
     a, b, _ = near_pairs(sample / np.linalg.norm(sample, axis=1, keepdims=True), least, np.random.default_rng(3))
-    apart = ((a - mean) @ projection >= threshold) != ((b - mean) @ projection >= threshold)
+    apart = bits_of(a, signature) != bits_of(b, signature)
     return int(apart.sum(axis=1).max(initial=SIGNATURE - 2 if not len(a) else 0)) + 2
 
 
