@@ -58,33 +58,56 @@ def baseline_of(days: DataFrame, unit: list[str], first: int, last: int) -> Data
     return days.where((F.col("scenario") == "historical") & F.col("year").between(first, last) & not_feb29(F.col("date"))).drop("scenario")
 
 
+def against_thresholds(
+    days: DataFrame, unit: list[str], baseline: tuple[int, int], exceed: dict[str, tuple] | None = None, spells: dict[str, tuple] | None = None,
+    peaks: dict[str, tuple] | None = None, ge: bool = True, window: int = 5,
+) -> DataFrame:
+    """unit, scenario, year, n_days, and a column for each index against the thresholds of the day of the year, all of them in one pass.
+
+    exceed: name -> (value, q, above), per cent of days beyond; a day without a
+    threshold isn't beyond but counts. spells: name -> (value, q, above, least), a
+    struct of longest, days_in_runs and events; nulls without a baseline. peaks:
+    name -> (value, q, least), a struct of magnitude and peak of the hottest
+    spell; nulls without one. Thresholds of a value and quantile are made once
+    for all of them, and a year's days are looked at in order where they lie.
+    """
+    exceed, spells, peaks = exceed or {}, spells or {}, peaks or {}
+    asked = dict.fromkeys([*((v, q) for v, q, _ in exceed.values()), *((v, q) for v, q, *_ in spells.values()), *((v, q) for v, q, _ in peaks.values())])
+    names = {(v, q): f"limit{i}__" for i, (v, q) in enumerate(asked)}
+    arrays = thresholds.doy_arrays(baseline_of(days, unit, *baseline), unit, {n: vq for vq, n in names.items()}, window)
+    met = thresholds.attach_arrays(days, arrays, unit, list(names.values()))
+    keys = [*unit, "scenario", "year"]
+
+    def beyond(v, t, above):
+        return (v >= t if ge else v > t) if above else (v <= t if ge else v < t)
+
+    share = lambda v, q, above: F.avg(F.coalesce(beyond(F.col(v), F.col(names[v, q]), above), F.lit(False)).cast("int")) * 100
+    ordered = sorted({c for v, q, *_ in [*spells.values(), *peaks.values()] for c in (v, names[v, q])})
+    grouped = met.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_days"), F.max("known__").alias("known__"), *[share(*x).alias(name) for name, x in exceed.items()], *([runs.in_order("date", *ordered).alias("days__")] if ordered else []),
+    )
+    run = lambda v, q, above, least: runs.folded_runs(F.col("days__"), lambda d: beyond(d[v], d[names[v, q]], above), least)
+    peak = lambda v, q, least: runs.folded_peak(F.col("days__"), lambda d: d[v], lambda d: d[names[v, q]], least)
+    return grouped.select(
+        *keys, "n_days", *exceed, *[F.when(F.col("known__"), run(*x)).alias(name) for name, x in spells.items()], *[peak(*x).alias(name) for name, x in peaks.items()],
+    )
+
+
 def doy_exceedance(days: DataFrame, unit: list[str], value: str, q: float, baseline: tuple[int, int], above: bool = True, ge: bool = True, window: int = 5) -> DataFrame:
     """TX90p and its relatives: per cent of days at or beyond the threshold of their day of the year. A day without a threshold isn't beyond but counts."""
-    limits = thresholds.doy_thresholds(baseline_of(days, unit, *baseline), unit, value, q, window)
-    v, t = F.col(value), F.col("threshold")
-    beyond = (v >= t if ge else v > t) if above else (v <= t if ge else v < t)
-    return thresholds.attach(days, limits, unit).groupBy(*unit, "scenario", "year").agg((F.avg(F.coalesce(beyond, F.lit(False)).cast("int")) * 100).alias("pct_days"))
+    return against_thresholds(days, unit, baseline, exceed={"pct_days": (value, q, above)}, ge=ge, window=window).drop("n_days")
 
 
 def spell_days(days: DataFrame, unit: list[str], value: str, q: float, baseline: tuple[int, int], above: bool = True, least: int = 6, window: int = 5) -> DataFrame:
     """keys, n_days, longest, days_in_runs, events against the threshold of the day of the year: WSDI, CSDI and heatwave measures. Models without a baseline have nulls."""
-    limits = thresholds.doy_thresholds(baseline_of(days, unit, *baseline), unit, value, q, window)
-    keys = [*unit, "scenario", "year"]
-    with_limits = thresholds.attach(days, limits, unit)
-    beyond = F.col(value) >= F.col("threshold") if above else F.col(value) <= F.col("threshold")
-    out = runs.run_stats(with_limits, keys, beyond, least)
-    some = limits.select(*unit).distinct().withColumn("some__", F.lit(True))
-    known = F.col("some__").isNotNull()
-    return out.join(some, unit, "left").select(*keys, "n_days", *[F.when(known, F.col(c)).cast("double").alias(c) for c in ("longest", "days_in_runs", "events")])
+    out = against_thresholds(days, unit, baseline, spells={"s__": (value, q, above, least)}, window=window)
+    return out.select(*unit, "scenario", "year", "n_days", *[F.col(f"s__.{c}").cast("double").alias(c) for c in ("longest", "days_in_runs", "events")])
 
 
 def heatwave_peaks(days: DataFrame, unit: list[str], value: str, q: float, baseline: tuple[int, int], least: int = 5, window: int = 5) -> DataFrame:
     """keys, amplitude (peak of the hottest spell in °C), magnitude (its mean exceedance); null in years without a spell."""
-    limits = thresholds.doy_thresholds(baseline_of(days, unit, *baseline), unit, value, q, window)
-    keys = [*unit, "scenario", "year"]
-    with_limits = thresholds.attach(days, limits, unit)
-    hot = runs.hottest_spell(with_limits, keys, value, "threshold", least)
-    return with_limits.select(*keys).distinct().join(hot, keys, "left").select(*keys, (F.col("peak") - KELVIN).alias("amplitude"), "magnitude")
+    out = against_thresholds(days, unit, baseline, peaks={"p__": (value, q, least)}, window=window)
+    return out.select(*unit, "scenario", "year", (F.col("p__.peak") - KELVIN).alias("amplitude"), F.col("p__.magnitude").alias("magnitude"))
 
 
 def heatwave_delta(days: DataFrame, unit: list[str], value: str, baseline: tuple[int, int], plus: float = 5.0, floor: float = 313.15, least: int = 5) -> DataFrame:
@@ -143,15 +166,16 @@ def rain_indices(days: DataFrame, keys: list[str], value: str = "pr", wet: float
 def rx5day(days: DataFrame, keys: list[str], value: str = "pr", limit: float = 50.0, least: int = 1, rows: int = 5) -> DataFrame:
     """Greatest sum of ``rows`` days, and the number of runs of such sums at or above the limit."""
     summed = runs.rolling_sum(days, keys, value, rows, "date", "sum5").where("sum5 is not null")
-    top = summed.groupBy(*keys).agg(F.max("sum5").alias("rx5day"))
-    return top.join(runs.run_stats(summed, keys, F.col("sum5") >= limit, least).select(*keys, F.col("events").cast("double").alias("rx5day_events")), keys)
+    year = summed.groupBy(*keys).agg(F.max("sum5").alias("rx5day"), runs.in_order("date", "sum5").alias("days__"))
+    return year.select(*keys, "rx5day", runs.folded_runs(F.col("days__"), lambda d: d["sum5"] >= limit, least)["events"].cast("double").alias("rx5day_events"))
 
 
 def wet_and_dry_runs(days: DataFrame, keys: list[str], value: str = "pr", wet: float = 1.0, dry_least: int = 6) -> DataFrame:
     """Longest wet run, longest dry run, and the number of dry runs of at least dry_least days."""
-    w = runs.run_stats(days, keys, F.col(value) >= wet).select(*keys, F.col("longest").cast("double").alias("cwd"))
-    lengths = runs.run_lengths(days, keys, F.col(value) < wet).groupBy(*keys).agg(F.max("length").cast("double").alias("cdd"), count_if(F.col("length") >= dry_least).alias("dry_events"))
-    return w.join(lengths, keys, "left").na.fill(0.0, ["cdd", "dry_events"])
+    year = days.groupBy(*keys).agg(runs.in_order("date", value).alias("days__"))
+    run = lambda flag, least: runs.folded_runs(F.col("days__"), flag, least)
+    is_wet, is_dry = (lambda d: d[value] >= wet), (lambda d: d[value] < wet)
+    return year.select(*keys, run(is_wet, 1)["longest"].cast("double").alias("cwd"), run(is_dry, 1)["longest"].cast("double").alias("cdd"), run(is_dry, dry_least)["events"].cast("double").alias("dry_events"))
 
 
 def r95p(days: DataFrame, unit: list[str], baseline: tuple[int, int], value: str = "pr", wet: float = 1.0, q: float = 0.95) -> DataFrame:

@@ -207,10 +207,7 @@ def _keys(u: list[str]) -> list[str]:
 
 #: Kinds with a plan of their own: (days, unit, metric, baseline) -> unit, scenario, year and the columns that its metrics name.
 BUILDERS: dict[str, Callable] = {
-    "doy_exceedance": lambda d, u, m, b: indices.doy_exceedance(d, u, m.var, m.params["q"], b, m.params.get("above", True)).withColumnRenamed("pct_days", "value"),
     "wet_bulb": lambda d, u, m, b: indices.wet_bulb_indices(d, _keys(u), m.params.get("hot", 30.0), m.params.get("near", 3.0)),
-    "spells": lambda d, u, m, b: indices.spell_days(d, u, m.var, m.params["q"], b, m.params.get("above", True), m.params["least"]),
-    "heatwave_peak": lambda d, u, m, b: indices.heatwave_peaks(d, u, m.var, m.params["q"], b, m.params["least"]),
     "seasonal_mean": lambda d, u, m, b: indices.seasonal_mean(d, _keys(u), m.var, m.params["months"]).withColumnRenamed("seasonal_mean", "value"),
     "range": lambda d, u, m, b: indices.temperature_ranges(d, _keys(u)),
     "growing_season": lambda d, u, m, b: indices.growing_season_length(d, _keys(u), m.var, m.params["limit"], m.params["least"]).withColumnRenamed("gsl", "value"),
@@ -220,6 +217,27 @@ BUILDERS: dict[str, Callable] = {
     "spi": lambda d, u, m, b: _spi(d, u, m, b, 9),
 }
 
+#: Kinds against thresholds of the day of the year: all of them share one pass and one set of thresholds.
+DOY = ("doy_exceedance", "spells", "heatwave_peak")
+
+
+def _doy(days: DataFrame, unit: list[str], metrics: list[Metric], baseline: tuple[int, int]) -> DataFrame:
+    """keys and a column for each metric of the DOY kinds."""
+    of = lambda kind: [m for m in metrics if m.kind == kind]
+    spell = lambda m: (m.var, m.params["q"], m.params.get("above", True), m.params["least"])
+    peak = lambda m: (m.var, m.params["q"], m.params["least"])
+    names = {x: f"c{i}__" for i, x in enumerate(dict.fromkeys([*map(spell, of("spells")), *map(peak, of("heatwave_peak"))]))}
+    made = indices.against_thresholds(
+        days, unit, baseline, {m.slug: (m.var, m.params["q"], m.params.get("above", True)) for m in of("doy_exceedance")},
+        {names[x]: x for x in map(spell, of("spells"))}, {names[x]: x for x in map(peak, of("heatwave_peak"))},
+    )
+    column = lambda m: m.params.get("column", "value")
+    of_peak = lambda m: F.col(names[peak(m)])["magnitude"] if column(m) == "magnitude" else F.col(names[peak(m)])["peak"] - KELVIN
+    return made.select(
+        *_keys(unit), *[m.slug for m in of("doy_exceedance")], *[F.col(names[spell(m)])[column(m)].cast("double").alias(m.slug) for m in of("spells")], *[of_peak(m).alias(m.slug) for m in of("heatwave_peak")],
+    )
+
+
 #: Metrics that users added, by slug.
 ADDED: dict[str, Metric] = {}
 
@@ -234,13 +252,13 @@ def register(metric: Metric, aggregate: Callable | None = None, plan: Callable |
     if metric.slug in ADDED or any(m.slug == metric.slug for m in METRICS):
         raise ValueError(f"the metric {metric.slug} is there already")
     if aggregate is not None or plan is not None:
-        if metric.kind in PLAIN or metric.kind in BUILDERS:
+        if metric.kind in PLAIN or metric.kind in BUILDERS or metric.kind in DOY:
             raise ValueError(f"the kind {metric.kind} is there already")
         if plan is not None:
             BUILDERS[metric.kind] = plan
         else:
             PLAIN[metric.kind] = aggregate
-    if metric.kind not in PLAIN and metric.kind not in BUILDERS:
+    if metric.kind not in PLAIN and metric.kind not in BUILDERS and metric.kind not in DOY:
         raise ValueError(f"the kind {metric.kind} has no function")
     ADDED[metric.slug] = metric
     return metric
@@ -256,8 +274,9 @@ def build(days: DataFrame, unit: list[str], slugs: list[str] | None = None, base
     """slug, unit, scenario, year, value of the metrics asked for, by slug, registered ones too (all of METRICS if none are named).
 
     unit holds the model; days should be a stored table if more than one builder
-    runs. Plain metrics share one grouped pass; metrics that differ only in the
-    column they take share one run of their builder. A year that a metric has no
+    runs. Plain metrics share one grouped pass, those against thresholds of the
+    day of the year another; metrics that differ only in the column they take
+    share one run of their builder. A year that a metric has no
     value for keeps its row with a null. An unknown slug is an error.
     """
     every = {m.slug: m for m in METRICS} | ADDED
@@ -271,6 +290,9 @@ def build(days: DataFrame, unit: list[str], slugs: list[str] | None = None, base
     if plain:
         wide = days.groupBy(*keys).agg(*[PLAIN[m.kind](F.col(m.var), m.params).alias(m.slug) for m in plain])
         parts.append(wide.unpivot(keys, [m.slug for m in plain], "slug", "value"))
+    by_doy = [m for m in wanted if m.kind in DOY]
+    if by_doy:
+        parts.append(_doy(days, unit, by_doy, baseline).unpivot(keys, [m.slug for m in by_doy], "slug", "value"))
     runs: dict[tuple, list[Metric]] = {}
     for m in wanted:
         if m.kind in BUILDERS:

@@ -1,6 +1,7 @@
 """Known answers on synthetic daily series."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,38 @@ def test_hottest_spell_takes_the_first_of_equals(spark):
     days = series(spark, [1] * 3 + [9] * 5 + [1] * 3 + [9] * 5 + [12], var="v").withColumn("t", F.lit(5.0))
     got = runs.hottest_spell(days, K, "v", "t", 5).first()
     assert got.peak == 12 and abs(got.magnitude - 4.5) < 1e-9
+
+
+def test_folds_equal_islands(spark):
+    """Runs and peaks folded over a year's days in order, against windows over the same days."""
+    rng = random.Random(4)
+    rows = [(u, dt.date(2001, 1, 1) + dt.timedelta(i), rng.choice([None, 1.0, 2.0, 3.0, 3.5])) for u in range(8) for i in range(90) if rng.random() < 0.9]
+    days = spark.createDataFrame(rows, "u int, date date, v double").withColumn("t", F.lit(2.0)).cache()
+    year = days.groupBy("u").agg(runs.in_order("date", "v", "t").alias("d"))
+    for least in (1, 2, 4, 40):
+        got = year.select("u", runs.folded_runs(F.col("d"), lambda x: x["v"] >= 2.0, least).alias("r")).select("u", "r.*").collect()
+        want = runs.run_stats(days, ["u"], F.col("v") >= 2.0, least).select("u", "longest", "days_in_runs", "events").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        peaks = {r.u: (r.p.magnitude, r.p.peak) for r in year.select("u", runs.folded_peak(F.col("d"), lambda x: x["v"], lambda x: x["t"], least).alias("p")).collect()}
+        hot = {r.u: (r.magnitude, r.peak) for r in runs.hottest_spell(days, ["u"], "v", "t", least).collect()}
+        for u, (m, p) in peaks.items():
+            assert (m, p) == (None, None) if u not in hot else (abs(m - hot[u][0]) < 1e-12 and p == hot[u][1])
+
+
+def test_thresholds_of_all_values_and_quantiles(spark):
+    """One structure for two values and three quantiles, over a year with holes, against a plain reading."""
+    rng = random.Random(5)
+    rows = [(m, dt.date(y, 1, 1) + dt.timedelta(i), float(rng.randint(0, 40)), rng.choice([None, 1.5, 2.5])) for m in "ab" for y in (2000, 2001) for i in range(366) if not 100 <= i < 110 and rng.random() < 0.7]
+    base = spark.createDataFrame(rows, "m string, date date, x double, y double")
+    wanted = {"x9": ("x", 0.9), "x1": ("x", 0.1), "y5": ("y", 0.5)}
+    got = {r.m: r for r in thresholds.doy_arrays(base, ["m"], wanted).collect()}
+    for m in "ab":
+        held = {}
+        for mm, date, x, y in rows:
+            if mm == m and not (date.month == 2 and date.day == 29):
+                doy = date.timetuple().tm_yday - (date.year == 2000 and date.month > 2)
+                held.setdefault(doy, []).append((x, y))
+        for name, (v, q) in wanted.items():
+            for doy in range(1, 366):
+                near = sorted(p["xy".index(v)] for o in range(-2, 3) for p in held.get((doy - 1 + o) % 365 + 1, []) if p["xy".index(v)] is not None)
+                assert got[m][name][doy - 1] == (near[round((len(near) - 1) * q)] if near else None)

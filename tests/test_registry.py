@@ -12,7 +12,7 @@ from isohyet.plans.catalog import QUERIES
 def test_registry():
     slugs = [m.slug for m in registry.METRICS]
     assert len(slugs) == len(set(slugs)) == 55
-    assert all(m.kind in registry.PLAIN or m.kind in registry.BUILDERS for m in registry.METRICS)
+    assert all(m.kind in registry.PLAIN or m.kind in registry.BUILDERS or m.kind in registry.DOY for m in registry.METRICS)
     assert {s for b in registry.BUNDLES.values() for s in b} <= set(slugs)
     assert [m.slug for m in registry.METRICS if not m.higher_is_worse] == ["gsl_growing_season", "spi3_drought_index", "spi6_drought_index", "spi12_drought_index"]
 
