@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.operators.order_stats import exact_quantiles
+
 PLACES = 9  # values that agree to so many places are ties: averages of the same numbers differ in their last bits by the order of summation
 
 
@@ -69,9 +71,9 @@ def top_increases(rows: DataFrame, keys: list[str], n: int = 20, delta: str = "d
 
 
 def robust_range(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """2nd and 98th percentiles of finite values; a range without extent is padded by max(10 %, 1)."""
+    """2nd and 98th percentiles of finite values; a range without extent is padded by max(10 %, 1). Groups may be of any size."""
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    ends = finite.groupBy(*keys).agg(F.percentile(value, F.lit(0.02)).alias("lo"), F.percentile(value, F.lit(0.98)).alias("hi"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    ends = exact_quantiles(finite, keys, value, {"lo": 0.02, "hi": 0.98})
     pad = F.greatest(F.abs("lo") * 0.1, F.lit(1.0))
     flat = F.col("lo") == F.col("hi")
     return ends.select(*keys, F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("vmin"), F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("vmax"), "lowest", "highest")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.sources.io import scratch
-
 
 def explode_geojson(features: DataFrame, geometry: str = "geometry", keys: list[str] | None = None) -> DataFrame:
     """Edges (keys, part, ring, seq, x1, y1, x2, y2) of Polygon and MultiPolygon texts; other and empty geometries give none."""
@@ -48,47 +48,49 @@ def containing(points: DataFrame, edges: DataFrame, point_key: str, key: str = "
     return met.groupBy(point_key, key).agg((F.count_if(right) % 2).alias("odd")).where("odd = 1").select(point_key, key)
 
 
-def nearest(points: DataFrame, centres: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0) -> DataFrame:
+def extent(points: DataFrame, centres: DataFrame) -> float:
+    """The longer side of the box around all points and centres; 0 without any."""
+    both = points.select("x", "y").unionByName(centres.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+    w, h = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    return max(w or 0.0, h or 0.0)
+
+
+def nearest(points: DataFrame, centres: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0, wide: float | None = None) -> DataFrame:
     """(point, unit) of the nearest centre (cx, cy) in planar degrees, ties by name, for each point.
 
-    Centres are looked for in a point's cell and the eight around it: one found
-    within the width of a cell is the nearest. Points without one go on with
-    cells of twice the width, until a cell is as wide as everything; so the join
-    has an equi-key, few points meet many centres, and the turns are as many as
-    doublings. Each turn's points are written, as the next one reads them twice.
+    One plan over a pyramid of cells, each level of twice the width of the one
+    below, up to one as wide as everything (``wide``, looked for if not given).
+    Occupied cells and their neighbours are marked on every level; a point's cell
+    takes the lowest level on which it is marked. There a centre is nearer than
+    2.83 widths, so the nine cells two levels up, of four widths each, hold the
+    nearest for certain; only their centres are compared. Points of one cell are
+    looked up once, joins have equi-keys.
     """
-    spark = points.sparkSession
-    left = points.select(point_key, "x", "y").where("x is not null and y is not null")
-    ends = centres.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    if ends[0] is None:
-        return left.where("1 = 0").select(point_key, centres[key]) if key in left.columns else left.where("1 = 0").select(point_key, F.lit(None).cast(dict(centres.dtypes)[key]).alias(key))
-    far = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    wide = max([max(ends[1], far[1]) - min(ends[0], far[0]), max(ends[3], far[3]) - min(ends[2], far[2])]) if far[0] is not None else 0.0
-    done = None
-    while True:
-        cell = lambda v, n=size: F.floor(F.col(v) / n)
-        steps = lambda v, n=size: F.explode(F.sequence(F.floor(F.col(v) / n) - 1, F.floor(F.col(v) / n) + 1))
-        looked = left.withColumn("i", steps("x")).withColumn("j", steps("y")).join(centres.withColumn("i", cell("cx")).withColumn("j", cell("cy")), ["i", "j"])
-        gap = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
-        best = looked.groupBy(point_key).agg(F.min(F.struct(gap.alias("d"), F.col(key).alias("u"))).alias("m")).where(F.col("m.d") <= size * size)
-        path = scratch(spark, "nearest")
-        best.select(point_key, F.col("m.u").alias(key)).write.parquet(path)
-        found = spark.read.parquet(path)
-        done = found if done is None else done.unionByName(found)
-        if size > 2 * wide:
-            return done
-        path = scratch(spark, "outside")
-        left.join(found, point_key, "left_anti").write.parquet(path)
-        left = spark.read.parquet(path)
-        if left.isEmpty():
-            return done
-        size *= 2
+    wide = extent(points, centres) if wide is None else wide
+    top = max(0, math.ceil(math.log2(max(wide, size) / size)) + 1)
+    width = lambda level: F.lit(size) * F.pow(F.lit(2.0), level)
+    cell = lambda v, level: F.floor(F.col(v) / width(F.col(level))).cast("long")
+    around = lambda rows: rows.withColumn("di", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn("dj", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn("i", F.col("i") + F.col("di")).withColumn("j", F.col("j") + F.col("dj")).drop("di", "dj")
+    upto = lambda last: F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level")
+    known = points.select(point_key, "x", "y").where("x is not null and y is not null").withColumn("zero", F.lit(0)).select(point_key, "x", "y", cell("x", "zero").alias("i0"), cell("y", "zero").alias("j0"))
+    spread = centres.where("cx is not null and cy is not null").select(F.col(key).alias("unit__"), "cx", "cy", upto(top + 2)).select("unit__", "cx", "cy", "level", cell("cx", "level").alias("i"), cell("cy", "level").alias("j"))
+    marked = around(spread.where(F.col("level") <= top).select("level", "i", "j").distinct()).distinct()
+    # a cell's ancestors by halving, as floors of its own number
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    own = known.select("i0", "j0").distinct().select("i0", "j0", upto(top)).select("i0", "j0", "level", up("i0").alias("i"), up("j0").alias("j"))
+    levels = own.join(marked, ["level", "i", "j"]).groupBy("i0", "j0").agg((F.min("level") + 2).alias("level"))
+    asked = around(known.join(levels, ["i0", "j0"]).select(point_key, "x", "y", "level", up("i0").alias("i"), up("j0").alias("j")))
+    gap = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
+    best = asked.join(spread, ["level", "i", "j"]).groupBy(point_key).agg(F.min(F.struct(gap.alias("d"), F.col("unit__").alias("u"))).alias("m"))
+    return best.select(point_key, F.col("m.u").alias(key))
 
 
 def point_in_unit(points: DataFrame, edges: DataFrame, point_key: str, key: str = "unit_key", size: float = 1.0) -> DataFrame:
     """(point, unit, inside): the containing unit (the first by name), else that of the nearest centroid in planar degrees. Only points outside all units look for centroids."""
     inside = containing(points, edges, point_key, key, size).groupBy(point_key).agg(F.min(key).alias(key))
-    fallback = nearest(points.join(inside, point_key, "left_anti"), area_centroid(edges, key), point_key, key, size)
+    # corners stand for centroids: no centroid is beyond them
+    wide = extent(points, edges.select(F.col("x1").alias("cx"), F.col("y1").alias("cy")))
+    fallback = nearest(points.join(inside, point_key, "left_anti"), area_centroid(edges, key), point_key, key, size, wide)
     return inside.withColumn("inside", F.lit(True)).unionByName(fallback.withColumn("inside", F.lit(False)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import risk
 from isohyet.operators import ensemble, ranking
+from isohyet.operators.order_stats import with_rank
 from isohyet.plans import registry
 from isohyet.plans.catalog import query
 from isohyet.sources.adapter import SERIES, UNIT, panel, table
@@ -205,9 +206,8 @@ def position_stats(spark, d):
 @query(f"WITH {HOT}, {AREA}, s AS (SELECT state, sum(value * area) / sum(area) AS w FROM dl JOIN area USING (district) GROUP BY ALL) SELECT state, round(w, 6) AS weighted_mean, CASE WHEN count(*) OVER () >= 2 THEN CAST(rank() OVER (ORDER BY round(w, 9) DESC) AS INT) END AS position FROM s", last=1998)
 def state_position(spark, d):
     w = ensemble.area_weighted_mean(current(spark, d).join(areas(spark, d), "district"), ["state"])
-    # states are few by nature: one window over all of them
-    every = Window.partitionBy(F.lit(1))
-    return w.select("state", "weighted_mean", F.when(F.count(F.lit(1)).over(every) >= 2, F.rank().over(every.orderBy(ranking.tied("weighted_mean").desc())).cast("int")).alias("position"))
+    placed = with_rank(w, ranking.tied("weighted_mean"))
+    return placed.select("state", "weighted_mean", F.when(F.col("total") >= 2, F.col("rank")).cast("int").alias("position"))
 
 
 @query(f"""WITH {MASTER}, g AS (SELECT slug, scenario, period, quantile_cont(mean, 0.02) AS lo, quantile_cont(mean, 0.98) AS hi, min(mean) AS lowest, max(mean) AS highest FROM master GROUP BY ALL)
@@ -231,7 +231,7 @@ arg_min(period, CASE WHEN period = '1995-1998' THEN '0' WHEN period = '1996-1998
 def find_baseline_period(spark, d):
     """Three rules: one preferred period, the earliest, and the first of a list."""
     m, keys = master(spark, d), ["slug", *UNIT]
-    rules = {"baseline_period": ("1996-1998",), "earliest": (), "of_list": ("1985-1994", "1995_1998".replace("_", "-"), "1996-1998")}
+    rules = {"baseline_period": ("1996-1998",), "earliest": (), "of_list": ("1985-1994", "1995-1998", "1996-1998")}
     parts = [ranking.find_baseline_period(m, keys, preferred).withColumnRenamed("baseline_period", name) for name, preferred in rules.items()]
     return parts[0].join(parts[1], keys).join(parts[2], keys)
 
@@ -264,7 +264,7 @@ def sorted_series(spark, d):
 SELECT state, district, round(value, 6) AS value, round(delta, 6) AS delta, CAST(rank AS INT) AS rank, round(percentile, 6) AS percentile, {RISK.format(p='percentile')} AS risk_class, CAST(least(greatest(floor((value - lo) / ((hi - lo) / 15)), 0), 14) AS INT) AS bin FROM r, g""", last=1998)
 def map_enrichment(spark, d):
     rows = ranking.rank_in_group(current(spark, d), ["state"])
-    r = ranking.robust_range(rows.withColumn("one", F.lit(1)), ["one"]).select("vmin", "vmax")
+    r = ranking.robust_range(rows, []).select("vmin", "vmax")
     return rows.crossJoin(F.broadcast(r)).select(*UNIT, "value", "delta", F.col("rank").cast("int").alias("rank"), "percentile", risk.risk_class(F.col("percentile")).alias("risk_class"), risk.bin_values(F.col("value"), F.col("vmin"), F.col("vmax")).alias("bin"))
 
 
@@ -362,8 +362,8 @@ def state_profile(spark, d):
     rows = current(spark, d).join(areas(spark, d), "district")
     cur = ensemble.area_weighted_mean(rows, ["state"]).withColumnRenamed("weighted_mean", "current")
     base = ensemble.area_weighted_mean(rows, ["state"], "baseline").withColumnRenamed("weighted_mean", "baseline")
-    every = Window.partitionBy(F.lit(1)).orderBy(ranking.tied("current").desc())
-    return cur.join(base, "state", "left").select("state", "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), F.rank().over(every).cast("int").alias("position"))
+    placed = with_rank(cur.join(base, "state", "left"), ranking.tied("current"))
+    return placed.select("state", "current", "baseline", (F.col("current") - F.col("baseline")).alias("delta"), F.col("rank").cast("int").alias("position"))
 
 
 CASE_SQL = f"""{CMP}, f AS (SELECT slug, scenario, state, district, round(coalesce(mean, median), 9) AS current FROM master WHERE period = '1999-2001'),
