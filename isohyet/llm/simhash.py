@@ -399,8 +399,9 @@ def shingle_sets(asked: DataFrame, docs: DataFrame, text_col: str, words: int) -
             offsets = pa.array(np.cumsum([0] + [len(x) for x in got]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*got, np.empty(0, np.int64)])))], names=["node", "held"])
 
-    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "digest binary, text string").join(spread(asked), "digest")
-    return seen.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, held array<long>")
+    # copies go before the shuffle, and the join finds its rows dealt out already
+    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+    return seen.join(asked, "digest").select("node", "text").mapInArrow(sets, "node long, held array<long>")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
