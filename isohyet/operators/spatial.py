@@ -34,6 +34,35 @@ def spherical_area_km2(edges: DataFrame, key: str = "unit_key", radius_km: float
     return edges.groupBy(key).agg(F.abs(F.sum(part) * radius_km**2 / 2).alias("area_km2"))
 
 
+# The WGS 84 ellipsoid (km, first eccentricity squared), and four-point Gauss-Legendre places and weights on [0, 1].
+MAJOR_KM, E2 = 6378.137, 6.69437999014e-3
+GAUSS = ((0.06943184420297371, 0.17392742256872692), (0.33000947820757187, 0.32607257743127307), (0.6699905217924281, 0.32607257743127307), (0.9305681557970262, 0.17392742256872692))
+
+
+def _q(sin, log):
+    """q of the authalic latitude for a sine of the geodetic one: the ellipsoid's area between equator and latitude is pi a^2 q."""
+    e = math.sqrt(E2)
+    return (1 - E2) * (sin / (1 - E2 * sin * sin) - log((1 - e * sin) / (1 + e * sin)) / (2 * e))
+
+
+def ellipsoid_area_km2(edges: DataFrame, key: str = "unit_key") -> DataFrame:
+    """Area on the WGS 84 ellipsoid, edges being straight in longitude and latitude as GeoJSON has them.
+
+    The line integral of q over longitude, which is the sine of the authalic
+    latitude but for a constant, at four Gauss places of each edge: exact to
+    rounding for edges of a few degrees.
+    """
+    at = lambda t: F.sin(F.radians(F.col("y1") + (F.col("y2") - F.col("y1")) * t))
+    mean = sum((_q(at(t), F.ln) * w for t, w in GAUSS), F.lit(0.0))
+    return edges.groupBy(key).agg((F.abs(F.sum(F.radians(F.col("x2") - F.col("x1")) * mean)) * (MAJOR_KM**2 / 2)).alias("area_km2"))
+
+
+#: The same over a table e of edges.
+ELLIPSOID_SQL = f"""gauss(t, w) AS (VALUES {', '.join(f'({t!r}::DOUBLE, {w!r}::DOUBLE)' for t, w in GAUSS)}),
+places AS (SELECT unit_key, radians(x2 - x1) * w AS dx, sin(radians(y1 + (y2 - y1) * t)) AS s FROM e, gauss),
+ellipsoid_area AS (SELECT unit_key, abs(sum(dx * {1 - E2!r} * (s / (1 - {E2} * s * s) - ln((1 - {math.sqrt(E2)!r} * s) / (1 + {math.sqrt(E2)!r} * s)) / {2 * math.sqrt(E2)!r}))) * {MAJOR_KM**2 / 2!r} AS area_km2 FROM places GROUP BY ALL)"""
+
+
 def bands(edges: DataFrame, size: float = 1.0) -> DataFrame:
     """Edges once for each latitude band they touch: the equi-join key of the containment test."""
     return edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))

@@ -11,7 +11,7 @@ from isohyet.plans.catalog import query
 from isohyet.plans.index_queries import MONTHLY, monthly
 from isohyet.plans import registry
 from isohyet.plans.table_queries import CASE_SQL, COLUMNS, ENS, MASTER, PV, SMA, WIDE_SQL, YEARLY, current, master, period_dim, yearly
-from isohyet.sources import io
+from isohyet.sources import commits, geojson, io
 from isohyet.sources.adapter import SERIES, UNIT, observations, panel, table
 from isohyet.sources.io import scratch
 
@@ -309,6 +309,27 @@ def polygon_area_centroid(spark, d):
     return spatial.area_centroid(edges(spark, d))
 
 
+NOTE = "}{ \"quoted\" [x] \\"
+
+
+@query("SELECT n_name AS district_name, r_name AS state_name, CAST(3 AS BIGINT) AS n_edges, '" + NOTE + "' AS note FROM nation JOIN region ON n_regionkey = r_regionkey")
+def scan_boundary_file(spark, d):
+    """Nations as one FeatureCollection in a line, read back by byte ranges under canonical names, with the edges of each."""
+    path = scratch(spark, "boundaries")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("STATE_UT"), F.lit("all").alias("world"))
+    f = features(spark, d).join(n, F.col("unit_key") == F.col("n_name")).withColumn("DISTRICT", F.concat(F.lit(" "), "n_name", F.lit(" "))).withColumn("note", F.lit(NOTE))
+    whole = io.feature_collections(f.withColumn("geometry", F.from_json("geometry", "type string, coordinates string")), "world", "geometry", ["DISTRICT", "STATE_UT", "note"], "unit_key")
+    whole.select(F.regexp_replace(F.regexp_replace("geojson", r'"coordinates":"([^"]*)"', '"coordinates":$1'), "\n", " ").alias("value")).coalesce(1).write.text(path)
+    read = geojson.district_boundaries(spark, path).withColumn("note", F.col("properties")["note"])
+    n_edges = spatial.explode_geojson(read, keys=["district_name"]).groupBy("district_name").agg(F.count(F.lit(1)).alias("n_edges"))
+    return read.join(n_edges, "district_name").select("district_name", "state_name", "n_edges", "note")
+
+
+@query(f"WITH {BOARD}, e AS ({EDGES}), {spatial.ELLIPSOID_SQL} SELECT unit_key, round(area_km2, 4) AS area_km2 FROM ellipsoid_area")
+def ellipsoid_area(spark, d):
+    return spatial.ellipsoid_area_km2(edges(spark, d)).select("unit_key", F.round("area_km2", 4).alias("area_km2"))
+
+
 EARTH = 6371.0088
 
 
@@ -538,16 +559,18 @@ def spi_compare(spark, d):
 
 @query(f"WITH {SPI} SELECT {S}, month, round(spi, 6) AS spi, CAST(3 AS INT) AS scale, 'normal' AS distribution, '1995-1999' AS baseline FROM spi", last=1999)
 def sink_spi_monthly(spark, d):
-    """Monthly SPI kept with its provenance: history is stored first; what is asked for then and not held is computed and added, nothing twice."""
-    path = scratch(spark, "spi")
-    how = ["scale", "distribution", "baseline", "scenario"]
+    """Monthly SPI kept with its provenance, the model too: one model's scenario is committed first, then all history, then what is asked for and not held yet; a second writer of a key and one that died change nothing."""
+    root = scratch(spark, "spi")
+    how = ["scale", "distribution", "baseline", "model", "scenario"]
     marked = spi_values(spark, d).withColumn("scale", F.lit(3)).withColumn("distribution", F.lit("normal")).withColumn("baseline", F.lit("1995-1999"))
-    io.write_partitioned(marked.where("scenario = 'historical'"), path, *how)
-    read = lambda: spark.read.schema(marked.schema).parquet(path)
-    wanted = panel(spark, d, 1999).select("scenario").distinct().select(F.lit(3).alias("scale"), F.lit("normal").alias("distribution"), F.lit("1995-1999").alias("baseline"), "scenario")
-    rest = io.missing_from(wanted, read(), how)
-    marked.join(rest, how, "left_semi").repartition(*how).write.mode("append").partitionBy(*how).parquet(path)
-    return read().select(*SERIES, "month", "spi", "scale", "distribution", "baseline")
+    of_one = marked.where("model = 'A' and scenario = 'ssp585'")
+    commits.commit(of_one, root, how)
+    commits.commit(marked.where("scenario = 'historical'"), root, how)
+    commits.commit(of_one, root, how)
+    commits.stage(marked.where("scenario = 'ssp245'"), root, how)  # never published
+    wanted = panel(spark, d, 1999).select("model", "scenario").distinct().select(F.lit(3).alias("scale"), F.lit("normal").alias("distribution"), F.lit("1995-1999").alias("baseline"), "model", "scenario")
+    commits.commit(marked.join(commits.missing_keys(wanted, root, how), how, "left_semi"), root, how)
+    return commits.read_committed(spark, root, marked.schema, how).select(*SERIES, "month", "spi", "scale", "distribution", "baseline")
 
 
 @query("""WITH e AS (SELECT CAST(ts AS DATE) AS time, user_id % 20 AS lat, user_id % 30 AS lon, event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 3 WHEN 0 THEN value * 1000 WHEN 1 THEN value * 86400 ELSE value END END AS mm FROM events)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import names, risk, units
 from isohyet.operators import ensemble, matching, ranking, spatial, spi
-from isohyet.sources import io
+from isohyet.sources import commits, io
 
 
 def test_period_gate(spark):
@@ -110,6 +110,44 @@ def test_spherical_area(spark):
     assert abs(spatial.spherical_area_km2(e).first().area_km2 - 12364) < 5
 
 
+def test_ellipsoid_area(spark):
+    """Boxes against the ellipsoid's zones, a triangle and a quadrilateral against a sum over thin strips, all within 1e-9."""
+    rings = {"box": [(10, 20), (12, 20), (12, 23), (10, 23)], "south": [(-3, -60), (5, -60), (5, -58), (-3, -58)], "tri": [(70, 10), (73, 10.5), (71, 14)], "quad": [(0, 0), (2, 1), (1, 4), (-2, 3)]}
+    rows = [(k, 0, 0, i, *map(float, (*r[i], *r[(i + 1) % len(r)]))) for k, r in rings.items() for i in range(len(r))]
+    got = {r.unit_key: r.area_km2 for r in spatial.ellipsoid_area_km2(spark.createDataFrame(rows, "unit_key string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    a, e2 = 6378.137, 6.69437999014e-3
+    for k, ring in rings.items():
+        lat = np.linspace(min(y for _, y in ring), max(y for _, y in ring), 200_001)
+        mid = (lat[1:] + lat[:-1]) / 2
+        xs = []
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            inside = (mid > min(y1, y2)) & (mid < max(y1, y2))
+            xs.append(np.where(inside, x1 + (mid - y1) * (x2 - x1) / (y2 - y1 or 1), np.nan))
+        wide = np.nanmax(xs, axis=0) - np.nanmin(xs, axis=0)
+        s = np.sin(np.radians(mid))
+        want = float((np.radians(wide) * a * a * (1 - e2) * np.cos(np.radians(mid)) / (1 - e2 * s * s) ** 2).sum() * np.radians(lat[1] - lat[0]))
+        assert abs(got[k] / want - 1) < 1e-9, k
+
+
+def test_commits(spark, tmp_path):
+    """Two writers of a key, one that died half way, and a key that only one model has."""
+    root, keys = str(tmp_path / "t"), ["model", "scenario"]
+    rows = lambda m, s, v: spark.createDataFrame([(m, s, i, v) for i in range(5)], "model string, scenario string, month int, v double")
+    wanted = spark.createDataFrame([(m, s) for m in "ab" for s in ("past", "future")], "model string, scenario string")
+    left = lambda: {tuple(r) for r in commits.missing_keys(wanted, root, keys).collect()}
+    assert len(left()) == 4
+    commits.commit(rows("a", "past", 1.0), root, keys)
+    assert left() == {("a", "future"), ("b", "past"), ("b", "future")}  # model a hides nothing of b
+    commits.stage(rows("b", "past", 9.0), root, keys)  # died before it was published
+    assert ("b", "past") in left()
+    first, second = commits.stage(rows("b", "past", 2.0), root, keys), commits.stage(rows("b", "past", 2.0), root, keys)
+    for name in (first, second):
+        commits.publish(spark, root, name, keys)
+    got = commits.read_committed(spark, root, rows("a", "past", 1.0).schema, keys)
+    assert sorted(map(tuple, got.collect())) == [("a", "past", i, 1.0) for i in range(5)] + [("b", "past", i, 2.0) for i in range(5)]
+    assert left() == {("a", "future"), ("b", "future")}
+
+
 def test_spi_stays_in_the_jvm(spark):
     acc = spark.createDataFrame([("u", "historical", dt.date(2000, 5, 1), 1.0)], "unit string, scenario string, month date, acc double")
     params = spark.createDataFrame([("u", 5, 1.0, 2.0, 0.3)], "unit string, moy int, mean double, std double, skew double")
