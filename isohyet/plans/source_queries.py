@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import names, units
 from isohyet.functions.special import gamma_cdf_sql, normal_quantile_sql
-from isohyet.operators import ensemble, matching, spatial, spi
+from isohyet.operators import ensemble, matching, order_stats, ranking, spatial, spi
 from isohyet.plans.catalog import query
 from isohyet.plans.index_queries import MONTHLY, monthly
 from isohyet.plans import registry
 from isohyet.plans.table_queries import CASE_SQL, COLUMNS, ENS, MASTER, PV, SMA, WIDE_SQL, YEARLY, current, master, period_dim, yearly
-from isohyet.sources import commits, geojson, io
+from isohyet.sources import commits, csv_folder, geojson, io
 from isohyet.sources.adapter import SERIES, UNIT, observations, panel, table
 from isohyet.sources.io import scratch
 
@@ -135,12 +135,19 @@ def load_state_yearly(spark, d):
     return yearly(spark, d).groupBy("slug", "state", "scenario", "year").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
 
 
-@query(f"WITH {YEARLY}, r AS (SELECT *, dense_rank() OVER (PARTITION BY slug, state, district, scenario ORDER BY lower(model)) AS k FROM yearly WHERE value IS NOT NULL) SELECT slug, {S}, year, round(value, 6) AS value FROM r WHERE k <= 2", last=1998)
+@query(f"WITH {YEARLY}, r AS (SELECT *, dense_rank() OVER (PARTITION BY slug, state, district, scenario ORDER BY lower(model)) AS k FROM yearly WHERE value IS NOT NULL) SELECT slug, {S}, year, round(round(value, 9), 6) AS value FROM r WHERE k <= 2", last=1998)
 def load_model_members(spark, d):
+    """Models' yearly series from one folder of files of three headers; of each unit the first two models by name."""
     from pyspark.sql import Window
 
+    path = scratch(spark, "members")
+    y = order_stats.written(yearly(spark, d), "yearly")
+    y.where("model = 'A'").select("slug", *SERIES, "year", "value").write.csv(f"{path}/a", header=True)
+    y.where("model = 'N'").select("year", "model", "state", F.col("value").alias("mean_of_year"), "district", "scenario", "slug").write.csv(f"{path}/n", header=True)
+    y.where("model = 'R'").select(F.lit("none").alias("value"), "scenario", "year", F.col("value").alias("amount"), "slug", "district", "state", "model").write.csv(f"{path}/r", header=True)
+    read = csv_folder.yearly_series(spark, path, ("slug", *SERIES))
     w = Window.partitionBy("slug", *UNIT, "scenario").orderBy(F.lower("model"))
-    return yearly(spark, d).where("value is not null").withColumn("k", F.dense_rank().over(w)).where("k <= 2").select("slug", *SERIES, "year", "value")
+    return read.withColumn("k", F.dense_rank().over(w)).where("k <= 2").select("slug", *SERIES, "year", F.round("value", ranking.PLACES).alias("value"))
 
 
 @query("SELECT DISTINCT r_name AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.sources import geojson
+from isohyet.sources import csv_folder, geojson
 
 
 @pytest.fixture
@@ -60,3 +60,22 @@ def test_columns_under_canonical_names(spark, tmp_path):
     assert [(r.district_name, r.state_name) for r in text] == [("Goa", "Unknown"), (None, "Unknown")]
     bare = geojson.district_boundaries(spark, put("n", {"no": 7})).first()
     assert bare.district_name == "0-0"
+
+
+@pytest.mark.parametrize("size", [20, 1 << 27])
+def test_headers_of_one_folder(spark, tmp_path, small_ranges, size):
+    """Each file under its own header: order, quotes, repeated and missing columns, a value column that holds no number."""
+    (tmp_path / "in").mkdir()
+    files = {
+        "a.csv": "year,value,model\n2000,1.5,A\n2001,,A\n2002,x,A\n",
+        "b.csv": "\ufeffmodel,mean of year,year\n\"B, \"\"b\"\"\",2.5,2000\n\n,3.5,2001\n",
+        "in/c.csv": "value,year,note,amount,amount\nnone,2000,7,4.5,9\nnone,2001,n,5.5\n",
+        "d.csv": "year,model\n2000,D\n", "e.csv": "year,value\n", "f.csv": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    small_ranges(size)
+    got = csv_folder.yearly_series(spark, str(tmp_path), ("model", "state")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("A", None, 2000, 1.5), ('B, "b"', None, 2000, 2.5), (None, None, 2001, 3.5), (None, None, 2000, 7.0)], key=str)
+    rows = csv_folder.scan_headed(spark, str(tmp_path)).where("file like '%c.csv'").collect()
+    assert [r.fields["amount"] for r in sorted(rows, key=lambda r: r.fields["year"])] == ["4.5", "5.5"]
