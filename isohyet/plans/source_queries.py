@@ -11,7 +11,7 @@ from isohyet.plans.catalog import query
 from isohyet.plans.index_queries import MONTHLY, monthly
 from isohyet.plans import registry
 from isohyet.plans.table_queries import CASE_SQL, COLUMNS, ENS, MASTER, PV, SMA, WIDE_SQL, YEARLY, current, master, period_dim, yearly
-from isohyet.sources import commits, csv_folder, geojson, io
+from isohyet.sources import commits, csv_folder, geojson, grid_files, io
 from isohyet.sources.adapter import SERIES, UNIT, observations, panel, table
 from isohyet.sources.io import scratch
 
@@ -36,6 +36,30 @@ def scan_grid_daily(spark, d):
     return io.scan_grid_daily(spark, path, ["tas"], ["historical"]).select("model", "scenario", "date", "lat", "lon", "var", "value")
 
 
+FILES_SQL = f"WITH {LONG} SELECT scenario, var, model, CAST(year(date) AS INT) AS year"
+
+
+def grid_folder(spark, d):
+    """The grid as one file for each scenario, variable, model and year; the folder."""
+    path = scratch(spark, "grid-files")
+    rows = grid(spark, d).select("scenario", "var", "model", F.year("date").alias("year"), F.col("date").alias("time"), F.col("cell").cast("double").alias("lat"), (F.col("cell") % 7).cast("double").alias("lon"), "value")
+    grid_files.write_grid_files(rows, path)
+    return path
+
+
+@query(FILES_SQL + ", date AS time, CAST(cell AS DOUBLE) AS lat, CAST(cell % 7 AS DOUBLE) AS lon, round(value, 6) AS value FROM grid WHERE var = 'pr' AND scenario = 'historical' AND year(date) IN (1995, 1996)", last=1998)
+def scan_grid_files(spark, d):
+    """Planned files: the listing answers variable, scenario and years."""
+    asked = (F.col("var") == "pr") & (F.col("scenario") == "historical") & F.col("year").isin(1995, 1996)
+    return grid_files.scan_grid_files(spark, grid_folder(spark, d), asked).drop("file")
+
+
+@query(FILES_SQL + ", scenario || '/' || var || '/' || model || '/' || year(date) || '.parquet' AS file, NULL::VARCHAR AS reason FROM grid GROUP BY ALL", last=1998)
+def grid_file_report(spark, d):
+    report = grid_files.grid_file_report(spark, grid_folder(spark, d))
+    return report.select("scenario", "var", "model", "year", F.substring_index("file", "/", -4).alias("file"), "reason")
+
+
 @query("SELECT DISTINCT l_returnflag AS model FROM lineitem")
 def discover_models(spark, d):
     return io.discover_models(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model")))
