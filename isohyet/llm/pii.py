@@ -143,7 +143,10 @@ def meets(base: Column, span: Column) -> Column:
 
 
 def examples(kind: str, c: Column, base: Column) -> Column:
-    """array<struct<kind, x, label, weight>> that a candidate teaches: itself, disguises of a real one, counterfeits of it.
+    """array<struct<kind, x, label, weight, kept>> that a candidate teaches: itself, disguises of a real one, counterfeits of it.
+
+    Where a kind has several disguises or counterfeits, the last form of each is
+    ``kept`` from the fit: only the thresholds see it.
 
     A candidate is real if a base span confirms it or, for secrets and numbers,
     a cue word in front of it does. A disguise is the same thing in a form the
@@ -171,7 +174,7 @@ def examples(kind: str, c: Column, base: Column) -> Column:
         disguised = [(nothing, F.regexp_replace(m, r"^\+", ""), a), (b, F.regexp_replace(m, r"^\+[0-9]+[ .-]?", ""), a), (nothing, F.regexp_replace(m, r"[ ()-]+", "."), a)]
         last = F.substring(d, -1, 1)
         wrong = F.concat(F.substring(d, F.lit(1), F.length(d) - 1), (F.pmod(last.cast("int") + 1, F.lit(10))).cast("string"))
-        fake = [(nothing, wrong, nothing), (nothing, F.substring(d, 1, 7), nothing), (nothing, F.concat_ws(".", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)), nothing)]
+        fake = [(nothing, wrong, nothing), (nothing, F.substring(d, 1, 7), nothing), (nothing, F.concat_ws(".", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)), nothing), (nothing, F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)), nothing)]
         kinds = [kind] * (1 + len(disguised) + len(fake))
     else:
         other = F.regexp_replace(F.base64(F.unhex(F.sha2(m, 256))), "[+/=]", "")  # as random, in other letters
@@ -183,7 +186,8 @@ def examples(kind: str, c: Column, base: Column) -> Column:
     # only what is real is disguised; where the disguise or counterfeit is no candidate of its generator it teaches nothing
     fits = [F.lit(True), *[real & proposed(k, x[1]) & F.rlike(x[1], F.lit(LOOSE[k])) for k, x in zip(kinds[1:], [*disguised, *fake])]]
     weights = [F.when(real, 1.0).otherwise(UNSURE), *[F.lit(1.0)] * len(fits[1:])]
-    rows = [F.when(ok, F.struct(F.lit(k).alias("kind"), features(k, *x).alias("x"), y.cast("double").alias("label"), w.alias("weight"))) for k, x, y, ok, w in zip(kinds, [*own, *disguised, *fake], labels, fits, weights)]
+    kept = [False] + [i == n - 1 and n > 1 for n in (len(disguised), len(fake)) for i in range(n)]
+    rows = [F.when(ok, F.struct(F.lit(k).alias("kind"), features(k, *x).alias("x"), y.cast("double").alias("label"), w.alias("weight"), F.lit(h).alias("kept"))) for k, x, y, ok, w, h in zip(kinds, [*own, *disguised, *fake], labels, fits, weights, kept)]
     return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
@@ -196,16 +200,21 @@ def tree_value(node, x: Column) -> Column:
 
 
 class Chooser:
-    """Boosted trees over candidates, and for each kind the threshold at which they are precise enough."""
+    """Boosted trees over candidates, and for each kind the threshold at which they are precise enough.
+
+    curve holds (kind, threshold, precision, recall, examples) at each step, over
+    the documents that the fit didn't see, with forms of disguises and
+    counterfeits that it didn't see either.
+    """
 
-    def __init__(self, found: DataFrame, sample: int = 20_000, precision: float = 0.98, rounds: int = 12, depth: int = 4, seed: int = 11):
-        self.trees, self.thresholds = [], {}
+    def __init__(self, found: DataFrame, sample: int = 20_000, precision: float = 0.995, rounds: int = 12, depth: int = 4, seed: int = 11):
+        self.trees, self.thresholds, self.curve = [], {}, []
         fold = F.pmod(F.xxhash64("id"), F.lit(10))
         teach = lambda k: lambda c: examples(k, c, F.col("base"))
         taught = F.concat(*[F.flatten(F.transform(f"loose.{k}", teach(k))) for k in LOOSE])
         rows = found.select(fold.alias("fold"), F.xxhash64("id", "loose").alias("h"), F.posexplode(taught).alias("at", "r")).select("fold", F.xxhash64("h", "at").alias("h"), "r.*")
         rows = cut(rows, "pii-examples")
-        learn = rows.where("fold < 7")
+        learn = rows.where("fold < 7 AND NOT kept").drop("kept")
         # a bounded sample for the fit, the same number of each kind; thresholds see every held-out example
         some = None
         for k in LOOSE:
@@ -216,13 +225,18 @@ class Chooser:
             return
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="v", weightCol="weight").fit(some.select(array_to_vector("x").alias("v"), "label", "weight"))
         self.trees = list(zip([t._call_java("rootNode") for t in model.trees], model.treeWeights))
-        steps = [i / 20 for i in range(10, 20)] + [0.97, 0.98, 0.99]
-        held = rows.where("fold >= 7").select("kind", self.chance(F.col("x")).alias("p"), "label", "weight")
-        counts = held.select("kind", F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"), "p", "label", "weight").where("p >= t").groupBy("kind", "t").agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
+        steps = [i / 20 for i in range(1, 20)] + [0.97, 0.98, 0.99]
+        held = rows.where("fold >= 7").select("kind", self.chance(F.col("x")).alias("p"), (F.col("label") * F.col("weight")).alias("right"), "weight")
+        at = F.explode(F.array(*[F.lit(0.0), *[F.lit(t) for t in steps]]))
+        counts = held.select("kind", at.alias("t"), "p", "right", "weight").where("p >= t").groupBy("kind", "t").agg(F.sum("right").alias("right"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n")).collect()
+        real = {r.kind: r.right for r in counts if r.t == 0.0}
+        self.curve = sorted((r.kind, r.t, r.right / r["all"], r.right / real[r.kind], r.n) for r in counts if r.t > 0.0 and real[r.kind] > 0)
         for kind in LOOSE:
-            good = [r.t for r in counts if r.kind == kind and r.right >= precision and r.n >= 5]
+            good = [(t, recall) for k, t, right, recall, n in self.curve if k == kind and right >= precision and n >= 5]
             if good:
-                self.thresholds[kind] = min(good)
+                # of the steps that find the most, the middle one: as far from what it must take as from what it must not
+                most = [t for t, recall in good if recall >= max(x for _, x in good) - 1e-9]
+                self.thresholds[kind] = most[(len(most) - 1) // 2]
 
     def chance(self, x: Column) -> Column:
         raw = sum((tree_value(node, x) * F.lit(float(w)) for node, w in self.trees), F.lit(0.0))
@@ -257,8 +271,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     data or secrets from their format and context, on at most ``sample``
     examples: candidates that base spans or cue words confirm, the same in
     disguises that the base patterns miss, and counterfeits (see examples). Each
-    kind has the lowest threshold at which the trees reach ``precision`` on all
-    held-out examples; what they take is added, base spans always stay. Too few
+    kind has a threshold at which the trees reach ``precision`` on all examples
+    of held-out documents, among them forms that no fitted example has, and of
+    such thresholds one that finds the most (see Chooser.curve); what they take
+    is added, base spans always stay. Secrets have at least 16 letters, numbers
+    at least LEAST_DIGITS digits. Too few
     examples: nothing is added. Null texts are empty; only id and text are read,
     whatever other columns are called. Repeated rows give repeated results; an
     empty table gives an empty table. The text is read once, in built-in
@@ -275,12 +292,6 @@ def listed(spans: Column, kinds) -> Column:
     return F.concat(*[F.transform(F.array_sort(spans[k]), named(k)) for k in kinds])
 
 
-def listed(spans: Column, kinds) -> Column:
-    """kind:start:end for each span, by kind, then start."""
-    named = lambda kind: lambda s: F.concat_ws(":", F.lit(kind), s["s"].cast("string"), s["e"].cast("string"))
-    return F.concat(*[F.transform(F.array_sort(spans[k]), named(k)) for k in kinds])
-
-
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "█", **options) -> DataFrame:
     """docs with each base or added span replaced by as many marks.
 
