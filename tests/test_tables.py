@@ -234,6 +234,51 @@ def test_matching_equals_all_pairs(spark, cutoff):
     assert {k: (got[k], want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want) and sum(v[1] == 2 for v in want.values()) > 2
 
 
+def test_alike_names_of_a_large_block_are_not_all_compared(spark, monkeypatch):
+    """3,000 names of one block that share their first letters and all digits: only near ones are scored."""
+    compared = spark.sparkContext.accumulator(0)
+    ratio = matching.similarity.func
+
+    def counted(a, b):
+        compared.add(len(a))
+        return ratio(a, b)
+
+    monkeypatch.setattr(matching, "similarity", F.pandas_udf(counted, "double"))
+    units = spark.range(3000).select(F.lit("s").alias("state"), F.format_string("Unit#%09d", F.col("id") * 7).alias("name"))
+    items = units.select("state", F.concat(F.expr("substring(name, 1, length(name) - 1)"), F.lit("x")).alias("name"))
+    got = {r.item: (r.unit, r.tier) for r in matching.match_names(items, units, "name", "name", ["state"], 0.7).collect()}
+    every = [f"Unit#{i * 7:09d}" for i in range(3000)]
+    assert len(got) == len({u[:-1] for u in every})
+    for i in sorted(got)[::150]:
+        plain = i.lower().replace("#", "")
+        assert got[i] == (min((-difflib.SequenceMatcher(None, plain, u.lower().replace("#", "")).ratio(), u) for u in every)[1], 2)
+    assert 0 < compared.value < 30 * 3000
+
+
+def test_matching_of_names_without_a_near_one_equals_all_pairs(spark):
+    """Names that differ in more than two characters, by letters left out, put in and repeated: they go through all steps."""
+    rng = np.random.default_rng(4)
+    units = ["".join(rng.choice(list("abcdefgh"), 14)) for _ in range(40)] + ["abab" * 60, "abc" * 75]
+    items = []
+    for u in units:
+        for n in (0, 2, 3, 4, 5):
+            chars = list(u)
+            for _ in range(n):
+                at = int(rng.integers(0, len(chars)))
+                chars[at : at + int(rng.integers(0, 2))] = list(rng.choice(list("abcxyz"), int(rng.integers(0, 2))))
+            items.append("".join(chars) + "q" * (n == 0))
+    items = sorted(set(items))
+
+    def best(i):
+        near = [(1, 0.0, u) for u in units if i in u or u in i] or [(2, -r, u) for u in units if (r := difflib.SequenceMatcher(None, i, u).ratio()) >= 0.7]
+        return (min(near)[2], 0 if min(near)[2] == i else min(near)[0]) if near else (None, None)
+
+    frame = lambda rows: spark.createDataFrame([("s", r) for r in rows], "state string, name string")
+    got = {r.item: (r.unit, r.tier) for r in matching.match_names(frame(items), frame(units), "name", "name", ["state"]).collect()}
+    want = {i: (i, 0) if i in units else best(i) for i in items}
+    assert {k: (got[k], want[k]) for k in want if got.get(k) != want[k]} == {} and {v[1] for v in want.values()} >= {1, 2}
+
+
 def test_nearest_centre_equals_all_pairs(spark):
     rng = np.random.default_rng(2)
     centres = [(f"u{i}", float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.random((30, 2)), 50 + rng.random((5, 2))]))] + [("far", 400.0, -300.0)]
