@@ -36,3 +36,8 @@ def bin_values(value: Column, low: Column, high: Column, bins: int = 15) -> Colu
     """Place of a value in equal bins over [low, high], clipped at both ends; null stays null."""
     width = F.nullif((high - low) / bins, F.lit(0.0))
     return F.when(value.isNotNull(), F.least(F.greatest(F.coalesce(F.floor((value - low) / width), F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("int"))
+
+
+def bin_values_unpadded(value: Column, low: Column, high: Column, bins: int = 15) -> Column:
+    """bin_values over a range that may have no extent: then values from it on are in the last bin, those below it in the first."""
+    return F.when((low == high) & (value >= low), F.lit(bins - 1)).otherwise(bin_values(value, low, high, bins))

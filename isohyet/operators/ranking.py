@@ -71,12 +71,12 @@ def top_increases(rows: DataFrame, keys: list[str], n: int = 20, delta: str = "d
 
 
 def robust_range(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """2nd and 98th percentiles of finite values; a range without extent is padded by max(10 %, 1). Groups may be of any size."""
+    """2nd and 98th percentiles of finite values (lo and hi), and vmin and vmax, where a range without extent is padded by max(10 %, 1). Groups may be of any size."""
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     ends = exact_quantiles(finite, keys, value, {"lo": 0.02, "hi": 0.98})
     pad = F.greatest(F.abs("lo") * 0.1, F.lit(1.0))
     flat = F.col("lo") == F.col("hi")
-    return ends.select(*keys, F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("vmin"), F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("vmax"), "lowest", "highest")
+    return ends.select(*keys, F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("vmin"), F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("vmax"), "lowest", "highest", "lo", "hi")
 
 
 def find_baseline_period(periods: DataFrame, keys: list[str], preferred: tuple[str, ...] = ("1990-2010",)) -> DataFrame:

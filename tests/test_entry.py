@@ -33,3 +33,21 @@ def test_same_as_sql(spark, name):
     text = lambda v: "null" if v is None else f"{v + 0.0:.5f}" if isinstance(v, float) else str(v)
     rows = lambda it: sorted(tuple(map(text, r)) for r in it)
     assert rows(got.select(*columns).collect()) == rows([r[i] for i in place] for r in want.fetchall())
+
+
+@pytest.mark.parametrize("outlier", [False, True])
+def test_map_of_one_value_is_the_same_as_its_sql(spark, tmp_path, outlier):
+    """All units have the same number of hot days, or one of them fewer: the range of the map has no extent."""
+    con = duckdb.connect()
+    days = "SELECT f, d FROM (SELECT unnest(['A', 'N']) AS f), (SELECT unnest(generate_series(TIMESTAMP '1995-01-05', TIMESTAMP '2001-12-05', INTERVAL 1 MONTH)) AS d)"
+    units = 60  # the outlier's share must be below the 2nd percentile's place
+    con.sql(f"COPY (SELECT 1 AS l_orderkey, u AS l_suppkey, f AS l_returnflag, 'F' AS l_linestatus, d AS l_shipdate, CASE WHEN {outlier} AND u = 7 AND month(d) = 3 THEN 3.0 ELSE 40.0 END AS l_quantity, 0.05 AS l_discount FROM (SELECT unnest(range({units})) AS u), ({days})) TO '{tmp_path}/lineitem.parquet'")
+    con.sql(f"COPY (SELECT u AS s_suppkey, 'Supplier ' || u AS s_name, CAST(u AS INT) AS s_nationkey, 0.0 AS s_acctbal FROM (SELECT unnest(range({units})) AS u)) TO '{tmp_path}/supplier.parquet'")
+    con.sql(f"COPY (SELECT CAST(u AS INT) AS n_nationkey, 'NATION_' || u AS n_name, CAST(u % 5 AS INT) AS n_regionkey FROM (SELECT unnest(range({units})) AS u)) TO '{tmp_path}/nation.parquet'")
+    con.sql(f"COPY (SELECT * FROM '{SF}/region.parquet') TO '{tmp_path}/region.parquet'")
+    for t in ("lineitem", "supplier", "nation", "region"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = entry.queries()["map_enrichment"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['map_enrichment']}) ORDER BY ALL").fetchall()
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == want and len(rows) == units and len({r[-1] for r in rows}) == 1 + outlier
