@@ -114,6 +114,11 @@ def write_partitioned(rows: DataFrame, path: str, *columns: str) -> None:
     rows.repartition(*columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
+def intersect_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, each once: made distinct before the join that Spark makes of it, so equal rows are neither shuffled nor sorted."""
+    return a.distinct().intersect(b.distinct())
+
+
 def missing_from(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """What a table with provenance columns doesn't hold yet."""
     return wanted.join(held.select(*keys).distinct(), keys, "left_anti")

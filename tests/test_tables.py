@@ -352,3 +352,21 @@ def test_pearson_and_gamma_agree_with_integration(spark):
     for _, _, m, v in rows:
         t = (v - mean) / std * np.sqrt(k) + k
         assert abs(got[m] - inv(min(max(law(t * 20, k, 20.0), 1e-6), 1 - 1e-6))) < 1e-3
+
+
+def test_intersection_shuffles_distinct_rows(spark):
+    """200,000 rows of seven years: what goes to the join is some rows a task, nulls and all."""
+    years = lambda first, n: spark.range(n).select(F.when(F.col("id") % 8 > 0, first + F.col("id") % 8).alias("year"))
+    both = io.intersect_distinct(years(1994, 200_000), years(1996, 100_000))
+    assert sorted((r.year is None, r.year or 0) for r in both.collect()) == [(False, y) for y in range(1997, 2002)] + [(True, 0)]
+    written = []
+
+    def shuffles(node):
+        if "Exchange" in node.nodeName() and "shuffleRecordsWritten" in str(node.metrics()):
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        for child in children:
+            shuffles(child)
+
+    shuffles(both._jdf.queryExecution().executedPlan())
+    assert written and max(written) <= 8 * spark.sparkContext.defaultParallelism
