@@ -1,6 +1,7 @@
 """The driver's contract, and queries against their SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -51,3 +52,17 @@ def test_map_of_one_value_is_the_same_as_its_sql(spark, tmp_path, outlier):
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['map_enrichment']}) ORDER BY ALL").fetchall()
     rows = sorted(tuple(r) for r in got.collect())
     assert rows == want and len(rows) == units and len({r[-1] for r in rows}) == 1 + outlier
+
+
+@pytest.mark.parametrize("name", ["cells_to_units"])
+def test_readings_are_dealt_out_by_their_number(spark, monkeypatch, name):
+    """6,000 readings at 100 a task make 60 tasks, whatever Spark's number is, and no other shuffle carries groups of a cell and day."""
+    from isohyet.sources import adapter
+
+    monkeypatch.setattr(adapter, "ROWS_A_TASK", 100)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    made = entry.queries()[name](spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # the bridge's own distinct rows, by cell and unit, may be dealt out by Spark's number
+    of_cells = [int(k) for k in re.findall(r"Exchange hashpartitioning\(cell#\w+(?:, date#\w+)?, (\d+)\)", plan)]
+    assert of_cells and set(of_cells) == {n}
