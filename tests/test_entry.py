@@ -54,7 +54,7 @@ def test_map_of_one_value_is_the_same_as_its_sql(spark, tmp_path, outlier):
     assert rows == want and len(rows) == units and len({r[-1] for r in rows}) == 1 + outlier
 
 
-@pytest.mark.parametrize("name", ["cells_to_units"])
+@pytest.mark.parametrize("name", ["cells_to_units", "align_variables"])
 def test_readings_are_dealt_out_by_their_number(spark, monkeypatch, name):
     """6,000 readings at 100 a task make 60 tasks, whatever Spark's number is, and no other shuffle carries groups of a cell and day."""
     from isohyet.sources import adapter
