@@ -110,8 +110,8 @@ def infer_celsius(rows: DataFrame, source: str, date: str = "date", value: str =
 
 
 def write_partitioned(rows: DataFrame, path: str, *columns: str) -> None:
-    """A table by partition columns: unit outputs, ensembles, state summaries, staged years, monthly SPI."""
-    rows.repartition(*columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
+    """A table by partition columns: unit outputs, ensembles, state summaries, staged years, monthly SPI. Small partitions are one file each, large ones are written by several tasks."""
+    rows.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def intersect_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

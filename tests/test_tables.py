@@ -370,3 +370,16 @@ def test_intersection_shuffles_distinct_rows(spark):
 
     shuffles(both._jdf.queryExecution().executedPlan())
     assert written and max(written) <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_large_partitions_are_written_by_several_tasks(spark, tmp_path):
+    """One partition of 400,000 rows and one of ten: the large one isn't one task's."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        rows = spark.range(400_010).select(F.when(F.col("id") < 10, "few").otherwise("many").alias("k"), F.rand(1).alias("v"))
+        io.write_partitioned(rows, str(tmp_path / "t"), "k")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "t" / "k=many").glob("*.parquet"))) > 2 and len(list((tmp_path / "t" / "k=few").glob("*.parquet"))) == 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400_010
