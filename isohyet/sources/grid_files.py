@@ -7,7 +7,11 @@ that can't be read gives no values but one row with its reason.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +25,7 @@ ARROW = pa.schema([
     ("time", pa.date32()), ("lat", pa.float64()), ("lon", pa.float64()), ("value", pa.float64()),
 ])
 BY_LISTING = ("scenario", "var", "model", "year")
+ROWS_AT_ONCE = 65_536  # of a part that is copied
 
 
 class YearlyFile(InputPartition):
@@ -155,33 +160,65 @@ def usable_years(report: DataFrame, variables: list[str]) -> DataFrame:
     return good.groupBy("scenario", "model", "year").agg(F.count_distinct("var").alias("n")).where(F.col("n") == len(variables)).drop("n")
 
 
-def write_grid_files(rows: DataFrame, path: str) -> None:
-    """scenario, var, model, year, time, lat, lon, value as one file a year: each is a task that streams its rows into it. Rows of one year are meant to be a file's."""
-    keys = list(BY_LISTING)
+def write_grid_files(rows: DataFrame, path: str, tasks: int | None = None) -> None:
+    """scenario, var, model, year, time, lat, lon, value as one file a year, in order of time, lat, lon. Rows of one year are meant to be a file's.
+
+    Months are sorted and written as parts, by as many ``tasks`` as asked for (else
+    Spark's number); then each file's parts are copied into it one after the other,
+    some thousand rows at a time, so no task holds a year.
+    """
+    keys, columns = list(BY_LISTING), ["time", "lat", "lon", "value"]
+    parts = f"{path.rstrip('/')}-parts-{uuid.uuid4().hex}"
 
     def write(batches):
-        system, root = fs.FileSystem.from_uri(path)
+        system, root = fs.FileSystem.from_uri(parts)
         held, sink = None, None
         for batch in batches:
             table = pa.table(batch)
-            starts = [0]
-            whole = list(zip(*[table.column(k).to_pylist() for k in keys]))
-            starts += [i for i in range(1, len(whole)) if whole[i] != whole[i - 1]]
-            for i, j in zip(starts, [*starts[1:], len(whole)]):
-                if j == i:
-                    continue
-                if whole[i] != held:
+            if not len(table):
+                continue
+            whole = [table.column(k) for k in [*keys, "part"]]
+            plain = [c.fill_null("\0" if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else -1) for c in whole]
+            changes = reduce(pc.or_, [pc.not_equal(c[1:], c[:-1]) for c in plain])
+            starts = [0, *(i + 1 for i in pc.indices_nonzero(changes).to_pylist())]
+            for i, j in zip(starts, [*starts[1:], len(table)]):
+                if (place := tuple(c[i].as_py() for c in whole)) != held:
                     if sink is not None:
                         sink.close()
-                    held = whole[i]
-                    scenario, var, model, year = held
-                    folder = f"{root}/{scenario}/{var}/{model}"
+                    held = place
+                    folder = "/".join([root, *map(str, held[:4])])
                     system.create_dir(folder, recursive=True)
-                    sink = pq.ParquetWriter(system.open_output_stream(f"{folder}/{year}.parquet"), table.select(["time", "lat", "lon", "value"]).schema)
-                sink.write_table(table.select(["time", "lat", "lon", "value"]).slice(i, j - i))
+                    sink = pq.ParquetWriter(system.open_output_stream(f"{folder}/{held[4]:02}.parquet"), table.select(columns).schema)
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(held, ARROW.types[:3] + [pa.int32()])], names=keys)
+                sink.write_table(table.select(columns).slice(i, j - i))
         if sink is not None:
             sink.close()
-            yield pa.record_batch([pa.array([1], pa.int64())], names=["n"])
 
-    ordered = rows.select(*keys, "time", "lat", "lon", "value").repartition(*keys).sortWithinPartitions(*keys, "time", "lat", "lon")
-    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    def join(batches):
+        system, root = fs.FileSystem.from_uri(path)
+        _, source = fs.FileSystem.from_uri(parts)
+        done = set()  # a file's parts name it in one task
+        for batch in batches:
+            for place in zip(*[batch.column(k).to_pylist() for k in keys]):
+                if place in done:
+                    continue
+                done.add(place)
+                scenario, var, model, year = place
+                folder = f"{root}/{scenario}/{var}/{model}"
+                system.create_dir(folder, recursive=True)
+                names = sorted(x.path for x in system.get_file_info(fs.FileSelector(f"{source}/{scenario}/{var}/{model}/{year}")))
+                with system.open_output_stream(f"{folder}/{year}.parquet") as out, pq.ParquetWriter(out, pq.read_schema(system.open_input_file(names[0]))) as sink:
+                    for name in names:
+                        for rows_ in pq.ParquetFile(system.open_input_file(name)).iter_batches(ROWS_AT_ONCE):
+                            sink.write_batch(rows_)
+                yield pa.record_batch([pa.array([1], pa.int64())], names=["n"])
+
+    spark = rows.sparkSession
+    monthly = rows.select(*keys, F.coalesce(F.month("time"), F.lit(0)).alias("part"), *columns)
+    dealt = monthly.repartition(tasks, *keys, "part") if tasks else monthly.repartition(*keys, "part")
+    files = dealt.sortWithinPartitions(*keys, "part", "time", "lat", "lon").mapInArrow(write, "scenario string, var string, model string, year int")
+    # few rows, but each is a file to copy: a number of tasks that isn't made smaller
+    files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).mapInArrow(join, "n long").agg(F.sum("n")).collect()
+    system, root = fs.FileSystem.from_uri(parts)
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        system.delete_dir(root)

@@ -77,3 +77,19 @@ def test_an_empty_folder(spark, tmp_path):
     os.makedirs(tmp_path / "none")
     assert grid_files.scan_grid_files(spark, str(tmp_path / "none")).count() == 0
     assert grid_files.grid_file_report(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_months_of_a_file_are_sorted_by_several_tasks(spark, tmp_path):
+    """A year in falling order with times that are null: one file in order, made of a part for each month, and no part is left."""
+    import pyarrow.parquet as pq
+
+    days = spark.range(365 * 3).select(F.lit("historical").alias("scenario"), F.lit("tas").alias("var"), F.lit("A").alias("model"), F.lit(1995).alias("year"), F.date_add(F.lit("1995-12-31"), -(F.col("id") % 365).cast("int")).alias("time"), (-F.col("id")).cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.col("id").cast("double").alias("value"))
+    days = days.unionByName(days.limit(2).withColumn("time", F.lit(None).cast("date")))
+    for tasks in (None, 7):
+        path = str(tmp_path / f"grid{tasks}")
+        grid_files.write_grid_files(days, path, tasks)
+        file = pq.ParquetFile(f"{path}/historical/tas/A/1995.parquet")
+        rows = file.read().to_pylist()
+        order = [(r["time"] is not None, r["time"] or dt.date.min, r["lat"]) for r in rows]
+        assert len(rows) == 365 * 3 + 2 and order == sorted(order) and file.num_row_groups == 13
+        assert sorted(os.listdir(tmp_path)) == sorted({f"grid{t}" for t in ((None,) if tasks is None else (None, 7))})
